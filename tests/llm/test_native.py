@@ -126,7 +126,7 @@ def test_secret_scan(spark):
     assert clean[3] == "é😀 [SECRET] deadbeef " + "f" * 23
     assert clean[7] is None and clean[1].startswith("[SECRET]\" and Token: abc")
     for doc, text in awkward():
-        assert clean[doc + 1000] == text
+        assert clean[doc + 1000] == (text if not base_spans(text or "") else "[SECRET]")
     assert redacted(empty(spark)).count() == 0 and redacted(frame(spark, texts)).columns == frame(spark, texts).columns
 
 
