@@ -8,7 +8,9 @@ as soon as the sum of the values that lists have come to is below it. When no on
 scores of those left are resolved and ranked. Ties go to the smaller id, so a bound that equals the k-th is kept.
 
 Queries are a stated set and meet all vectors in tiles of TILE_QUERIES x TILE_VECTORS; a tile keeps k a query.
-A list is sorted once for a tile: a query with a negative component reads it from the other end.
+A list is sorted once for a tile: a query with a negative component reads it from the other end. What is known of
+a component at a depth is the same for all queries that read from one end, so the bounds of a batch of queries are
+matrix products.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 rows that repeat an id count once, with the least vector; vectors of fewer dimensions count as zero beyond; an empty
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE_QUERIES, TILE_VECTORS = 2048, 16384
-#: Share of the lists that is read before bounds are compared.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
+TILE_QUERIES, TILE_VECTORS, BATCH = 2048, 16384, 128
+#: Share of the lists that is read before bounds are compared, and the share of vectors at which a query is resolved.
+DEPTHS, FEW = (1 / 8, 1 / 3), 1 / 64
 
 
 class SortedLists:
@@ -38,34 +40,52 @@ class SortedLists:
         self.rank = np.empty(by.shape, np.int32)
         np.put_along_axis(self.rank, by, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
 
-    def top(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best, without id `own`."""
+    def bounds(self, depth: int) -> tuple[np.ndarray, ...]:
+        """What is known of every component after `depth` entries of each list: lower and upper from the top end,
+        then from the bottom end (there for negative weights, so the greater component is the lower bound)."""
+        n, c = len(self.ids), self.vectors
+        top, bottom = self.rank >= n - depth, self.rank < depth
+        return np.where(top, c, self.values[0]), np.where(top, c, self.values[n - depth]), np.where(bottom, c, self.values[-1]), np.where(bottom, c, self.values[depth - 1])
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query the (id, score) of its k best, without its own id."""
         n = len(self.ids)
-        alive = np.flatnonzero(self.ids != own)
-        down = q < 0
-        worst = np.where(down, self.values[-1], self.values[0]) * q
-        product = self.vectors[alive] * q
-        rank = self.rank[alive]
-        for depth in DEPTHS:
-            t = int(n * depth)
-            if t < 1 or len(alive) <= k:
+        # products are exact in doubles below 2**53; larger ones are counted in integers
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, queries.shape[1])
+        kind = np.float64 if most < 2**53 else np.int64
+        q = queries.astype(kind)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        alive = self.ids[None, :] != own[:, None]
+        open_ = np.arange(len(q))
+        for share in DEPTHS:
+            depth = int(n * share)
+            if depth < 1 or not len(open_) or n <= k + 1:
                 continue
-            come = np.where(down, self.values[t - 1], self.values[n - t]) * q
-            read = np.where(down, rank < t, rank >= n - t)
-            lower = np.where(read, product, worst).sum(axis=1)
-            upper = np.where(read, product, come).sum(axis=1)
-            least = np.partition(lower, len(lower) - k)[len(lower) - k]
-            keep = upper >= least
-            if not keep.all():
-                alive, product, rank = alive[keep], product[keep], rank[keep]
-        score = product.sum(axis=1)
+            low_top, high_top, low_bottom, high_bottom = (x.astype(kind) for x in self.bounds(depth))
+            for i in range(0, len(open_), BATCH):
+                at = open_[i : i + BATCH]
+                lower = up[at] @ low_top.T + down[at] @ low_bottom.T
+                lower[~alive[at]] = np.iinfo(np.int64).min
+                least = np.partition(lower, n - k, axis=1)[:, n - k]
+                upper = up[at] @ high_top.T + down[at] @ high_bottom.T
+                alive[at] &= upper >= least[:, None]
+            open_ = open_[alive[open_].sum(axis=1) > max(k, n * FEW)]
+        return [self._resolve(np.flatnonzero(a), v, k) for a, v in zip(alive, q, strict=True)]
+
+    def _resolve(self, alive: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Final scores of the vectors that may qualify."""
+        score = (self.vectors[alive] @ q) if q.dtype == np.int64 else (self._exact(alive) @ q)
         if len(score) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= edge
-            alive, score = alive[keep], score[keep]
+            alive, score = alive[score >= edge], score[score >= edge]
         best = np.lexsort((self.ids[alive], -score))[:k]
         return [(int(self.ids[alive[i]]), int(score[i])) for i in best]
 
+    def _exact(self, alive: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "_doubles"):
+            self._doubles = self.vectors.astype(np.float64)
+        return self._doubles if len(alive) == len(self.ids) else self._doubles[alive]
+
 
 def _matrix(rows: pa.Table, width: int) -> np.ndarray:
     out = np.zeros((rows.num_rows, width), np.int64)
@@ -96,8 +116,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         if own.num_rows and asked.num_rows:
             width = max(max(len(v) for v in t.column("v")) for t in (own, asked))
             lists = SortedLists(own.column("id").to_numpy(), _matrix(own, width))
-            for q, v in zip(asked.column("id").to_pylist(), _matrix(asked, width), strict=True):
-                out += [(q, i, s) for i, s in lists.top(v, q, k)]
+            ids, vectors = asked.column("id").to_numpy(), _matrix(asked, width)
+            for i in range(0, len(ids), BATCH):
+                best = lists.top(vectors[i : i + BATCH], ids[i : i + BATCH], k)
+                out += [(int(q), v, s) for q, own in zip(ids[i : i + BATCH], best, strict=True) for v, s in own]
         return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     best = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(tile, "query_id long, vec_id long, score long")
