@@ -50,8 +50,9 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         names = [f.split()[0] for f in TOKENS.split(", ")]
         for batch in batches:
             out = []
-            for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.append(np.frombuffer(encoder.one(text.as_py() or ""), "<u4"), np.uint32(end_id)).astype(kind)
+            texts = (x.as_py() or "" for x in batch.column(2))
+            for doc, source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.stream(texts), strict=True):
+                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind)
                 for i in range(0, len(ids), ROW_IDS):
                     own = ids[i : i + ROW_IDS]
                     out.append((part, doc, source, before.get(source, 0), i, len(own), len(ids), own.tobytes()))

@@ -130,8 +130,9 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fil
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(encoder.one(text.as_py() or ""), "<u4"), np.uint32(end_id))
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc, raw in zip(batch.column(0).to_pylist(), encoder.stream(texts), strict=True):
+                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                 held.append((doc, ids))
                 size += len(ids)
                 if size >= file_ids:

@@ -2,72 +2,104 @@
 
 A byte-level tokenizer never joins characters over a single space between two non-space characters: the space starts
 the next piece. So a text may be cut there, its ids are those of its pieces, and a piece that was met before needs
-no encoding. Texts of other tokenizers are encoded whole. The cache is emptied at CACHE pieces, so memory is bounded.
+no encoding. New pieces of a group of texts are encoded together. Texts of other tokenizers are encoded whole. The
+cache holds CACHE pieces and those of the generation before, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-CACHE = 300_000
+CACHE, GROUP, TOGETHER = 400_000, 2 << 20, 5000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """ids(texts): for each text its ids, as the bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts, as the bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
         self.vocabulary = self.tokenizer.get_vocab_size()
         known = json.loads(spec)
         pre = known.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not known.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in known.get("added_tokens", []))
-        self.spaced: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        added = known.get("added_tokens", [])
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not known.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        #: A special token parts the text about it, so many pieces can be encoded at once and told apart.
+        self.mark = next(((t["content"], t["id"]) for t in added if t.get("special")), None) if self.cuts else None
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), 64) for e in self.batch(texts[i : i + 64], add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of short texts, by one call for many of them."""
+        if not self.mark:
+            return self._each(pieces)
+        text, number = self.mark
         out: list[bytes] = []
-        for i in range(0, len(texts), 2000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 2000], add_special_tokens=False)]
+        for i in range(0, len(pieces), TOGETHER):
+            own = pieces[i : i + TOGETHER]
+            joined = text.join(own)
+            if joined.count(text) >= len(own):  # it stands in a piece itself
+                out += self._each(own)
+                continue
+            ids = np.array(self.batch([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == number), len(ids)) * 4
+            raw, at = ids.tobytes(), 0
+            for e in ends.tolist():
+                out.append(raw[at:e])
+                at = e + 4
         return out
 
-    def _learn(self, pieces: list[str]) -> bool:
-        """Adds pieces that follow a space; False if one begins or ends with white space, so that cuts aren't safe."""
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-            return False
-        if len(self.spaced) + len(pieces) > CACHE:
-            self.spaced.clear()
-        self.spaced.update(zip(pieces, self._encode([" " + p for p in pieces]), strict=True))
-        return True
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Caches what follows single spaces; pieces that begin or end with white space aren't safe to cut out."""
+        need = {p for own in parts for p in own[1:] if p not in self.young}
+        need = {p for p in need if p and not p[0].isspace() and not p[-1].isspace()}
+        again = need & self.old.keys()
+        self.young.update((p, self.old[p]) for p in again)
+        new = list(need - again)
+        self.young.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+        heads = list({own[0] for own in parts if own[0] not in self.heads and not own[0][-1:].isspace()})
+        self.heads.update(zip(heads, self._encode(heads), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts] if self.cuts else self._encode(texts)
-
-    def one(self, text: str) -> bytes:
         if not self.cuts:
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        if first and first[-1].isspace():
-            return self._odd(text)
-        try:
-            body = b"".join(map(self.spaced.__getitem__, rest))
-        except KeyError:
-            if not self._learn(list({p for p in rest if p not in self.spaced})):
-                return self._odd(text)
+            return self._each(texts)
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        if len(self.heads) > CACHE:
+            self.heads = {}
+        parts = [t.split(" ") for t in texts]
+        self._learn(parts)
+        out = []
+        for text, own in zip(texts, parts, strict=True):
             try:
-                body = b"".join(map(self.spaced.__getitem__, rest))
-            except KeyError:  # the cache was emptied meanwhile
-                return self._odd(text)
-        return (self._encode([first])[0] if first else b"") + body
+                out.append(self.heads[own[0]] + b"".join(map(self.young.__getitem__, own[1:])))
+            except KeyError:
+                out.append(b"".join(self._encode(_CUT.split(text))))
+        return out
 
-    def _odd(self, text: str) -> bytes:
-        return b"".join(self._encode(_CUT.split(text)))
+    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """ids() of many texts, in groups of about GROUP characters."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= GROUP:
+                yield from self.ids(held)
+                held, size = [], 0
+        yield from self.ids(held)
 
 
 def share(spark: SparkSession, path: str) -> Broadcast:
