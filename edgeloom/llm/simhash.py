@@ -4,7 +4,7 @@ Fingerprints: 64 bits from the XXH64 (seed 42) of a text's 3-word shingles, repe
 in more than half of them.
 
 Links: fingerprints at `distance` = 2 or fewer differing bits. A fingerprint is embedded as the bit counts of its
-SEGMENTS segments. One differing bit moves one count by one, so the Manhattan distance of two embeddings is a lower
+segments. One differing bit moves one count by one, so the Manhattan distance of two embeddings is a lower
 bound of the Hamming distance. A grid range join finds what lies within 2: in the integer grid, two points are
 within Manhattan distance 2 if and only if the balls of radius 1 about them meet, so every point is dealt to the cells
 of its ball and a cell that several fingerprints reach holds candidates. A cell keeps its least and greatest
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import materialise
 
-SEGMENTS = 16
+#: Bits of a segment (the last one has the rest): 22 segments.
+SEGMENT_BITS = 3
 DISTANCE = 2
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at a time.
@@ -67,18 +68,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _embedding(fp: Column) -> list[Column]:
-    width = 64 // SEGMENTS
-    return [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(SEGMENTS)]
+    return [F.bit_count(F.shiftrightunsigned(fp, i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(0, 64, SEGMENT_BITS)]
 
 
 def _cells(fp: Column) -> Column:
     """The cells of the ball of radius 1 about a fingerprint's embedding, each as one number.
 
-    A count is 0 to 4 and its neighbours -1 to 5, so seven values a segment; mixed-radix numbers of 16 segments
-    fit 64 bits and differ for different cells.
+    A count is 0 to SEGMENT_BITS and its neighbours one less and one more, so SEGMENT_BITS + 3 values a segment; numbers
+    of 22 digits to the base 6 fit 63 bits, and differ for different cells.
     """
     own = _embedding(fp)
-    steps = [7**i for i in range(SEGMENTS)]
+    steps = [(SEGMENT_BITS + 3) ** i for i in range(len(own))]
     at = sum(((c + 1).cast("long") * F.lit(s) for c, s in zip(own[1:], steps[1:], strict=True)), (own[0] + 1).cast("long"))
     return F.array(at, *[at + F.lit(d * s) for s in steps for d in (1, -1)])
 
