@@ -52,6 +52,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it, also within functions of elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -226,7 +231,3 @@ def with_replies(chunks: DataFrame, replies: DataFrame, work: Callable[[Chunk, d
 def bucket_count(entries: int, each: int) -> int:
     """Buckets for so many entries; 64 at least, so that small inputs are dealt evenly too."""
     return max(64, -(-entries // each))
-
-
-def is_remote(path: str) -> bool:
-    return "://" in path and not path.startswith("file:")

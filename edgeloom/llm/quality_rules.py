@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import SPACE, materialise, words_of
+from edgeloom.llm.common import SPACE, let, materialise, words_of
 
 #: Documents on which costs and selectivities are estimated, about.
 SAMPLE = 1000
@@ -55,15 +55,22 @@ def trigrams(words: Column) -> Column:
     return F.when(n >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered_words(grams: Column, paired: Column) -> Column:
-    """Words in 3-word windows that stand twice or more. paired: the hashes with their places, sorted."""
-    twice = F.filter(paired, lambda x, i: (x["h"] == F.get(paired, i - 1)["h"]) | (x["h"] == F.get(paired, i + 1)["h"]))
-    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    return F.when(F.size(grams) == F.size(F.array_distinct(grams)), F.lit(0)).otherwise(_union_of(places)).cast("long")
+def repeat_words(words: Column) -> Column:
+    """Words in 3-word windows that stand twice or more: equal hashes stand side by side once they are sorted."""
+
+    def of_pairs(pairs: Column) -> Column:
+        twice = F.filter(pairs, lambda x, i: (x["h"] == F.get(pairs, i - 1)["h"]) | (x["h"] == F.get(pairs, i + 1)["h"]))
+        return _union_of(F.sort_array(F.transform(twice, lambda x: x["i"])))
+
+    def of_grams(grams: Column) -> Column:
+        pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(grams) == F.size(F.array_distinct(grams)), F.lit(0)).otherwise(let(pairs, of_pairs))
+
+    return let(let(words, trigrams), of_grams).cast("long")
 
 
 def _union_of(places: Column) -> Column:
-    """Words covered by windows of three at sorted places; a window adds the words before the next one starts."""
+    """Words covered by windows of three at sorted places; a window adds the words after the last one's end."""
     steps = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")), lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p + 3 - acc["end"])).cast("int").alias("n"), (p + 3).cast("int").alias("end")))
     return steps["n"]
 
@@ -72,15 +79,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of every document, whole texts."""
     step = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     step = step.withColumns({"words": words_of(F.col("text")), "lines": word_lines(F.col("text"))})
-    step = step.select("doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), n_dup_lines(F.col("lines")).alias("n_dup_lines"), trigrams(F.col("words")).alias("grams"))
-    step = step.withColumn("paired", _paired(F.col("grams")))
-    return step.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered_words(F.col("grams"), F.col("paired")).alias("n_repeat_words"))
-
-
-def _paired(grams: Column) -> Column:
-    """Sorted (hash, place) pairs; empty if all hashes differ, as then no pair is asked for."""
-    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(grams) > F.size(F.array_distinct(grams)), pairs)
+    return step.select("doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), n_dup_lines(F.col("lines")).alias("n_dup_lines"), repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
@@ -89,7 +88,7 @@ class Rule:
 
     name: str
     on_counts: Column
-    on_text: Column | None
+    on_text: Column
 
 
 def rules() -> list[Rule]:
@@ -101,8 +100,8 @@ def rules() -> list[Rule]:
         Rule("few_words", few(c("n_words")), few(n_words(text))),
         Rule("word_length", letters(c("n_words"), c("word_chars")), letters(n_words(text), word_chars(text))),
         Rule("symbols", symbols(c("n_words"), c("n_symbols")), symbols(n_words(text), n_symbols(text))),
-        Rule("dup_lines", c("n_dup_lines") > MOST_DUP_LINES * c("n_lines"), n_dup_lines(word_lines(text)) > MOST_DUP_LINES * F.size(word_lines(text))),
-        Rule("repeated_words", 100 * c("n_repeat_words") > 100 * MOST_REPEATED * c("n_words"), None),
+        Rule("dup_lines", c("n_dup_lines") > MOST_DUP_LINES * c("n_lines"), let(word_lines(text), lambda x: n_dup_lines(x) > MOST_DUP_LINES * F.size(x))),
+        Rule("repeated_words", c("n_repeat_words") > MOST_REPEATED * c("n_words"), let(words_of(text), lambda w: repeat_words(w) > MOST_REPEATED * F.size(w))),
     ]
 
 
@@ -115,8 +114,7 @@ def ordered_rules(docs: DataFrame) -> list[Rule]:
 
     def run(rule: Rule) -> tuple[float, float]:
         began = time.perf_counter()
-        source, condition = (counts(sample), rule.on_counts) if rule.on_text is None else (sample, rule.on_text)
-        share = source.agg(F.avg(condition.cast("int")).alias("x")).first()["x"]
+        share = sample.agg(F.avg(rule.on_text.cast("int")).alias("x")).first()["x"]
         return share or 0.0, time.perf_counter() - began
 
     found = rules()
@@ -144,21 +142,9 @@ def quality(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that every rule lets pass, with all their columns.
 
-    Rules run in the cascade's order as filters, one after the other, so the costly ones see what is left.
+    A rule is evaluated only if all earlier ones let the document pass.
     """
-    names = docs.columns
-    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     passed = F.lit(True)
-    costly = []
-    for rule in ordered_rules(docs):
-        if rule.on_text is None:
-            costly.append(rule)
-        else:
-            passed = F.when(~passed, False).otherwise(~rule.on_text)
-    step = step.where(passed)
-    for _ in costly:
-        step = step.withColumn("words", words_of(F.col("text"))).withColumn("grams", trigrams(F.col("words")))
-        step = step.withColumn("paired", _paired(F.col("grams")))
-        step = step.where(~(100 * covered_words(F.col("grams"), F.col("paired")) > 100 * MOST_REPEATED * F.size("words")))
-        step = step.select("row", "text")
-    return step.select("row.*")
+    for rule in reversed(ordered_rules(docs)):
+        passed = F.when(rule.on_text, False).otherwise(passed)
+    return docs.where(passed)
