@@ -22,11 +22,12 @@ counted); an empty table gives no rows; further columns are ignored by secret_sc
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise
+from edgeloom.llm.common import let, materialise
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)(?-i)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, RUN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_-]{20,}"
@@ -65,23 +66,40 @@ def _normal_tail(z: Column) -> Column:
 def _tested(run: Column) -> Column:
     """(random, evidence) of a run of key characters: does the battery let it pass; nats against ordinary text."""
     alphabet = F.coalesce(*[F.when(run.rlike(f"\\A(?:{p})\\z"), F.lit(a)) for p, a in ALPHABETS])
-    k, n = F.length(alphabet).cast("double"), F.length(run).cast("double")
-    values = F.transform(F.split(run, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    # F.split by "" may end with an empty string
-    values = F.filter(values, lambda v: v > 0)
-    squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda s, v: s + F.pow(F.size(F.filter(values, lambda w: w == v)).cast("double"), F.lit(2.0)))
+    places = lambda own: F.filter(F.transform(F.split(run, ""), lambda c: F.instr(own, c).cast("double")), lambda v: v > 0)
+    known = let(alphabet, lambda own: F.struct(F.length(own).cast("double").alias("k"), places(own).alias("values")))
+    return let(known, lambda x: _battery(run, x["k"], x["values"]))
+
+
+def _pairs(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Sum of step(a value, the next one)."""
+    walk = F.aggregate(values, F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum")), lambda acc, v: F.struct(v.alias("last"), (acc["sum"] + F.coalesce(step(acc["last"], v), F.lit(0.0))).alias("sum")))
+    return walk["sum"]
+
+
+def _battery(run: Column, k: Column, values: Column) -> Column:
+    n = F.size(values).cast("double")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    # sum of squared counts: equal characters stand side by side once they are sorted
+    squares = F.aggregate(
+        F.sort_array(values),
+        F.struct(F.lit(-1.0).alias("v"), F.lit(0.0).alias("c"), F.lit(0.0).alias("sum")),
+        lambda acc, v: let(F.when(v == acc["v"], acc["c"] + 1).otherwise(F.lit(1.0)), lambda c: F.struct(v.alias("v"), c.alias("c"), (acc["sum"] + 2 * c - 1).alias("sum"))),
+    )["sum"]
     chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
-    high = F.transform(values, lambda v: (v > k / 2).cast("int"))
-    ones = F.aggregate(high, F.lit(0.0), lambda s, v: s + v)
-    turns = F.aggregate(F.sequence(F.lit(1), F.size(values) - 1), F.lit(1.0), lambda s, i: s + (F.get(high, i) != F.get(high, i - 1)).cast("double"))
-    mean = 2 * ones * (n - ones) / n + 1
-    spread = F.sqrt((mean - 1) * (mean - 2) / (n - 1))
-    runs = F.when(spread > 0, (turns - mean) / F.when(spread > 0, spread)).otherwise(F.lit(9.0))
-    middle = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    power = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - middle) * (v - middle))
-    product = F.aggregate(F.sequence(F.lit(1), F.size(values) - 1), F.lit(0.0), lambda s, i: s + (F.get(values, i) - middle) * (F.get(values, i - 1) - middle))
-    serial = F.when(power > 0, product / F.when(power > 0, power) * F.sqrt(n)).otherwise(F.lit(9.0))
-    passes = (_normal_tail(chi) >= LEVEL) & (_normal_tail(runs) >= LEVEL) & (_normal_tail(serial) >= LEVEL)
+    high = F.transform(values, lambda v: (v > k / 2).cast("double"))
+    sums = F.struct(total(high).alias("ones"), (_pairs(high, lambda a, b: (a != b).cast("double")) + 1).alias("turns"), (total(values) / n).alias("middle"))
+
+    def tails(x: Column) -> Column:
+        mean = 2 * x["ones"] * (n - x["ones"]) / n + 1
+        spread = F.sqrt(F.greatest(F.lit(0.0), (mean - 1) * (mean - 2) / (n - 1)))
+        runs = F.when(spread > 0, (x["turns"] - mean) / F.when(spread > 0, spread)).otherwise(F.lit(9.0))
+        power = total(F.transform(values, lambda v: (v - x["middle"]) * (v - x["middle"])))
+        product = _pairs(values, lambda a, b: (a - x["middle"]) * (b - x["middle"]))
+        serial = F.when(power > 0, product / F.when(power > 0, power) * F.sqrt(n)).otherwise(F.lit(9.0))
+        return F.array(*[let(z, _normal_tail) for z in (chi, runs, serial)])
+
+    passes = F.array_min(let(sums, tails)) >= LEVEL
     common = F.lit(0.0)
     for c, share in TEXT_PER_MILLE.items():
         common = common + (F.length(run) - F.length(F.replace(run, F.lit(c), F.lit("")))) * (math.log(share / 1000) - math.log(OTHER_PER_MILLE / 1000))
@@ -89,17 +107,6 @@ def _tested(run: Column) -> Column:
     return F.struct(passes.alias("random"), evidence.alias("evidence"))
 
 
-def _scanned(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """keep, the base spans by kind, and the runs with their tests."""
-    step = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    text = F.col("_text")
-    step = step.withColumns({"_assign": _found(text, ASSIGN), "_access": _found(text, ACCESS), "_hex": _found(text, HEX), "_runs": _found(text, RUN)})
-    value = lambda x: F.length(F.regexp_extract(_chars(text, x), ASSIGN, 2))
-    step = step.withColumn("_assign", F.filter("_assign", lambda x: value(x) >= 6))
-    test = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _tested(_chars(text, x)).alias("test"))
-    return step.withColumn("_runs", F.transform("_runs", test))
-
-
 def _threshold(runs: DataFrame) -> float:
     """Evidence from which runs are kept. runs: a row for each, with random and evidence."""
     bins = runs.groupBy(F.when(F.col("random"), F.greatest(F.lit(-1), F.least(F.lit(2000), F.floor("evidence").cast("int")))).otherwise(F.lit(-1)).alias("nats")).agg(F.count("*").alias("n"))
@@ -112,6 +119,17 @@ def _threshold(runs: DataFrame) -> float:
     return best
 
 
+def _scanned(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """keep, the base spans by kind, and the runs with their tests."""
+    step = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    step = step.withColumns({"_assign": _found(text, ASSIGN), "_access": _found(text, ACCESS), "_hex": _found(text, HEX), "_runs": _found(text, RUN)})
+    value = lambda x: F.length(F.regexp_extract(_chars(text, x), ASSIGN, 2))
+    step = step.withColumn("_assign", F.filter("_assign", lambda x: value(x) >= 6))
+    test = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), let(_chars(text, x), _tested).alias("test"))
+    return step.withColumn("_runs", F.transform("_runs", test))
+
+
 def _listed(spans: list[tuple[str, Column]]) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     ranked = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
