@@ -15,13 +15,28 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers, processors
 
 CACHE, GROUP, TOGETHER = 400_000, 2 << 20, 5000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[int, Encoder] = {}
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def _is_word(p: str) -> bool:
+    """Letters only, of scripts in which all versions of Unicode agree on what is a letter."""
+    return p.isalpha() and (p.isascii() or max(p) < "\u0250")
+
+
 class Encoder:
     """Ids of texts, as the bytes of little-endian unsigned 32-bit integers."""
 
@@ -35,6 +50,16 @@ class Encoder:
         #: A special token parts the text about it, so many pieces can be encoded at once and told apart.
         self.mark = next(((t["content"], t["id"]) for t in added if t.get("special")), None) if self.cuts else None
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        #: The same model without a step before it, for words that are divided already.
+        self.divided, self.line_end = None, self.tokenizer.token_to_id("\u010a")
+        if self.cuts and self.line_end is not None and hasattr(self.tokenizer, "encode_batch_fast"):
+            self.divided = Tokenizer.from_str(spec)
+            self.divided.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.divided.post_processor = processors.Sequence([])
+        self.line = self._each(["\n"])[0]
+        if len(self.line) != 4:
+            self.divided = None
+        self.ends = dict(zip(".,", self._each([".", ","]), strict=True))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -62,16 +87,55 @@ class Encoder:
                 at = e + 4
         return out
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Caches what follows single spaces; pieces that begin or end with white space aren't safe to cut out."""
-        need = {p for own in parts for p in own[1:] if p not in self.young}
-        need = {p for p in need if p and not p[0].isspace() and not p[-1].isspace()}
-        again = need & self.old.keys()
-        self.young.update((p, self.old[p]) for p in again)
-        new = list(need - again)
-        self.young.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        heads = list({own[0] for own in parts if own[0] not in self.heads and not own[0][-1:].isspace()})
-        self.heads.update(zip(heads, self._encode(heads), strict=True))
+    def _encode_words(self, words: list[str], lead: str = "\u0120") -> list[bytes]:
+        """Ids of words of letters, each after a space (or not, if lead is empty). Such a word is one unit of the model, so the text is handed over
+        in the model's own alphabet, already divided, with line ends between words."""
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            own = words[i : i + TOGETHER]
+            joined = " ".join(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(_ALPHABET)) + " \u010a" for w in own)
+            ids = np.array(self.divided.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for e in (np.flatnonzero(ids == self.line_end) * 4).tolist():
+                out.append(raw[at:e])
+                at = e + 4
+        return out
+
+    def _learn(self, need: set[str], heads: set[str]) -> None:
+        """Caches pieces that follow a single space, and others that a text or line begins with.
+
+        Pieces that begin or end with white space aren't safe to cut out. One line end between other characters is an
+        id of its own, so a piece is also cut there.
+        """
+        young, old = self.young, self.old
+        lined = []
+        for p in [p for p in need if "\n" in p] if self.divided else ():
+            own = p.split("\n")
+            if p not in old and not any(not x or x[0].isspace() or x[-1].isspace() for x in own):
+                lined.append((p, own))
+                need.discard(p)
+                if own[0] not in young:
+                    need.add(own[0])
+                heads.update(x for x in own[1:] if x not in self.heads)
+        for p in need & old.keys():
+            young[p] = old[p]
+        for cache, lead, new in ((young, "\u0120", need - old.keys()), (self.heads, "", heads)):
+            words: set[str] = set()
+            ended, other = [], []
+            for p in new:
+                if self.divided and _is_word(p):
+                    words.add(p)
+                elif self.divided and p[-1:] in self.ends and _is_word(core := p[:-1]):
+                    ended.append((p, core))
+                    if core not in cache:
+                        words.add(core)
+                elif not p[-1:].isspace() and (not lead or p and not p[0].isspace()):
+                    other.append(p)
+            own = [w for w in words if w not in cache]
+            cache.update(zip(own, self._encode_words(own, lead), strict=True))
+            cache.update((p, cache[core] + self.ends[p[-1]]) for p, core in ended)
+            cache.update(zip(other, self._encode([" " + p for p in other] if lead else other), strict=True))
+        young.update((p, self.line.join([young[own[0]], *(self.heads[x] for x in own[1:])])) for p, own in lined)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -81,13 +145,19 @@ class Encoder:
         if len(self.heads) > CACHE:
             self.heads = {}
         parts = [t.split(" ") for t in texts]
-        self._learn(parts)
+        heads = {own[0] for own in parts if own[0] not in self.heads}
+        found = [list(map(self.young.get, own[1:])) for own in parts]
+        need: set[str] = set()
+        for own, got in zip(parts, found, strict=True):
+            if None in got:
+                need.update(p for p, x in zip(own[1:], got, strict=True) if x is None)
+        self._learn(need, heads)
         out = []
-        for text, own in zip(texts, parts, strict=True):
-            try:
-                out.append(self.heads[own[0]] + b"".join(map(self.young.__getitem__, own[1:])))
-            except KeyError:
-                out.append(b"".join(self._encode(_CUT.split(text))))
+        for text, own, got in zip(texts, parts, found, strict=True):
+            if None in got:
+                got = [self.young.get(p) if x is None else x for p, x in zip(own[1:], got, strict=True)]
+            head = self.heads.get(own[0])
+            out.append(b"".join(self._encode(_CUT.split(text))) if head is None or None in got else head + b"".join(got))
         return out
 
     def stream(self, texts: Iterable[str]) -> Iterator[bytes]:

@@ -11,7 +11,7 @@ from edgeloom.llm.queries import tokenizer_path
 from edgeloom.llm.token_files import IdFile, encode_file, pack_bits, token_files, unpack_bits, width_of
 from edgeloom.llm.tokens import Encoder
 
-ODD = ["", " ", "a  b", " lead", "trail ", "tab\t x", "x \n y", "foo\n", "foo\n bar", "foo bar", "it's we'll", "a  b", "x <|endoftext|> y", "\x1c x", "a  b c", "1 2 33", "...  ...", "😀 é 東京"]
+ODD = ["", " ", "a  b", " lead", "trail ", "tab\t x", "x \n y", "foo\n", "foo\n bar", "foo bar", "it's we'll", "a  b", "x <|endoftext|> y", "\x1c x", "a  b c", "1 2 33", "...  ...", "😀 é 東京", "Größe ñandú, ª º µ. don't. x's, ǆ ﬁ. naïve..", "a , . b., c", "the the. the, The.", "a\nb c\nD.\ne, f\n\ng h \ni", "x y.\nZ z\n", "\nq r\ns", "日本語. ключ, ключ"]
 
 
 @pytest.fixture(scope="module")
