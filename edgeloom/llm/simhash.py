@@ -25,6 +25,7 @@ table gives no rows; further columns are ignored by simhash_components() and kep
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,25 +72,26 @@ def _embedding(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(0, 64, SEGMENT_BITS)]
 
 
-def _cells(fp: Column) -> Column:
-    """The cells of the ball of radius 1 about a fingerprint's embedding, each as one number.
+def _dealt(fps: DataFrame) -> DataFrame:
+    """(fp, cell): the cells of the ball of radius 1 about each fingerprint's embedding, each cell as one number.
 
     A count is 0 to SEGMENT_BITS and its neighbours one less and one more, so SEGMENT_BITS + 3 values a segment; numbers
     of 22 digits to the base 6 fit 63 bits, and differ for different cells.
     """
-    own = _embedding(fp)
+    own = _embedding(F.col("fp"))
     steps = [(SEGMENT_BITS + 3) ** i for i in range(len(own))]
-    at = sum(((c + 1).cast("long") * F.lit(s) for c, s in zip(own[1:], steps[1:], strict=True)), (own[0] + 1).cast("long"))
-    return F.array(at, *[at + F.lit(d * s) for s in steps for d in (1, -1)])
+    at = reduce(lambda a, b: a + b, [(c + 1).cast("long") * F.lit(s) for c, s in zip(own, steps, strict=True)])
+    moves = F.array(*[F.lit(m).cast("long") for m in [0, *steps, *(-s for s in steps)]])
+    return fps.select("fp", at.alias("at")).select("fp", F.explode(F.transform(moves, lambda m: F.col("at") + m)).alias("cell"))
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that connect all distinct fingerprints (column fp) at most DISTANCE bits apart."""
-    dealt = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    crowded = dealt.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
-    near = fps.select("fp", F.explode(_cells(F.col("fp"))).alias("cell")).join(crowded, "cell", "left_semi").select("fp").distinct()
+    crowded = _dealt(fps).groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
+    near = _dealt(fps).join(crowded, "cell", "left_semi").select("fp").distinct()
     near = materialise(near, "simhash-near")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(-(2**63) if i == 63 else 1 << i)) for i in range(64)])
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(one(i))))
     by_string = near.select("fp", F.explode(flips).alias("string")).groupBy("string").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_set("fp").alias("fps")).where("low <> high")
     found = by_string.select("low", F.explode("fps").alias("a")).where("a <> low").select("a", F.col("low").alias("b")).distinct()
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
