@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer, pre_tokenizers, processors
 
-CACHE, GROUP, TOGETHER = 400_000, 2 << 20, 5000
+CACHE, GROUP, TOGETHER = 600_000, 1 << 19, 1000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[int, Encoder] = {}
 
@@ -147,17 +147,14 @@ class Encoder:
         parts = [t.split(" ") for t in texts]
         heads = {own[0] for own in parts if own[0] not in self.heads}
         found = [list(map(self.young.get, own[1:])) for own in parts]
-        need: set[str] = set()
-        for own, got in zip(parts, found, strict=True):
-            if None in got:
-                need.update(p for p, x in zip(own[1:], got, strict=True) if x is None)
-        self._learn(need, heads)
+        gaps = [[i for i, x in enumerate(got) if x is None] if None in got else () for got in found]
+        self._learn({own[i + 1] for own, gap in zip(parts, gaps, strict=True) for i in gap}, heads)
         out = []
-        for text, own, got in zip(texts, parts, found, strict=True):
-            if None in got:
-                got = [self.young.get(p) if x is None else x for p, x in zip(own[1:], got, strict=True)]
+        for text, own, got, gap in zip(texts, parts, found, gaps, strict=True):
+            for i in gap:
+                got[i] = self.young.get(own[i + 1])
             head = self.heads.get(own[0])
-            out.append(b"".join(self._encode(_CUT.split(text))) if head is None or None in got else head + b"".join(got))
+            out.append(b"".join(self._encode(_CUT.split(text))) if head is None or gap and None in got else head + b"".join(got))
         return out
 
     def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
