@@ -133,7 +133,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same by brute force, in DuckDB SQL."""
     rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {need(len(set(t.split())))})" for label, t in TEMPLATES)
-    base = " UNION ALL ".join("SELECT doc_id, i - 1 AS at, '{l}' AS label FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE {c}".format(l=label, c=" AND ".join(f"words[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))) for phrase, label in PHRASES)
+    base = " UNION ALL ".join("SELECT doc_id, i - 1 AS place, '{l}' AS label FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE {c}".format(l=label, c=" AND ".join(f"words[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))) for phrase, label in PHRASES)
     return f"""
 WITH t(label, tokens, need) AS (VALUES {rows}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -141,7 +141,7 @@ w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x
 b AS (SELECT doc_id, regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
 m AS (SELECT doc_id, label, len(list_intersect(list_distinct(b.words), tokens)) AS n, len(tokens) AS size FROM b, t WHERE len(list_intersect(list_distinct(b.words), tokens)) >= need),
 p AS ({base}),
-pd AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+pd AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 md AS (SELECT doc_id, max(n / CAST(size AS DOUBLE)) AS score FROM m GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
