@@ -95,25 +95,25 @@ def grid_col(vid: Column, cols: int) -> Column:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Records of two little-endian 64-bit ids: (pos, src, dst), pos by place in the file.
+    """Records of two little-endian 64-bit ids: (pos, src, dst), pos by place in the files, in order of their paths.
 
-    Decoded in the JVM: bytes are reversed as hex digits. One file is one row of binaryFile, so large inputs come as
-    several files, each with its own positions after those of the files before it by path.
+    Decoded in the JVM, record by record: a record's bytes are reversed as hex digits. A file is one row of binaryFile,
+    so large inputs come as several files.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") / 16).cast("long").alias("n"), F.hex("content").alias("h"))
-    sizes = sorted((r["path"], r["n"]) for r in files.select("path", "n").collect())
+    files = spark.read.format("binaryFile").load(path).select("path", div(F.col("length"), F.lit(16)).alias("n"), "content")
     before, starts = 0, []
-    for p, n in sizes:
-        starts.append((p, before))
-        before += n
-    rows = files.join(spark.createDataFrame(starts, "path string, before long"), "path").where("n > 0")
-    rows = rows.select("before", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    for r in sorted(files.select("path", "n").collect()):
+        starts.append((r["path"], before))
+        before += r["n"]
+    k = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    records = F.transform(k, lambda i: F.struct(i.alias("k"), F.hex(F.substring(F.col("content"), i * 16 + 1, F.lit(16))).alias("h")))
+    rows = files.where("n > 0").select("path", F.explode(records).alias("r")).join(F.broadcast(spark.createDataFrame(starts, "path string, before long")), "path")
 
     def number(offset: int) -> Column:
-        digits = F.concat(*[F.substring("h", (F.col("k") * 32 + 1 + offset + 2 * b).cast("int"), F.lit(2)) for b in range(7, -1, -1)])
+        digits = F.concat(*[F.substring("r.h", 2 * (offset + b) + 1, 2) for b in range(7, -1, -1)])
         return F.conv(digits, 16, -10).cast("long")
 
-    return rows.select((F.col("before") + F.col("k")).alias("pos"), number(0).alias("src"), number(16).alias("dst"))
+    return rows.select((F.col("before") + F.col("r.k")).alias("pos"), number(0).alias("src"), number(8).alias("dst"))
 
 
 def binary_edge_count(spark: SparkSession, path: str) -> DataFrame:

@@ -36,8 +36,7 @@ class Replay:
         self._write(new, "edges", batch_id)
         new = self.spark.read.schema("u long, v long, pos long").parquet(f"{self.path}/edges/batch_id={batch_id}")
         # a triangle of the batch has a new edge; the others are new or old
-        fresh, every = new.withColumn("new", F.lit(True)), None
-        every = fresh.unionByName(old.withColumn("new", F.lit(False)))
+        every = new.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
         sides = F.array(*[F.struct(F.col(a).alias("vid"), F.col(b).alias("nbr")) for a, b in (("u", "v"), ("v", "u"))])
         around = every.select(F.explode(sides).alias("e"), "new").select("e.vid", "e.nbr", "new")
         a = around.select(F.col("vid").alias("u"), F.col("nbr").alias("w"), F.col("new").alias("n1"))
