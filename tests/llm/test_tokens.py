@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 from cases import awkward, empty, frame, prose
 from tokenizers import Tokenizer
 
+from edgeloom.llm import tokens
 from edgeloom.llm.packing import capacities, pack
 from edgeloom.llm.queries import tokenizer_path
 from edgeloom.llm.token_files import IdFile, encode_file, pack_bits, token_files, unpack_bits, width_of
@@ -30,6 +32,20 @@ def test_pieces_give_the_same_ids(plain):
             assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_random_texts_and_a_small_table(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    monkeypatch.setattr(tokens, "BLOCK", 200)
+    encoder = Encoder(open(tokenizer_path(), encoding="utf-8").read())
+    r = random.Random(5)
+    parts = [*"aB z'.!,5\n\t\r -_\x00\x1c\x0bé世😀ß²ªſ\u0301\u00a0\u2003", "  ", "\n\n", " \n", "'s", "'ll", "don't", " word", "x" * 30, "<|endoftext|>", "<|endof", "text|>", "\u0120", "\u010a"]
+    for _ in range(40):
+        group = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(100)]
+        want = [e.ids for e in plain.encode_batch(group, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.stream(group)] == want
+    long = "".join(r.choices(parts, k=20000))
+    assert np.frombuffer(encoder.ids([long])[0], "<u4").tolist() == plain.encode(long, add_special_tokens=False).ids
+
+
 def test_bits_round_trip():
     r = np.random.default_rng(1)
     for width in (1, 3, 7, 8, 13, 16, 17, 24, 31, 32):
