@@ -195,9 +195,16 @@ EMITTED = "bucket int, chunk long, payload binary"
 REPLIES = "chunk long, bucket int, payload binary"
 
 
-def split_by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
-    """Borders of the buckets in an array sorted by bucket."""
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+def bucket_runs(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each bucket starts and ends in an array sorted by bucket.
+
+    Only buckets that are there are visited: their number in all grows with the corpus, a chunk's share doesn't.
+    """
+    if not len(bucket):
+        return {}
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(head[1:], len(bucket))
+    return dict(zip(bucket[head].tolist(), zip(head.tolist(), ends.tolist(), strict=True), strict=True))
 
 
 def reduce_buckets(emitted: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

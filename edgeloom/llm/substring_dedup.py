@@ -76,9 +76,8 @@ def _emit_anchors(block: int, buckets: int):
                 indexed = np.zeros(len(keys), bool)
                 indexed[inverse[aligned]] = True
                 flags = indexed.astype(np.uint8) | ((count > 1).astype(np.uint8) << 1)
-                borders = C.split_by_bucket(keys >> np.uint64(32), buckets)
                 low = keys.astype(np.uint32)
-                out = [(b, C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), flags[i:j])) for b, (i, j) in enumerate(zip(borders[:-1], borders[1:], strict=True)) if j > i]
+                out = [(b, C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), flags[i:j])) for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items()]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return emit
@@ -100,10 +99,11 @@ def _reduce_anchors(payloads: list[bytes]) -> list[bytes]:
     return [C.pack_arrays(np.packbits(x)) for x in np.split(bits, ends[:-1])]
 
 
-def _bits(replies: dict[int, bytes], borders: np.ndarray) -> np.ndarray:
-    out = np.zeros(borders[-1], bool)
+def _bits(replies: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
+    """The replies' bits, side by side, for an array sorted by bucket."""
+    out, runs = np.zeros(len(bucket), bool), C.bucket_runs(bucket)
     for b, data in replies.items():
-        i, j = borders[b], borders[b + 1]
+        i, j = runs[b]
         out[i:j] = np.unpackbits(C.unpack_arrays(data)[0], count=j - i).astype(bool)
     return out
 
@@ -115,7 +115,7 @@ class _Candidates:
         block = window // 2
         at, keys, inverse, _ = _anchor_keys(words, block, anchors)
         hit = np.zeros(len(words.hashes) + 1, np.int32)
-        hit[at] = _bits(replies, C.split_by_bucket(keys >> np.uint64(32), anchors))[inverse] if len(at) else 0
+        hit[at] = _bits(replies, keys >> np.uint64(32))[inverse] if len(at) else 0
         del at, keys, inverse
         sums = np.concatenate([[0], np.cumsum(hit)])
         at, h1, h2 = words.windows(window)
@@ -130,7 +130,6 @@ class _Candidates:
         self.group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
         self.h1, self.bucket, self.doc = h1[head], bucket[head], ids[self.row[head]]
-        self.borders = C.split_by_bucket(self.bucket, buckets)
         same_row = np.zeros(len(order), bool)
         same_row[1:] = ~new[1:] & (self.row[1:] == self.row[:-1])
         self.locally = same_row | (ids[self.row] > self.doc[self.group])
@@ -140,10 +139,9 @@ def _emit_windows(window: int, anchors: int, buckets: int):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         found = _Candidates(_Words(chunk), replies.get("anchor", {}), window, anchors, buckets)
         out = []
-        for b, (i, j) in enumerate(zip(found.borders[:-1], found.borders[1:], strict=True)):
-            if j > i:
-                ids, which = np.unique(found.doc[i:j], return_inverse=True)
-                out.append((b, C.pack_arrays(np.diff(found.h1[i:j], prepend=np.uint64(0)), ids, which.astype(np.uint16 if len(ids) < 65536 else np.uint32))))
+        for b, (i, j) in C.bucket_runs(found.bucket).items():
+            ids, which = np.unique(found.doc[i:j], return_inverse=True)
+            out.append((b, C.pack_arrays(np.diff(found.h1[i:j], prepend=np.uint64(0)), ids, which.astype(np.uint16 if len(ids) < 65536 else np.uint32))))
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return work
@@ -166,7 +164,7 @@ def _finish(window: int, anchors: int, buckets: int):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         words = _Words(chunk)
         found = _Candidates(words, replies.get("anchor", {}), window, anchors, buckets)
-        gone = found.at[found.locally | _bits(replies.get("window", {}), found.borders)[found.group]] if len(found.at) else found.at
+        gone = found.at[found.locally | _bits(replies.get("window", {}), found.bucket)[found.group]] if len(found.at) else found.at
         edge = np.zeros(len(words.hashes) + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)

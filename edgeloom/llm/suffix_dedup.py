@@ -96,9 +96,8 @@ def _emit_anchors(length: int, buckets: int):
                 np.maximum.at(high, inverse, ids)
                 count = np.minimum(count, 255).astype(np.uint8)
                 several = (low != high).astype(np.uint8)
-                borders = C.split_by_bucket(keys >> np.uint64(32), buckets)
                 k = keys.astype(np.uint32)
-                out = [(b, C.pack_arrays(np.diff(k[i:j], prepend=np.uint32(0)), count[i:j], several[i:j])) for b, (i, j) in enumerate(zip(borders[:-1], borders[1:], strict=True)) if j > i]
+                out = [(b, C.pack_arrays(np.diff(k[i:j], prepend=np.uint32(0)), count[i:j], several[i:j])) for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items()]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return emit
@@ -127,10 +126,10 @@ class _Contexts:
     def __init__(self, chunk: C.Chunk, replies: dict[int, bytes], length: int, anchors: int, buckets: int):
         place, first, last, row, h = _anchors(chunk, length)
         keys, inverse, _ = _anchor_keys(h, anchors)
-        borders = C.split_by_bucket(keys >> np.uint64(32), anchors)
+        runs = C.bucket_runs(keys >> np.uint64(32))
         verdict = np.zeros(len(keys), np.uint8)
         for b, data in replies.items():
-            verdict[borders[b] : borders[b + 1]] = C.unpack_arrays(data)[0]
+            verdict[slice(*runs[b])] = C.unpack_arrays(data)[0]
         verdict = verdict[inverse] if len(keys) else np.zeros(0, np.uint8)
         far = C.mix64(h) % np.uint64(buckets) if len(h) else h
         seen: dict[tuple[int, int, bytes], int] = {}
@@ -157,7 +156,7 @@ class _Contexts:
         self.doc = np.full(len(seen), np.iinfo(np.int64).max)
         np.minimum.at(self.doc, self.context, chunk.ids[self.row])
         self.strings = np.array([len(s) - length + 1 for _, _, s in self.contexts], np.int64)
-        self.borders = C.split_by_bucket(np.array([b for b, _, _ in self.contexts], np.int64), buckets)
+        self.runs = C.bucket_runs(np.array([b for b, _, _ in self.contexts], np.int64))
 
 
 def _own_bucket(s: bytes, buckets: int) -> int:
@@ -168,11 +167,10 @@ def _emit_contexts(length: int, anchors: int, buckets: int):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         found = _Contexts(chunk, replies.get("anchor", {}), length, anchors, buckets)
         out = []
-        for b, (i, j) in enumerate(zip(found.borders[:-1], found.borders[1:], strict=True)):
-            if j > i:
-                own = found.contexts[i:j]
-                ids, which = np.unique(found.doc[i:j], return_inverse=True)
-                out.append((b, C.pack_arrays(np.frombuffer(b"".join(s for _, _, s in own), np.uint8), np.array([len(s) for _, _, s in own], np.uint8), np.array([left for _, left, _ in own], np.uint8), ids, which.astype(np.uint32))))
+        for b, (i, j) in found.runs.items():
+            own = found.contexts[i:j]
+            ids, which = np.unique(found.doc[i:j], return_inverse=True)
+            out.append((b, C.pack_arrays(np.frombuffer(b"".join(s for _, _, s in own), np.uint8), np.array([len(s) for _, _, s in own], np.uint8), np.array([left for _, left, _ in own], np.uint8), ids, which.astype(np.uint32))))
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return work
@@ -264,7 +262,7 @@ def _finish(length: int, anchors: int, buckets: int):
         found = _Contexts(chunk, replies.get("anchor", {}), length, anchors, buckets)
         verdict = np.zeros(len(found.contexts), np.uint32)
         for b, data in replies.get("context", {}).items():
-            verdict[found.borders[b] : found.borders[b + 1]] = C.unpack_arrays(data)[0]
+            verdict[slice(*found.runs[b])] = C.unpack_arrays(data)[0]
         edge = np.zeros(len(chunk.raw) + 1, np.int32)
         younger = chunk.ids[found.row] > found.doc[found.context] if len(found.row) else np.zeros(0, bool)
         n = found.strings[found.context] if len(found.row) else np.zeros(0, np.int64)
