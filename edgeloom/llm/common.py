@@ -52,6 +52,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is hot.
+HOT_SHARE = 0.001
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: str) -> DataFrame:
+    """rows joined (inner) to the one row of per_key for their key; a null key meets a null key.
+
+    per_key, a written table whose other columns rows has not, tells in n_rows how many rows have a key. Hot keys, of which there are fewer than
+    1 / HOT_SHARE whatever the input, are broadcast, so their rows stay where they are; the others are dealt by key,
+    and none of them has more than HOT_SHARE of the rows.
+    """
+    total = per_key.agg(F.sum(n_rows).alias("n")).first()["n"] or 0
+    is_hot = F.col(n_rows) > F.lit(HOT_SHARE * total)
+    named = lambda df, own: df.select(*[F.col(c).alias(own if c == key else c) for c in per_key.columns])
+    hot, other = named(per_key.where(is_hot), "_hot"), named(per_key.where(~is_hot), "_other")
+    same = lambda own: F.col(key).eqNullSafe(F.col(own))
+    at_once = rows.join(F.broadcast(hot), same("_hot")).drop("_hot")
+    rest = rows.join(F.broadcast(hot.select("_hot")), same("_hot"), "left_anti")
+    return at_once.unionByName(rest.join(other, same("_other")).drop("_other"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body uses it, also within functions of elements."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -15,7 +15,8 @@ share such a string if and only if they differ in at most 2 bits, and at most 65
 near copies of any size gives 64 links a fingerprint at most, never all pairs; each link's bits are counted.
 
 Components: large-star and small-star rounds over the links until nothing changes, written in the shared folder
-round by round. Everything works on distinct fingerprints; copies share theirs and join at the end.
+round by round. Everything works on distinct fingerprints; copies share theirs and join at the end, those of very
+frequent fingerprints (a bounded number of them) without being dealt by it.
 
 Defined cases: a null text has no words and fingerprint 0, linked like any other; fewer than three words are one
 shingle; a null doc_id counts last when the smallest is looked for; repeated rows have the same component; an empty
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise
+from edgeloom.llm.common import join_per_key, materialise
 
 #: Bits of a segment (the last one has the rest): 22 segments.
 SEGMENT_BITS = 3
@@ -121,20 +122,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(fp, component_id, n_links) of each distinct fingerprint that is linked."""
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """(fp, n, component_id) of each distinct fingerprint; n: rows that have it."""
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     fps = materialise(fps, "simhash-fps")
     roots = components(linked(fps.select("fp")))
     ids = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first")
     least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
     linked_ids = ids.join(least, "root").select("fp", "component_id")
-    return fps.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return fps.join(linked_ids, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint (16 hex digits) and component_id, the smallest doc_id it reaches by links."""
     rows = materialise(fingerprints(docs), "simhash-rows")
-    return rows.join(_classes(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialise(_classes(rows), "simhash-classes")
+    return join_per_key(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
