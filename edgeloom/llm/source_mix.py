@@ -12,7 +12,8 @@ document at the border is taken in part (cut) or by rounding (whole documents on
 
 The border is found by a radix select: words are summed by (source, 1024 ranges of the rank), then, in the border
 range alone, by 1024 finer ranges, and only the rows of the border cell, about a millionth of a source, are sorted.
-So a source that holds a third of all rows needs no large window.
+So a source that holds a third of all rows needs no large window, nor are its rows dealt by source: goals of sources
+with a thousandth of the rows or more, which are a thousand at most, are broadcast.
 
 Random numbers are hashes of (doc_id, seed), so reruns agree.
 
@@ -28,14 +29,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialise, words_of
+from edgeloom.llm.common import join_per_key, materialise, words_of
 
 RANGES = 1024
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """A row for each source of sizes (source, size): source, source_size, target."""
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """A row for each source of sizes (source, size): source, n_rows, source_size, target."""
+    sums = sizes.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
     # from here on there is a row for each source
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
     level = (F.sum(F.col("source_size").cast("double")).over(all_rows) - before) / left
     ranked = ranked.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("most"))
     first = F.min(F.when(F.col("open"), F.struct(F.col("most") / F.col("weight"), F.col("level").alias("level")))).over(all_rows)["level"]
-    return ranked.select("source", "source_size", F.when(F.col("open") & (F.col("source_size") > 0), F.least("most", first * F.col("weight"))).otherwise(F.col("most")).alias("target"))
+    return ranked.select("source", "n_rows", "source_size", F.when(F.col("open") & (F.col("source_size") > 0), F.least("most", first * F.col("weight"))).otherwise(F.col("most")).alias("target"))
 
 
 def _border(cells: DataFrame, place: str, goal: Column) -> DataFrame:
@@ -87,8 +88,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
     cells = inner.groupBy("source", "r2", "goal", "before1").agg(F.sum("size").alias("words"))
     fine = _border(cells, "r2", F.col("goal") - F.col("before1"))
     goal = goal.join(fine, same(goal, fine), "left").select(goal["*"], F.col("r2").alias("b2"), F.coalesce("before", F.lit(0)).alias("before2"))
+    goal = materialise(goal, "mix-fine")
 
-    full = rows.join(goal, same(rows, goal)).select(rows["*"], *[goal[c] for c in goal.columns if c != "source"])
+    full = join_per_key(rows, goal, "source", "n_rows")
     full = full.withColumn("rank", F.col("y") / (1 - F.col("y")) / F.greatest(F.col("p") / (1 - F.col("p")), F.lit(1e-300)))
     in_cell = F.coalesce((F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2")), F.lit(False))
     inside = F.coalesce((F.col("r1") < F.col("b1")) | (F.col("r1") == F.col("b1")) & (F.col("r2") < F.col("b2")), F.col("goal") > 0)
