@@ -7,8 +7,8 @@ Links: fingerprints at `distance` = 2 or fewer differing bits. A fingerprint is
 segments. One differing bit moves one count by one, so the Manhattan distance of two embeddings is a lower
 bound of the Hamming distance. A grid range join finds what lies within 2: in the integer grid, two points are
 within Manhattan distance 2 if and only if the balls of radius 1 about them meet, so every point is dealt to the cells
-of its ball and a cell that several fingerprints reach holds candidates. A cell keeps its least and greatest
-fingerprint only, which is enough to see that there are several.
+of its ball and a cell that several fingerprints reach holds candidates. Cells are only counted; from a crowded one the
+way leads back to the points of its own ball, and the fingerprints at these are the candidates.
 
 Exact verification: candidates are linked through the 64-bit strings within one bit of both. Two fingerprints
 share such a string if and only if they differ in at most 2 bits, and at most 65 fingerprints share one, so a group of
@@ -73,23 +73,31 @@ def _embedding(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(0, 64, SEGMENT_BITS)]
 
 
-def _dealt(fps: DataFrame) -> DataFrame:
-    """(fp, cell): the cells of the ball of radius 1 about each fingerprint's embedding, each cell as one number.
+def _ball(point: str) -> Column:
+    """The points of the grid within 1 of a point, each as one number."""
+    steps = [(SEGMENT_BITS + 3) ** i for i in range(0, -(-64 // SEGMENT_BITS))]
+    moves = F.array(*[F.lit(m).cast("long") for m in [0, *steps, *(-s for s in steps)]])
+    return F.explode(F.transform(moves, lambda m: F.col(point) + m))
+
+
+def _placed(fps: DataFrame) -> DataFrame:
+    """(fp, at): each fingerprint's embedding as one number.
 
     A count is 0 to SEGMENT_BITS and its neighbours one less and one more, so SEGMENT_BITS + 3 values a segment; numbers
-    of 22 digits to the base 6 fit 63 bits, and differ for different cells.
+    of 22 digits to the base 6 fit 63 bits, and differ for different points. Digits of `at` are 1 to 4, so one step
+    never carries, and a number one step from a cell is some fingerprint's `at` only if the points are one apart.
     """
     own = _embedding(F.col("fp"))
-    steps = [(SEGMENT_BITS + 3) ** i for i in range(len(own))]
-    at = reduce(lambda a, b: a + b, [(c + 1).cast("long") * F.lit(s) for c, s in zip(own, steps, strict=True)])
-    moves = F.array(*[F.lit(m).cast("long") for m in [0, *steps, *(-s for s in steps)]])
-    return fps.select("fp", at.alias("at")).select("fp", F.explode(F.transform(moves, lambda m: F.col("at") + m)).alias("cell"))
+    return fps.select("fp", reduce(lambda a, b: a + b, [(c + 1).cast("long") * F.lit((SEGMENT_BITS + 3) ** i) for i, c in enumerate(own)]).alias("at"))
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, that connect all distinct fingerprints (column fp) at most DISTANCE bits apart."""
-    crowded = _dealt(fps).groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
-    near = _dealt(fps).join(crowded, "cell", "left_semi").select("fp").distinct()
+    """Links (a, b), a > b, that connect all fingerprints (column fp, each once) at most DISTANCE bits apart."""
+    placed = _placed(fps)
+    crowded = placed.select(_ball("at").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    # back from a crowded cell to the points that reach it: fingerprints are dealt once by their own point
+    reach = crowded.select(_ball("cell").alias("at")).distinct()
+    near = placed.join(reach, "at", "left_semi").select("fp")
     near = materialise(near, "simhash-near")
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(one(i))))
