@@ -148,3 +148,23 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     for rule in reversed(ordered_rules(docs)):
         passed = F.when(rule.on_text, False).otherwise(passed)
     return docs.where(passed)
+
+
+def oracle() -> str:
+    """The same by brute force, in DuckDB SQL."""
+    word = rf"[^{SPACE}]+"
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM w, unnest(range(1, len(words) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+c AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN rw ON rw.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_words >= {LEAST_WORDS} AND word_chars BETWEEN {LEAST_WORD_CHARS} * n_words AND {MOST_WORD_CHARS} * n_words AND n_symbols <= {MOST_SYMBOLS} * n_words
+  AND n_dup_lines <= {MOST_DUP_LINES} * n_lines AND n_repeat_words <= {MOST_REPEATED} * n_words AS kept
+FROM c
+"""

@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import license_scan, topk
+from edgeloom.llm import license_scan, quality_rules, substring_dedup, suffix_dedup, topk
 from edgeloom.llm.common import table
 from edgeloom.llm.packing import pack
-from edgeloom.llm.quality_rules import quality
 from edgeloom.llm.secret_scan import secret_scan
 from edgeloom.llm.simhash import simhash_components
 from edgeloom.llm.source_mix import mix
-from edgeloom.llm.substring_dedup import substring_dedup
-from edgeloom.llm.suffix_dedup import suffix_dedup
 from edgeloom.llm.token_files import token_files
 
 
@@ -26,7 +23,7 @@ def tokenizer_path() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +43,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).drop("failed_rule")
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op7_topk_search": topk.oracle()}
+    return {
+        "op1_substring_dedup": substring_dedup.oracle(),
+        "op2_license_scan": license_scan.oracle(),
+        "op6_suffix_dedup": suffix_dedup.oracle(),
+        "op7_topk_search": topk.oracle(),
+        "op8_quality_rules": quality_rules.oracle(),
+    }

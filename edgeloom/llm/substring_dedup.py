@@ -197,3 +197,17 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_windows(window, anchors, buckets), C.EMITTED), _reduce_windows)
     replies = hits.unionByName(earlier.withColumn("kind", F.lit("window")))
     return C.with_replies(chunks, replies, _finish(window, anchors, buckets), OUT)
+
+
+def oracle(window: int = 20) -> str:
+    """The digests by brute force, in DuckDB SQL: every window of every document."""
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + {window - 1}], ' ') AS win FROM w, unnest(range(1, len(words) - {window - 2})) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+x AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + {window})) AS p FROM r)),
+p AS (SELECT w.doc_id, u.p, words[u.p] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(p)),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n FROM p ANTI JOIN x ON x.doc_id = p.doc_id AND x.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

@@ -326,3 +326,21 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tu
         if len(before) > 1:
             found[suffixes[first][0][:depth]] = sorted(places)
     return sorted(found.items())
+
+
+def oracle(length: int = 50) -> str:
+    """The digests by brute force, in DuckDB SQL: every string of every document."""
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, b[i:i + {length - 1}] AS win FROM d, unnest(range(1, octet_length(b) - {length - 2})) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+s AS (SELECT doc_id, i, i > {length} + coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), {-2 * length}) AS new FROM r),
+n AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+z AS (SELECT doc_id, span, min(i) AS a, max(i) + {length} AS e FROM n GROUP BY doc_id, span),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed FROM z GROUP BY doc_id),
+y AS (SELECT d.doc_id, a, coalesce(lag(e) OVER o, 1) AS begin, a - 1 AS stop FROM d JOIN z ON z.doc_id = d.doc_id WINDOW o AS (PARTITION BY d.doc_id ORDER BY a)),
+t AS (SELECT doc_id, begin, stop FROM y UNION ALL SELECT d.doc_id, coalesce(max(e), 1), octet_length(any_value(b)) FROM d LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id),
+h AS (SELECT t.doc_id, string_agg(CASE WHEN stop >= begin THEN hex(b[begin:stop]) ELSE '' END, '' ORDER BY begin) AS kept FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN h ON h.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
