@@ -1,4 +1,7 @@
-"""SimHash near-dedup by a segment-popcount embedding.
+"""SimHash near-dedup by a segment-popcount embedding, and near copies by similarity of their shingles.
+
+simhash_components() links by fingerprints alone, as told here; near_dedup() takes near copies of similarity 0.8 or more
+on five-word shingles, which differ in more bits than links reach: see near_groups().
 
 Fingerprints: 64 bits from the XXH64 (seed 42) of a text's 3-word shingles, repeats included; a bit is 1 if it is set
 in more than half of them.
@@ -31,14 +34,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import join_per_key, materialise
+from edgeloom.llm.common import BASES, join_per_key, materialise, rolling
 
 #: Bits of a segment (the last one has the rest): 22 segments.
 SEGMENT_BITS = 3
 DISTANCE = 2
+#: near_dedup(): words of a shingle, and the Jaccard similarity of shingle sets, as a fraction, from which documents are near copies.
+NEAR_WORDS = 5
+NEAR = (4, 5)
+#: Texts that show which shingles are frequent, and how many of these are told to every task at most.
+SAMPLE = 20000
+MOST_LATE = 200000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
@@ -147,15 +156,138 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return join_per_key(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _near_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
+    """(d, h, g, fp, sid, n, prefix) of every row.
+
+    h, g: hashes of the text; sid, n: hash and size of its shingle set; prefix: the shingles, in the global order, of
+    which a set of similarity NEAR has one at least. The order: by value, but those in `late` (sorted) last.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(3)]
+            sids, sizes, prefixes = [], [], []
+            for text in texts:
+                own = shingles(text)
+                sids.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                behind = np.isin(own, late)
+                prefixes.append(np.concatenate([own[~behind], own[behind]])[: len(own) - _need(len(own)) + 1].view(np.int64))
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            more = [pa.array(fps), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["d", "h", "g", "fp", "sid", "n", "prefix"])
+
+    return _slim(docs).mapInArrow(work, "d long, h long, g int, fp long, sid long, n long, prefix array<long>")
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of a text's NEAR_WORDS-word shingles, as sorted hashes; fewer words are one shingle."""
+    words = (text or "").encode("utf-8", "replace").translate(_UPPER).split()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    if len(words) < NEAR_WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    return np.unique(rolling(hashes, NEAR_WORDS, BASES[0]))
+
+
+def _need(size: int) -> int:
+    """Shingles that a set of so many has to share with another one of similarity NEAR."""
+    return -(-size * NEAR[0] // NEAR[1])
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), text.alias("text"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(sid, shingles) of (sid, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sid", "shingles"])
+
+    return texts.select("sid", "text").mapInArrow(work, "sid long, shingles array<long>")
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles of many documents, by a sample of SAMPLE texts, about; they only decide an order, so any list will do."""
+    total = docs.count()
+    some = _slim(docs).where(F.pmod("h", F.lit(max(1, total // SAMPLE))) == 0).groupBy("h", "g").agg(F.first("text").alias("text"))
+    seen = _sets(some.select(F.col("h").alias("sid"), "text")).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    found = [r["key"] for r in seen.where("n >= 4").orderBy(F.desc("n"), "key").limit(MOST_LATE).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose similarity, counted exactly, is NEAR or more."""
+    pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
+    named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    source = materialise(sets.select("sid", "h", "g").join(named, "sid"), "near-named")
+    texts = _slim(docs).join(source, ["h", "g"]).groupBy("sid").agg(F.first("text").alias("text"))
+    full = materialise(_sets(texts), "near-sets")
+    both = pairs.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * NEAR[1] >= (F.size("x") + F.size("y") - shared) * NEAR[0]).select("a", "b")
+
+
+def _possible(p: str, q: str) -> Column:
+    """Can the sets in rows p and q of one key be similar, if it is the first that they share?"""
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    left = 1 + F.least(n - F.col(f"{p}.pos") - 1, m - F.col(f"{q}.pos") - 1)
+    return (F.least(n, m) * NEAR[1] >= F.greatest(n, m) * NEAR[0]) & (left * sum(NEAR) >= (n + m) * NEAR[0])
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(d, h, g, root) of every row: rows of equal root are near copies, directly or by way of others.
+
+    Near copies are documents whose sets of NEAR_WORDS-word shingles have similarity NEAR (Jaccard) or more. Sets that
+    similar share a shingle of both prefixes, so all pairs are among the rows of a prefix shingle (a key). Links of
+    fingerprints and of each key's rows to one of them come first, are verified and make components; then all pairs of a
+    key's rows that are still in different components are verified, so none is missed, and a large group of near
+    copies doesn't cost all its pairs.
+    """
+    rows = materialise(_near_rows(docs, _frequent(docs)), "near-rows")
+    first = F.first(F.struct("h", "g", "fp", "n", "prefix")).alias("s")
+    sets = materialise(rows.groupBy("sid").agg(first).select("sid", "s.*"), "near-classes")
+    keys = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
+    own = F.struct(F.xxhash64("key", "sid").alias("by"), "sid", "n", "pos")
+    every = Window.partitionBy("key")
+    keys = keys.select("*", F.count("*").over(every).alias("rows"), F.min(own).over(every).alias("q")).where("rows > 1")
+    keys = materialise(keys, "near-keys").alias("p")
+
+    stars = keys.where(_possible("p", "q")).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"))
+    of_fp = materialise(sets.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("n")), "near-fps")
+    same = join_per_key(sets.select("sid", "fp"), of_fp, "fp", "n").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    fps = linked(of_fp.select("fp"))
+    of_a, of_b = (of_fp.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab")
+    across = fps.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    links = materialise(_similar(docs, sets, stars.union(same).union(across)), "near-links")
+
+    roots = materialise(components(links), "near-roots")
+    open_keys = keys.where("rows > 2").join(roots, F.col("p.sid") == F.col("node"), "left").select("key", "p.sid", "n", "pos", F.coalesce("root", "p.sid").alias("root"))
+    open_keys = open_keys.select("*", F.min("root").over(every).alias("low"), F.max("root").over(every).alias("high")).where("low <> high")
+    open_keys = materialise(open_keys, "near-open")
+    p, q = open_keys.alias("p"), open_keys.alias("q")
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") > F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
+    more = _similar(docs, sets, rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")))
+    roots = materialise(components(links.union(more)), "near-roots")
+
+    classes = sets.select("sid").join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
+    sizes = materialise(rows.groupBy("sid").agg(F.count("*").alias("n_rows")).join(classes, "sid"), "near-sizes")
+    return join_per_key(rows.select("d", "h", "g", "sid"), sizes, "sid", "n_rows").select("d", "h", "g", "root")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
+    """One document of each group of near copies, the one with the smallest doc_id, with all its columns.
 
     Rows that share that doc_id are one document: the first by text stays.
     """
-    from pyspark.sql import Window
-
     names = docs.columns
-    own = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
+    groups = materialise(near_groups(docs), "near-groups")
+    own = groups.groupBy("root").agg(F.min("d").alias("k")).select("k").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     kept = rows.join(own, rows["d"].eqNullSafe(own["k"]))
     first = F.row_number().over(Window.partitionBy("d").orderBy("h"))

@@ -78,3 +78,35 @@ def test_empty_and_repeated_rows(spark):
     docs = frame(spark, [(4, "x y z"), (4, "x y z"), (None, "x y z"), (9, None), (8, "")])
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash_components(docs).collect()) == [(0, 4), (4, 4), (4, 4), (8, 8), (9, 8)]
     assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [4, 8]
+
+
+def shingle_set(text):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def similar(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def edited():
+    """Originals and copies with some words changed: similarity on both sides of 0.8; one group shares an original."""
+    r, texts = random.Random(3), []
+    for k in range(12):
+        words = prose(300 + k, 150, 5000)
+        texts.append(words)
+        for edits in (1, 2, 3, 4, 5, 8) if k else (1, 2, 3) * 12:
+            copy = list(words)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+            texts.append(copy)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_near_dedup_takes_edited_copies(spark):
+    texts = edited()
+    group = roots([d for d, _ in texts], lambda a, b: similar(texts[a][1], texts[b][1]))
+    bits = roots([d for d, _ in texts], lambda a, b: (fingerprint(texts[a][1]) ^ fingerprint(texts[b][1])).bit_count() <= 2)
+    assert len(set(bits.values())) > len(set(group.values())) > 12
+    assert sorted(r.doc_id for r in near_dedup(frame(spark, texts)).collect()) == sorted(set(group.values()))
