@@ -196,9 +196,9 @@ def _need(size: int) -> int:
     return -(-size * NEAR[0] // NEAR[1])
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def _slim(docs: DataFrame, *more: str) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), text.alias("text"), *more)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -281,14 +281,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id, with all its columns.
+    """One row of each group of near copies, with all its columns: the smallest doc_id, a null one last, then the first text.
 
-    Rows that share that doc_id are one document: the first by text stays.
+    Rows are told apart by doc_id and text, so rows of different groups stay whatever their doc_ids are.
     """
     names = docs.columns
-    groups = materialise(near_groups(docs), "near-groups")
-    own = groups.groupBy("root").agg(F.min("d").alias("k")).select("k").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    kept = rows.join(own, rows["d"].eqNullSafe(own["k"]))
-    first = F.row_number().over(Window.partitionBy("d").orderBy("h"))
-    return kept.withColumn("n", first).where("n = 1").select("row.*")
+    groups = materialise(near_groups(docs).groupBy("root", "d", "h", "g").agg(F.count("*").alias("n")), "near-groups")
+    by_id = groups.groupBy("root", "d").agg(F.sum("n").alias("ties"))
+    least = by_id.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "ties")).alias("o")).select(F.col("root").alias("r"), F.col("o.d").alias("least"), "o.ties")
+    own = groups.join(least, (F.col("root") == F.col("r")) & F.col("d").eqNullSafe(F.col("least")))
+    own = materialise(own.select("root", F.col("d").alias("k"), F.col("h").alias("kh"), F.col("g").alias("kg"), "ties"), "near-own")
+    rows = _slim(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "row")
+    same = F.col("d").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")) & (F.col("g") == F.col("kg"))
+    kept = rows.join(own.where("ties = 1"), same).select("row.*")
+    tied = materialise(own.where("ties > 1"), "near-tied")
+    if tied.isEmpty():
+        return kept
+    by_text = F.struct(F.col("text").isNull().alias("none"), "text")
+    return kept.unionByName(rows.join(tied, same).groupBy("root").agg(F.min_by("row", by_text).alias("row")).select("row.*"))

@@ -110,3 +110,12 @@ def test_near_dedup_takes_edited_copies(spark):
     bits = roots([d for d, _ in texts], lambda a, b: (fingerprint(texts[a][1]) ^ fingerprint(texts[b][1])).bit_count() <= 2)
     assert len(set(bits.values())) > len(set(group.values())) > 12
     assert sorted(r.doc_id for r in near_dedup(frame(spark, texts)).collect()) == sorted(set(group.values()))
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    a, b, c, d = (" ".join(prose(40 + k, 60)) for k in range(4))
+    texts = [(5, a), (None, a), (None, b), (None, c), (7, c + " more"), (7, d), (8, d), (9, a + " z"), (9, a + " y")]
+    kept = near_dedup(frame(spark, texts)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, a), (0, b), (7, c + " more"), (7, d)])
+    tied = near_dedup(frame(spark, [(9, a + " z"), (9, a + " y"), (9, a + " y"), (None, b), (None, b)])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in tied) == sorted([(9, a + " y"), (0, b)])
