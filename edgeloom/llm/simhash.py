@@ -48,6 +48,8 @@ NEAR = (4, 5)
 #: Texts that show which shingles are frequent, and how many of these are told to every task at most.
 SAMPLE = 20000
 MOST_LATE = 200000
+#: Bits of a shingle set, from which many dissimilar pairs show without their sets.
+PARITIES = 1024
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
@@ -157,29 +159,31 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def _near_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(d, h, g, fp, sid, n, prefix) of every row.
+    """(d, h, g, fp, sid, n, prefix, parities) of every row.
 
     h, g: hashes of the text; sid, n: hash and size of its shingle set; prefix: the shingles, in the global order, of
     which a set of similarity NEAR has one at least. The order: by value, but those in `late` (sorted) last.
+    parities: is the number of shingles with each remainder by PARITIES odd? Sets differ in as many shingles as bits at least.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(3)]
-            sids, sizes, prefixes = [], [], []
+            sids, sizes, prefixes, parities = [], [], [], []
             for text in texts:
                 own = shingles(text)
                 sids.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 sizes.append(len(own))
-                behind = np.isin(own, late)
+                parities.append(np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).view(np.int64))
+                behind = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
                 prefixes.append(np.concatenate([own[~behind], own[behind]])[: len(own) - _need(len(own)) + 1].view(np.int64))
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            more = [pa.array(fps), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["d", "h", "g", "fp", "sid", "n", "prefix"])
+            more = [pa.array(fps), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parities, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["d", "h", "g", "fp", "sid", "n", "prefix", "parities"])
 
-    return _slim(docs).mapInArrow(work, "d long, h long, g int, fp long, sid long, n long, prefix array<long>")
+    return _slim(docs).mapInArrow(work, "d long, h long, g int, fp long, sid long, n long, prefix array<long>, parities array<long>")
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -224,6 +228,11 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity, counted exactly, is NEAR or more."""
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
+    of_a, of_b = (sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"p_{c}")) for c in "ab")
+    odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # similarity s: shingles in one of both sets only are (1 - s) / (1 + s) of both sizes at most
+    pairs = pairs.join(of_a, "a").join(of_b, "b").where(odd * sum(NEAR) <= (F.col("n_a") + F.col("n_b")) * (NEAR[1] - NEAR[0])).select("a", "b")
+    pairs = materialise(pairs, "near-likely")
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     source = materialise(sets.select("sid", "h", "g").join(named, "sid"), "near-named")
     texts = _slim(docs).join(source, ["h", "g"]).groupBy("sid").agg(F.first("text").alias("text"))
@@ -250,7 +259,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     copies doesn't cost all its pairs.
     """
     rows = materialise(_near_rows(docs, _frequent(docs)), "near-rows")
-    first = F.first(F.struct("h", "g", "fp", "n", "prefix")).alias("s")
+    first = F.first(F.struct("h", "g", "fp", "n", "prefix", "parities")).alias("s")
     sets = materialise(rows.groupBy("sid").agg(first).select("sid", "s.*"), "near-classes")
     keys = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
     own = F.struct(F.xxhash64("key", "sid").alias("by"), "sid", "n", "pos")
