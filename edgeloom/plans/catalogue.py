@@ -56,7 +56,7 @@ def _c(spark, sf):
 
 
 def _cev(spark, sf):
-    return S.ingest(spark, sf, "C_ev", lambda: G.canonical(S.user_sequence(spark, sf)))
+    return S.ingest(spark, sf, "C_ev", lambda: G.canonical(S.user_sequence(spark, sf)), "events")
 
 
 def with_(*parts: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.values import div
 from edgeloom.sources.shared import materialise
 
-_ingested: dict[tuple[str, str, str], DataFrame] = {}
+_ingested: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
@@ -29,9 +29,16 @@ def with_positions(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("pos", F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("m", "p", "before")
 
 
-def ingest(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Builds an edge table once a session and directory."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: another string once the table is written again."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = own.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(own)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+def ingest(spark: SparkSession, sf_dir: str, name: str, build, table: str = "lineitem") -> DataFrame:
+    """Builds an edge table once an application, directory and state of the table's files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, f"{sf_dir}/{table}.parquet"))
     if key not in _ingested:
         _ingested[key] = materialise(build(), name)
     return _ingested[key]
@@ -59,7 +66,7 @@ def user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
         after = rows.select((F.col("pos") - 1).alias("pos"), F.col("user_id").alias("dst"))
         return here.join(after, "pos").select("pos", "src", "dst")
 
-    return ingest(spark, sf_dir, "G_ev", build)
+    return ingest(spark, sf_dir, "G_ev", build, "events")
 
 
 def pairs_from_flat(flat: DataFrame) -> DataFrame:
