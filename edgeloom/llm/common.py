@@ -6,8 +6,6 @@ whole arrays and an exchange moves packed arrays instead of a row for every word
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.sources.shared import discard, materialise, new_path, ship  # noqa: F401
+
 #: Bytes of text in a chunk, at most, unless one document is longer.
 CHUNK_BYTES = 4 << 20
 #: Sorts before every id: what a null doc_id counts as.
@@ -31,25 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="edgeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/edgeloom/{name}-{uuid.uuid4().hex}"
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither recompute it nor depend on an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct; `select("row.*")` gives them back."""
+    return F.struct(*[column(c) for c in df.columns])
 
 
 #: A key with more than this share of all rows is hot.
@@ -184,6 +173,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield row()
 
     SCHEMA = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("raw", pa.int64()), ("blob", pa.binary())])
+    ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialise(slim.mapInArrow(pack, CHUNKS), "chunks")
 

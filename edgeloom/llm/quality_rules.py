@@ -1,29 +1,37 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule rejects a document by its counts. The verdict is the same in any order, so the order is free: on a
-bounded sample (SAMPLE documents, about, chosen by hash) every rule is run by itself, its cost is the time it takes
-and its selectivity the share it rejects; rules are then applied by rejection per cost, and a rule is evaluated only
-for documents that all earlier ones let pass (CASE stops at the first branch that holds).
+Each rule rejects a document by what is counted in it. The verdict is the same in any order, so the order is free: on
+a bounded sample (SAMPLE documents, about, chosen by hash) the share that each rule rejects is counted, and its cost is
+estimated from the sample's own characters, words and lines by the passes that the rule makes over them (`work`).
+Rules are ordered one by one: next comes the rule with the most rejections per cost among the sample's documents that no
+earlier rule rejects. The estimate is made of whole numbers in one job, so reruns agree. A rule is evaluated only for
+documents that all earlier ones let pass (CASE stops at the first branch that holds).
+
+quality() returns five counts whatever the verdict, so rules on these cost nothing there and what the cascade spares
+are the rules on the text; quality_filter() returns no counts, and every rule is evaluated only when it is reached.
 
 Defined cases: a null text has no words and fails; documents without words fail the shortest-text rule; repeated
-rows are judged alike; an empty table gives no rows; further columns are kept by quality_filter() and ignored by
-quality().
+rows are judged alike; very long texts are judged whole, as arrays of their words within one row (a text has to fit a
+row's 2 GB); rules with equal rejections per cost come in order of their names; an empty table gives no rows, and its
+rules come in order of their names; further columns are kept by quality_filter() and ignored by quality().
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import SPACE, let, materialise, words_of
+from edgeloom.llm.common import SPACE, let, words_of
 
 #: Documents on which costs and selectivities are estimated, about.
 SAMPLE = 1000
 LEAST_WORDS, MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES = 50, 0.5, 0.25, 0.3
 LEAST_WORD_CHARS, MOST_WORD_CHARS = 2, 20
+MOST_DIGITS, MOST_BULLETS, MOST_ELLIPSES = 0.9, 0.9, 0.3
+BULLET, ELLIPSIS = rf"\A[{SPACE}]*[-*\u2022]", rf"(\.\.\.|\u2026)[{SPACE}]*\z"
 
 
 def n_words(text: Column) -> Column:
@@ -39,6 +47,14 @@ def n_symbols(text: Column) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long")
 
 
+def n_digits(text: Column) -> Column:
+    return (F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))).cast("long")
+
+
+def n_like(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("long")
+
+
 def word_lines(text: Column) -> Column:
     """Lines that hold a word."""
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(rf"[^{SPACE}]"))
@@ -75,59 +91,86 @@ def _union_of(places: Column) -> Column:
     return steps["n"]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every document, whole texts."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, its lines and the counts of every document, whole texts."""
     step = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     step = step.withColumns({"words": words_of(F.col("text")), "lines": word_lines(F.col("text"))})
-    return step.select("doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), n_dup_lines(F.col("lines")).alias("n_dup_lines"), repeat_words(F.col("words")).alias("n_repeat_words"))
+    return step.select("doc_id", "text", "lines", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), n_dup_lines(F.col("lines")).alias("n_dup_lines"), repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a condition on counts(), and the same on the text alone for the cascade."""
+    """on_text: the condition that rejects, on the text alone; on_counts: the same where the counts are there.
+
+    work, work_on_counts: what they cost for a document of so many characters, words and lines, in passes over a
+    character.
+    """
 
     name: str
-    on_counts: Column
     on_text: Column
+    work: Callable[[Column, Column, Column], Column]
+    on_counts: Column
+    work_on_counts: Callable[[Column, Column, Column], Column] = lambda chars, words, lines: F.lit(1)
 
 
 def rules() -> list[Rule]:
+    """The rules. Weights of `work` are fixed: regular expressions count 1 for each pass over the text, an array's element
+    8, a hash of a window 12, and sorting n windows n * log2(n) * 2."""
     c, text = F.col, F.coalesce(F.col("text").cast("string"), F.lit(""))
     few = lambda n: n < LEAST_WORDS
     letters = lambda n, chars: (chars < LEAST_WORD_CHARS * n) | (chars > MOST_WORD_CHARS * n)
     symbols = lambda n, k: k > MOST_SYMBOLS * n
+    like = lambda lines, pattern, most: n_like(lines, pattern) > most * F.size(lines)
+    splitting = lambda chars, words, lines: 2 * chars + 8 * words
+    by_lines = lambda chars, words, lines: 2 * chars + 8 * lines
     return [
-        Rule("few_words", few(c("n_words")), few(n_words(text))),
-        Rule("word_length", letters(c("n_words"), c("word_chars")), letters(n_words(text), word_chars(text))),
-        Rule("symbols", symbols(c("n_words"), c("n_symbols")), symbols(n_words(text), n_symbols(text))),
-        Rule("dup_lines", c("n_dup_lines") > MOST_DUP_LINES * c("n_lines"), let(word_lines(text), lambda x: n_dup_lines(x) > MOST_DUP_LINES * F.size(x))),
-        Rule("repeated_words", c("n_repeat_words") > MOST_REPEATED * c("n_words"), let(words_of(text), lambda w: repeat_words(w) > MOST_REPEATED * F.size(w))),
+        Rule("few_words", few(n_words(text)), splitting, few(c("n_words"))),
+        Rule("word_length", letters(n_words(text), word_chars(text)), lambda x, w, n: splitting(x, w, n) + x, letters(c("n_words"), c("word_chars"))),
+        Rule("symbols", symbols(n_words(text), n_symbols(text)), lambda x, w, n: splitting(x, w, n) + x, symbols(c("n_words"), c("n_symbols"))),
+        Rule("dup_lines", let(word_lines(text), lambda x: n_dup_lines(x) > MOST_DUP_LINES * F.size(x)), by_lines, c("n_dup_lines") > MOST_DUP_LINES * c("n_lines")),
+        Rule("repeated_words", let(words_of(text), lambda w: repeat_words(w) > MOST_REPEATED * F.size(w)), lambda x, w, n: splitting(x, w, n) + 12 * w + 2 * w * F.log2(w + 2), c("n_repeat_words") > MOST_REPEATED * c("n_words")),
+        Rule("digits", n_digits(text) > MOST_DIGITS * word_chars(text), lambda x, w, n: 2 * x, n_digits(c("text")) > MOST_DIGITS * c("word_chars"), lambda x, w, n: x),
+        Rule("bullets", let(word_lines(text), lambda x: like(x, BULLET, MOST_BULLETS)), lambda x, w, n: by_lines(x, w, n) + 4 * n, like(c("lines"), BULLET, MOST_BULLETS), lambda x, w, n: 4 * n),
+        Rule("ellipses", let(word_lines(text), lambda x: like(x, ELLIPSIS, MOST_ELLIPSES)), by_lines, like(c("lines"), ELLIPSIS, MOST_ELLIPSES), lambda x, w, n: x),
     ]
 
 
-def ordered_rules(docs: DataFrame) -> list[Rule]:
-    """The rules by rejection per cost, estimated on the sample."""
+def ordered_rules(docs: DataFrame, given: bool, found: list[Rule] | None = None) -> list[Rule]:
+    """The rules by rejections per cost, estimated on the sample. given: are the counts there?
+
+    The sample isn't gathered: the driver gets a row for each combination of verdicts that occurs in it, 2 to the number
+    of rules at most.
+    """
+    found = sorted(found or rules(), key=lambda r: r.name)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    n = slim.count()
-    sample = slim.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, n // SAMPLE))) == 0)
-    sample = materialise(sample.coalesce(4), "quality-sample")
-
-    def run(rule: Rule) -> tuple[float, float]:
-        began = time.perf_counter()
-        share = sample.agg(F.avg(rule.on_text.cast("int")).alias("x")).first()["x"]
-        return share or 0.0, time.perf_counter() - began
-
-    found = rules()
-    run(found[0])  # the first run also compiles
-    rate = {r.name: (x := run(r))[0] / max(x[1], 1e-6) for r in found}
-    return sorted(found, key=lambda r: (-rate[r.name], r.name))
-
-
-def _cascade(found: list[Rule]) -> Column:
-    """The name of the first rule that rejects, else null."""
-    out = F.when(found[0].on_counts, F.lit(found[0].name))
-    for rule in found[1:]:
-        out = out.when(rule.on_counts, F.lit(rule.name))
+    sample = slim.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = [F.length(text), n_words(text), F.size(word_lines(text))]
+    work = [(r.work_on_counts if given else r.work)(*size).cast("long").alias(f"work{i}") for i, r in enumerate(found)]
+    judged = sample.select(*[r.on_text.alias(f"hit{i}") for i, r in enumerate(found)], *work)
+    rows = judged.groupBy(*[f"hit{i}" for i in range(len(found))]).agg(F.count("*").alias("n"), *[F.sum(f"work{i}").alias(f"work{i}") for i in range(len(found))]).collect()
+    return [found[i] for i in cascade_order(rows, len(found))]
+
+
+def cascade_order(rows: list, k: int) -> list[int]:
+    """Rules 0 to k - 1, next always the one with the most rejections per cost among the rows that are left.
+
+    A row has hit0, hit1 ... (is it rejected?), n (documents) and work0, work1 ... (their cost, in all).
+    """
+    order: list[int] = []
+    while len(order) < k:
+        open_ = [i for i in range(k) if i not in order]
+        rate = {i: sum(r["n"] for r in rows if r[f"hit{i}"]) / max(1, sum(r[f"work{i}"] for r in rows)) for i in open_}
+        order.append(min(open_, key=lambda i: (-rate[i], i)))
+        rows = [r for r in rows if not r[f"hit{order[-1]}"]]
+    return order
+
+
+def cascade(conditions: list[tuple[str, Column]]) -> Column:
+    """The name of the first condition that holds, else null; later ones are not evaluated then."""
+    out = F.when(conditions[0][1], F.lit(conditions[0][0]))
+    for name, condition in conditions[1:]:
+        out = out.when(condition, F.lit(name))
     return out
 
 
@@ -135,7 +178,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, failed_rule (the first in the cascade's order; null if kept)."""
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counts(docs).withColumns({"base_failed": base, "failed_rule": _cascade(ordered_rules(docs))})
+    order = ordered_rules(docs, given=True)
+    judged = _counted(docs).withColumns({"base_failed": base, "failed_rule": cascade([(r.name, r.on_counts) for r in order])})
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule")
 
 
@@ -144,15 +188,13 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     A rule is evaluated only if all earlier ones let the document pass.
     """
-    passed = F.lit(True)
-    for rule in reversed(ordered_rules(docs)):
-        passed = F.when(rule.on_text, False).otherwise(passed)
-    return docs.where(passed)
+    return docs.where(cascade([(r.name, r.on_text) for r in ordered_rules(docs, given=False)]).isNull())
 
 
 def oracle() -> str:
     """The same by brute force, in DuckDB SQL."""
     word = rf"[^{SPACE}]+"
+    bullet, ellipsis = (p.replace("\\u2022", "\u2022").replace("\\u2026", "\u2026") for p in (BULLET, ELLIPSIS))
     return f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
@@ -161,10 +203,11 @@ r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram)
 rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
-  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(regexp_extract_all(text, '[0-9]')) AS n_digits,
+  len(list_filter(lines, lambda x: regexp_matches(x, '{bullet}'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '{ellipsis}'))) AS n_ellipses, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN rw ON rw.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   n_words >= {LEAST_WORDS} AND word_chars BETWEEN {LEAST_WORD_CHARS} * n_words AND {MOST_WORD_CHARS} * n_words AND n_symbols <= {MOST_SYMBOLS} * n_words
-  AND n_dup_lines <= {MOST_DUP_LINES} * n_lines AND n_repeat_words <= {MOST_REPEATED} * n_words AS kept
+  AND n_dup_lines <= {MOST_DUP_LINES} * n_lines AND n_digits <= {MOST_DIGITS} * word_chars AND n_bullets <= {MOST_BULLETS} * n_lines AND n_ellipses <= {MOST_ELLIPSES} * n_lines AND n_repeat_words <= {MOST_REPEATED} * n_words AS kept
 FROM c
 """

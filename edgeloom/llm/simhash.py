@@ -10,12 +10,14 @@ Links: fingerprints at `distance` = 2 or fewer differing bits. A fingerprint is
 segments. One differing bit moves one count by one, so the Manhattan distance of two embeddings is a lower
 bound of the Hamming distance. A grid range join finds what lies within 2: in the integer grid, two points are
 within Manhattan distance 2 if and only if the balls of radius 1 about them meet, so every point is dealt to the cells
-of its ball and a cell that several fingerprints reach holds candidates. Cells are only counted; from a crowded one the
-way leads back to the points of its own ball, and the fingerprints at these are the candidates.
+of its ball, and fingerprints that meet in a cell are the candidates. Cells are counted first; from those that several
+fingerprints reach the way leads back to the points of their own balls, so only fingerprints with candidates are dealt
+with their bits.
 
-Exact verification: candidates are linked through the 64-bit strings within one bit of both. Two fingerprints
-share such a string if and only if they differ in at most 2 bits, and at most 65 fingerprints share one, so a group of
-near copies of any size gives 64 links a fingerprint at most, never all pairs; each link's bits are counted.
+Exact verification: in a cell of PAIRS fingerprints or fewer every pair's bits are counted. A crowded cell is split by the
+64-bit strings at the cell's own point: two of its fingerprints differ in at most 2 bits through this cell if and only
+if both lie within one bit of one such string, and at most 65 fingerprints share one. Those of a string are linked to
+the least of them and each link's bits are counted, so a group of near copies of any size never makes all its pairs.
 
 Components: large-star and small-star rounds over the links until nothing changes, written in the shared folder
 round by round. Everything works on distinct fingerprints; copies share theirs and join at the end, those of very
@@ -37,11 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import BASES, join_per_key, materialise, rolling
+from edgeloom.llm.common import BASES, discard, join_per_key, materialise, rolling, ship, whole_row
 
 #: Bits of a segment (the last one has the rest): 22 segments.
 SEGMENT_BITS = 3
 DISTANCE = 2
+#: Fingerprints of a cell up to which all its pairs are compared.
+PAIRS = 16
 #: near_dedup(): words of a shingle, and the Jaccard similarity of shingle sets, as a fraction, from which documents are near copies.
 NEAR_WORDS = 5
 NEAR = (4, 5)
@@ -77,6 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             own = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
@@ -104,39 +109,58 @@ def _placed(fps: DataFrame) -> DataFrame:
 
 def linked(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that connect all fingerprints (column fp, each once) at most DISTANCE bits apart."""
-    placed = _placed(fps)
-    crowded = placed.select(_ball("at").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    # back from a crowded cell to the points that reach it: fingerprints are dealt once by their own point
-    reach = crowded.select(_ball("cell").alias("at")).distinct()
-    near = placed.join(reach, "at", "left_semi").select("fp")
-    near = materialise(near, "simhash-near")
+    placed = materialise(_placed(fps), "simhash-placed")
+    cells = placed.select(_ball("at").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    cells = materialise(cells, "simhash-cells")
+    # back from a shared cell to the points that reach it: a fingerprint without candidates goes no further
+    reach = cells.select(_ball("cell").alias("at")).distinct()
+    near = materialise(placed.join(reach, "at", "left_semi").select("fp", "at"), "simhash-near")
+    members = materialise(near.select("fp", "at", _ball("at").alias("cell")).join(cells, "cell"), "simhash-members")
+    discard(placed, cells, near)
+
+    few = members.where(F.col("n") <= PAIRS)
+    p, q = few.alias("p"), few.alias("q")
+    # those at one point share its whole ball and are compared in its middle alone
+    once = (F.col("p.at") != F.col("q.at")) | (F.col("p.cell") == F.col("p.at"))
+    bits = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp")))
+    pairs = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.fp") > F.col("q.fp")) & once & (bits <= DISTANCE)).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
+
+    by_string = members.where(F.col("n") > PAIRS).select("fp", F.explode(_strings()).alias("string")).groupBy("string").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_set("fp").alias("fps"))
+    starred = by_string.where("low <> high").select(F.explode("fps").alias("a"), F.col("low").alias("b")).where("a <> b")
+    return pairs.union(starred.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).distinct()
+
+
+def _strings() -> Column:
+    """Of (fp, at, cell): the strings within one bit of fp that the grid places at the cell."""
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(one(i))))
-    by_string = near.select("fp", F.explode(flips).alias("string")).groupBy("string").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_set("fp").alias("fps")).where("low <> high")
-    found = by_string.select("low", F.explode("fps").alias("a")).where("a <> low").select("a", F.col("low").alias("b")).distinct()
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+    step = F.array(*[F.lit((SEGMENT_BITS + 3) ** (i // SEGMENT_BITS)).cast("long") for i in range(64)])
+    moved = lambda i: F.col("at") + F.when(F.col("fp").bitwiseAND(one(i)) == 0, F.get(step, i)).otherwise(-F.get(step, i))
+    flipped = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: moved(i) == F.col("cell")), lambda i: F.col("fp").bitwiseXOR(one(i)))
+    return F.when(F.col("cell") == F.col("at"), F.array("fp")).otherwise(flipped)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the least node of its component."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b): root is the least node of its component.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest chain. Nodes with very
+    many links, such as the root of a large component, are few and meet theirs by a broadcast (join_per_key()).
+    """
     links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    for k in range(most_rounds):
+    state, done = None, False
+    while not done:
         # large star: every greater neighbour of a node links to the node's least neighbour or itself
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lows")
+        large = join_per_key(both, low, "u", "n").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every lesser neighbour and the node itself link to the least one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        links = materialise(small, f"links-{k}")
+        after = materialise(small, "links")
+        discard(links, low)
+        links = after
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
-        if state == now:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
+        done, state = state == now, now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
 
 
@@ -227,19 +251,23 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity, counted exactly, is NEAR or more."""
-    pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
+    every = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
     of_a, of_b = (sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"p_{c}")) for c in "ab")
     odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # similarity s: shingles in one of both sets only are (1 - s) / (1 + s) of both sizes at most
-    pairs = pairs.join(of_a, "a").join(of_b, "b").where(odd * sum(NEAR) <= (F.col("n_a") + F.col("n_b")) * (NEAR[1] - NEAR[0])).select("a", "b")
+    pairs = every.join(of_a, "a").join(of_b, "b").where(odd * sum(NEAR) <= (F.col("n_a") + F.col("n_b")) * (NEAR[1] - NEAR[0])).select("a", "b")
     pairs = materialise(pairs, "near-likely")
+    discard(every)
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     source = materialise(sets.select("sid", "h", "g").join(named, "sid"), "near-named")
     texts = _slim(docs).join(source, ["h", "g"]).groupBy("sid").agg(F.first("text").alias("text"))
     full = materialise(_sets(texts), "near-sets")
+    discard(source)
     both = pairs.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * NEAR[1] >= (F.size("x") + F.size("y") - shared) * NEAR[0]).select("a", "b")
+    found = materialise(both.where(shared * NEAR[1] >= (F.size("x") + F.size("y") - shared) * NEAR[0]).select("a", "b"), "near-found")
+    discard(pairs, full)
+    return found
 
 
 def _possible(p: str, q: str) -> Column:
@@ -258,14 +286,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     key's rows that are still in different components are verified, so none is missed, and a large group of near
     copies doesn't cost all its pairs.
     """
+    ship(docs.sparkSession)
     rows = materialise(_near_rows(docs, _frequent(docs)), "near-rows")
     first = F.first(F.struct("h", "g", "fp", "n", "prefix", "parities")).alias("s")
     sets = materialise(rows.groupBy("sid").agg(first).select("sid", "s.*"), "near-classes")
+    every_row, rows = rows, materialise(rows.select("d", "h", "g", "sid"), "near-ids")
+    discard(every_row)
     keys = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
     own = F.struct(F.xxhash64("key", "sid").alias("by"), "sid", "n", "pos")
     every = Window.partitionBy("key")
     keys = keys.select("*", F.count("*").over(every).alias("rows"), F.min(own).over(every).alias("q")).where("rows > 1")
-    keys = materialise(keys, "near-keys").alias("p")
+    keys_table = materialise(keys, "near-keys")
+    keys = keys_table.alias("p")
 
     stars = keys.where(_possible("p", "q")).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"))
     of_fp = materialise(sets.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("n")), "near-fps")
@@ -273,16 +305,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     fps = linked(of_fp.select("fp"))
     of_a, of_b = (of_fp.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab")
     across = fps.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    links = materialise(_similar(docs, sets, stars.union(same).union(across)), "near-links")
+    links = _similar(docs, sets, stars.union(same).union(across))
 
     roots = materialise(components(links), "near-roots")
     open_keys = keys.where("rows > 2").join(roots, F.col("p.sid") == F.col("node"), "left").select("key", "p.sid", "n", "pos", F.coalesce("root", "p.sid").alias("root"))
     open_keys = open_keys.select("*", F.min("root").over(every).alias("low"), F.max("root").over(every).alias("high")).where("low <> high")
     open_keys = materialise(open_keys, "near-open")
+    discard(keys_table)
     p, q = open_keys.alias("p"), open_keys.alias("q")
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") > F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
     more = _similar(docs, sets, rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")))
-    roots = materialise(components(links.union(more)), "near-roots")
+    first_roots, roots = roots, materialise(components(links.union(more)), "near-roots")
+    discard(first_roots, open_keys, links)
 
     classes = sets.select("sid").join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
     sizes = materialise(rows.groupBy("sid").agg(F.count("*").alias("n_rows")).join(classes, "sid"), "near-sizes")
@@ -294,13 +328,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so rows of different groups stay whatever their doc_ids are.
     """
-    names = docs.columns
     groups = materialise(near_groups(docs).groupBy("root", "d", "h", "g").agg(F.count("*").alias("n")), "near-groups")
     by_id = groups.groupBy("root", "d").agg(F.sum("n").alias("ties"))
     least = by_id.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "ties")).alias("o")).select(F.col("root").alias("r"), F.col("o.d").alias("least"), "o.ties")
     own = groups.join(least, (F.col("root") == F.col("r")) & F.col("d").eqNullSafe(F.col("least")))
     own = materialise(own.select("root", F.col("d").alias("k"), F.col("h").alias("kh"), F.col("g").alias("kg"), "ties"), "near-own")
-    rows = _slim(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "row")
+    rows = _slim(docs.select("doc_id", "text", whole_row(docs).alias("row")), "row")
     same = F.col("d").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")) & (F.col("g") == F.col("kg"))
     kept = rows.join(own.where("ties = 1"), same).select("row.*")
     tied = materialise(own.where("ties > 1"), "near-tied")

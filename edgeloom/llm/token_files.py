@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import tokens
-from edgeloom.llm.common import materialise, new_path
+from edgeloom.llm.common import materialise, new_path, ship
+from edgeloom.sources.shared import arrow_place, qualified
 
 MAGIC, HEAD = b"EDGEIDS1", struct.Struct("<8sIIQQQ")
 BLOCK, FILE_IDS = 4096, 1 << 22
@@ -102,12 +103,12 @@ class IdFile:
 def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all documents below path; returns a row for each file: file, part, number, n_docs, n_ids."""
     spark = docs.sparkSession
+    path = qualified(spark, path)
     spec = tokens.share(spark, tokenizer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from pyarrow import fs
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
@@ -115,7 +116,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fil
         width = width_of(max(encoder.vocabulary, end_id + 1))
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
-        system, root = fs.FileSystem.from_uri(path)
+        system, root = arrow_place(path)
 
         def save() -> pa.RecordBatch:
             nonlocal number, held, size
@@ -157,7 +158,8 @@ def read_files(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(own.starts, own.sizes, strict=True)]
                 yield pa.RecordBatch.from_pydict({"name": [name.as_py().rsplit("/", 1)[-1]] * n, "doc_id": pa.array(own.doc_ids, pa.int64(), mask=own.null.astype(bool)), "own": pa.array(own.starts, pa.int64()), "n_tokens": pa.array(own.sizes, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("path", "content")
+    ship(spark)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(qualified(spark, path)).select("path", "content")
     docs = raw.mapInArrow(work, "name string, doc_id long, own long, n_tokens long, ids_crc32 long")
     # a row for each file: what stands before it
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -168,7 +170,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     """Writes the files and reads them back: doc_id, start, n_tokens, ids_crc32 of every document."""
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
-    files = write_files(docs, tokenizer, path if "://" in path or path.startswith("file:") else f"file://{path}", end_id)
+    files = write_files(docs, tokenizer, path, end_id)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_files(spark, path, files)

@@ -21,6 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer, pre_tokenizers, processors
 
+from edgeloom.sources.shared import ship
+
 #: Pieces that a table holds before it is emptied; pieces looked up at once; characters of a group of texts; pieces of
 #: one call of the tokenizer. CACHE and BLOCK together fill half of the table.
 CACHE, BLOCK, GROUP, TOGETHER = 640_000, 400_000, 1 << 21, 1000
@@ -299,6 +301,7 @@ class Encoder:
 
 def share(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer's file, read by the driver: its size is that of a vocabulary, whatever the corpus."""
+    ship(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
