@@ -6,6 +6,8 @@ whole arrays and an exchange moves packed arrays instead of a row for every word
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,6 +79,13 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[{SPACE}]+"))
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the machine; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def squeeze(data: bytes, level: int = 1) -> bytes:
     z = _Z.get(level) or _Z.setdefault(level, zstandard.ZstdCompressor(level=level))
     return z.compress(data)
@@ -171,6 +180,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 size += len(raw)
         if ids:
             yield row()
+        tidy()
 
     SCHEMA = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("raw", pa.int64()), ("blob", pa.binary())])
     ship(docs.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import tokens
-from edgeloom.llm.common import materialise
+from edgeloom.llm.common import materialise, tidy
 
 LENGTH = 1024
 #: Sequences in a slice, about; tokens of a piece, at least, where there are so many; tokens of a row of the token table.
@@ -84,6 +84,7 @@ def _cut(slices: int):
             kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["slice", "source", "total", "at", "doc_id", "start", "n", "doc_tokens", "ids"])
+        tidy()
 
     return work
 

@@ -34,10 +34,6 @@ MOST_DIGITS, MOST_BULLETS, MOST_ELLIPSES = 0.9, 0.9, 0.3
 BULLET, ELLIPSIS = rf"\A[{SPACE}]*[-*\u2022]", rf"(\.\.\.|\u2026)[{SPACE}]*\z"
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     """Code points in words."""
     return F.length(F.regexp_replace(text, rf"[{SPACE}]+", "")).cast("long")
@@ -98,16 +94,22 @@ def _counted(docs: DataFrame) -> DataFrame:
     return step.select("doc_id", "text", "lines", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), n_dup_lines(F.col("lines")).alias("n_dup_lines"), repeat_words(F.col("words")).alias("n_repeat_words"))
 
 
+#: What rules share; each is made once, when the first rule that needs it is reached.
+PARTS = {"words": words_of, "lines": word_lines}
+Parts = dict[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """on_text: the condition that rejects, on the text alone; on_counts: the same where the counts are there.
+    """rejects: the condition, of the text and the PARTS that it needs; on_counts: the same where the counts are there.
 
     work, work_on_counts: what they cost for a document of so many characters, words and lines, in passes over a
     character.
     """
 
     name: str
-    on_text: Column
+    needs: tuple[str, ...]
+    rejects: Callable[[Parts], Column]
     work: Callable[[Column, Column, Column], Column]
     on_counts: Column
     work_on_counts: Callable[[Column, Column, Column], Column] = lambda chars, words, lines: F.lit(1)
@@ -116,7 +118,7 @@ class Rule:
 def rules() -> list[Rule]:
     """The rules. Weights of `work` are fixed: regular expressions count 1 for each pass over the text, an array's element
     8, a hash of a window 12, and sorting n windows n * log2(n) * 2."""
-    c, text = F.col, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    c = F.col
     few = lambda n: n < LEAST_WORDS
     letters = lambda n, chars: (chars < LEAST_WORD_CHARS * n) | (chars > MOST_WORD_CHARS * n)
     symbols = lambda n, k: k > MOST_SYMBOLS * n
@@ -124,14 +126,14 @@ def rules() -> list[Rule]:
     splitting = lambda chars, words, lines: 2 * chars + 8 * words
     by_lines = lambda chars, words, lines: 2 * chars + 8 * lines
     return [
-        Rule("few_words", few(n_words(text)), splitting, few(c("n_words"))),
-        Rule("word_length", letters(n_words(text), word_chars(text)), lambda x, w, n: splitting(x, w, n) + x, letters(c("n_words"), c("word_chars"))),
-        Rule("symbols", symbols(n_words(text), n_symbols(text)), lambda x, w, n: splitting(x, w, n) + x, symbols(c("n_words"), c("n_symbols"))),
-        Rule("dup_lines", let(word_lines(text), lambda x: n_dup_lines(x) > MOST_DUP_LINES * F.size(x)), by_lines, c("n_dup_lines") > MOST_DUP_LINES * c("n_lines")),
-        Rule("repeated_words", let(words_of(text), lambda w: repeat_words(w) > MOST_REPEATED * F.size(w)), lambda x, w, n: splitting(x, w, n) + 12 * w + 2 * w * F.log2(w + 2), c("n_repeat_words") > MOST_REPEATED * c("n_words")),
-        Rule("digits", n_digits(text) > MOST_DIGITS * word_chars(text), lambda x, w, n: 2 * x, n_digits(c("text")) > MOST_DIGITS * c("word_chars"), lambda x, w, n: x),
-        Rule("bullets", let(word_lines(text), lambda x: like(x, BULLET, MOST_BULLETS)), lambda x, w, n: by_lines(x, w, n) + 4 * n, like(c("lines"), BULLET, MOST_BULLETS), lambda x, w, n: 4 * n),
-        Rule("ellipses", let(word_lines(text), lambda x: like(x, ELLIPSIS, MOST_ELLIPSES)), by_lines, like(c("lines"), ELLIPSIS, MOST_ELLIPSES), lambda x, w, n: x),
+        Rule("few_words", ("words",), lambda p: few(F.size(p["words"])), splitting, few(c("n_words"))),
+        Rule("word_length", ("words",), lambda p: letters(F.size(p["words"]), word_chars(p["text"])), lambda x, w, n: splitting(x, w, n) + x, letters(c("n_words"), c("word_chars"))),
+        Rule("symbols", ("words",), lambda p: symbols(F.size(p["words"]), n_symbols(p["text"])), lambda x, w, n: splitting(x, w, n) + x, symbols(c("n_words"), c("n_symbols"))),
+        Rule("dup_lines", ("lines",), lambda p: n_dup_lines(p["lines"]) > MOST_DUP_LINES * F.size(p["lines"]), by_lines, c("n_dup_lines") > MOST_DUP_LINES * c("n_lines")),
+        Rule("repeated_words", ("words",), lambda p: repeat_words(p["words"]) > MOST_REPEATED * F.size(p["words"]), lambda x, w, n: splitting(x, w, n) + 12 * w + 2 * w * F.log2(w + 2), c("n_repeat_words") > MOST_REPEATED * c("n_words")),
+        Rule("digits", (), lambda p: n_digits(p["text"]) > MOST_DIGITS * word_chars(p["text"]), lambda x, w, n: 2 * x, n_digits(c("text")) > MOST_DIGITS * c("word_chars"), lambda x, w, n: x),
+        Rule("bullets", ("lines",), lambda p: like(p["lines"], BULLET, MOST_BULLETS), lambda x, w, n: by_lines(x, w, n) + 4 * n, like(c("lines"), BULLET, MOST_BULLETS), lambda x, w, n: 4 * n),
+        Rule("ellipses", ("lines",), lambda p: like(p["lines"], ELLIPSIS, MOST_ELLIPSES), by_lines, like(c("lines"), ELLIPSIS, MOST_ELLIPSES), lambda x, w, n: x),
     ]
 
 
@@ -145,9 +147,11 @@ def ordered_rules(docs: DataFrame, given: bool, found: list[Rule] | None = None)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sample = slim.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = [F.length(text), n_words(text), F.size(word_lines(text))]
+    sample = sample.select(text.alias("text"), words_of(text).alias("words"), word_lines(text).alias("lines"))
+    parts = {k: F.col(k) for k in ("text", "words", "lines")}
+    size = [F.length("text"), F.size("words"), F.size("lines")]
     work = [(r.work_on_counts if given else r.work)(*size).cast("long").alias(f"work{i}") for i, r in enumerate(found)]
-    judged = sample.select(*[r.on_text.alias(f"hit{i}") for i, r in enumerate(found)], *work)
+    judged = sample.select(*[r.rejects(parts).alias(f"hit{i}") for i, r in enumerate(found)], *work)
     rows = judged.groupBy(*[f"hit{i}" for i in range(len(found))]).agg(F.count("*").alias("n"), *[F.sum(f"work{i}").alias(f"work{i}") for i in range(len(found))]).collect()
     return [found[i] for i in cascade_order(rows, len(found))]
 
@@ -166,20 +170,24 @@ def cascade_order(rows: list, k: int) -> list[int]:
     return order
 
 
-def cascade(conditions: list[tuple[str, Column]]) -> Column:
-    """The name of the first condition that holds, else null; later ones are not evaluated then."""
-    out = F.when(conditions[0][1], F.lit(conditions[0][0]))
-    for name, condition in conditions[1:]:
-        out = out.when(condition, F.lit(name))
-    return out
+def cascade(order: list[Rule], parts: Parts) -> Column:
+    """The name of the first rule that rejects, else null; what comes after it is not evaluated."""
+    if not order:
+        return F.lit(None).cast("string")
+    rule, missing = order[0], [k for k in order[0].needs if k not in parts]
+    if missing:
+        return let(PARTS[missing[0]](parts["text"]), lambda x: cascade(order, parts | {missing[0]: x}))
+    return F.when(rule.rejects(parts), F.lit(rule.name)).otherwise(cascade(order[1:], parts))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, failed_rule (the first in the cascade's order; null if kept)."""
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    order = ordered_rules(docs, given=True)
-    judged = _counted(docs).withColumns({"base_failed": base, "failed_rule": cascade([(r.name, r.on_counts) for r in order])})
+    first = F.lit(None).cast("string")
+    for rule in reversed(ordered_rules(docs, given=True)):
+        first = F.when(rule.on_counts, F.lit(rule.name)).otherwise(first)
+    judged = _counted(docs).withColumns({"base_failed": base, "failed_rule": first})
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule")
 
 
@@ -188,7 +196,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     A rule is evaluated only if all earlier ones let the document pass.
     """
-    return docs.where(cascade([(r.name, r.on_text) for r in ordered_rules(docs, given=False)]).isNull())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.where(cascade(ordered_rules(docs, given=False), {"text": text}).isNull())
 
 
 def oracle() -> str:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import BASES, discard, join_per_key, materialise, rolling, ship, whole_row
+from edgeloom.llm.common import BASES, discard, join_per_key, materialise, rolling, ship, tidy, whole_row
 
 #: Bits of a segment (the last one has the rest): 22 segments.
 SEGMENT_BITS = 3
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             own = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["doc_id", "fp"])
+        tidy()
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
@@ -206,6 +207,7 @@ def _near_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             more = [pa.array(fps), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parities, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["d", "h", "g", "fp", "sid", "n", "prefix", "parities"])
+        tidy()
 
     return _slim(docs).mapInArrow(work, "d long, h long, g int, fp long, sid long, n long, prefix array<long>, parities array<long>")
 
@@ -236,6 +238,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sid", "shingles"])
+        tidy()
 
     return texts.select("sid", "text").mapInArrow(work, "sid long, shingles array<long>")
 
@@ -253,9 +256,7 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity, counted exactly, is NEAR or more."""
     every = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
     of_a, of_b = (sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"p_{c}")) for c in "ab")
-    odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    # similarity s: shingles in one of both sets only are (1 - s) / (1 + s) of both sizes at most
-    pairs = every.join(of_a, "a").join(of_b, "b").where(odd * sum(NEAR) <= (F.col("n_a") + F.col("n_b")) * (NEAR[1] - NEAR[0])).select("a", "b")
+    pairs = every.join(of_a, "a").join(of_b, "b").where(_likely("p_a", "p_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
     pairs = materialise(pairs, "near-likely")
     discard(every)
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
@@ -270,6 +271,15 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def _likely(p: str, q: str, sizes: Column) -> Column:
+    """Do the parity bits p and q of two sets let them be similar?
+
+    At similarity s the shingles of one set only are (1 - s) / (1 + s) of both sizes at most, and as many bits differ.
+    """
+    odd = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return odd * sum(NEAR) <= sizes * (NEAR[1] - NEAR[0])
+
+
 def _possible(p: str, q: str) -> Column:
     """Can the sets in rows p and q of one key be similar, if it is the first that they share?"""
     n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
@@ -310,10 +320,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     roots = materialise(components(links), "near-roots")
     open_keys = keys.where("rows > 2").join(roots, F.col("p.sid") == F.col("node"), "left").select("key", "p.sid", "n", "pos", F.coalesce("root", "p.sid").alias("root"))
     open_keys = open_keys.select("*", F.min("root").over(every).alias("low"), F.max("root").over(every).alias("high")).where("low <> high")
-    open_keys = materialise(open_keys, "near-open")
+    # with their parity bits, so that the join of a key's rows gives likely pairs only
+    open_keys = materialise(open_keys.join(sets.select("sid", "parities"), "sid"), "near-open")
     discard(keys_table)
     p, q = open_keys.alias("p"), open_keys.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") > F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") > F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q") & _likely("p.parities", "q.parities", F.col("p.n") + F.col("q.n")))
     more = _similar(docs, sets, rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")))
     first_roots, roots = roots, materialise(components(links.union(more)), "near-roots")
     discard(first_roots, open_keys, links)

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer, pre_tokenizers, processors
 
-from edgeloom.sources.shared import ship
+from edgeloom.llm.common import ship, tidy
 
 #: Pieces that a table holds before it is emptied; pieces looked up at once; characters of a group of texts; pieces of
 #: one call of the tokenizer. CACHE and BLOCK together fill half of the table.
@@ -105,9 +105,6 @@ class Pieces:
         self.keys = np.zeros((1 << bits, 3), np.uint64)
         self.entry = np.zeros(1 << bits, np.int32)
 
-    def clear(self) -> None:
-        self.keys[:] = 0
-
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
@@ -159,12 +156,11 @@ class Encoder:
             self.divided.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
             self.divided.post_processor = processors.Sequence([])
             self.divided_batch = getattr(self.divided, "encode_batch_fast", self.divided.encode_batch)
-        self.pieces = Pieces()
         self._forget()
 
     def _forget(self) -> None:
         """Empties the table; entry i has ids[at[i] : at[i] + n[i]]."""
-        self.pieces.clear()
+        self.pieces = Pieces()
         self.long: dict[bytes, int] = {}
         self.known = self.used = 0
         self.at, self.n, self.arena = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
@@ -297,6 +293,8 @@ class Encoder:
                 yield from self.ids(held)
                 held, size = [], 0
         yield from self.ids(held)
+        self._forget()  # a task's pieces are of little use to the next one, and workers live on
+        tidy()
 
 
 def share(spark: SparkSession, path: str) -> Broadcast:
