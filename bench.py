@@ -10,7 +10,7 @@ from edgeloom.plans import catalogue
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-NAMES = ["edges_canonical", "edge_classify", "vertex_degree", "triangle_count", "clustering_coefficient", "clustering_last_touch", "common_neighbors", "adjacency_asof", "running_triangles", "batch_stats", "affected_vertices", "shuffle_profile", "set_union", "run_stack"]
+NAMES = ["stack_clustering", "edges_canonical", "edge_classify", "vertex_degree", "triangle_count", "clustering_coefficient", "clustering_last_touch", "common_neighbors", "adjacency_asof", "running_triangles", "batch_stats", "affected_vertices", "shuffle_profile", "set_union", "run_stack"]
 
 
 def main() -> None:

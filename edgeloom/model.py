@@ -10,8 +10,8 @@ EDGES = "pos long, src long, dst long"
 CANONICAL = "u long, v long, pos long"
 RESULTS = "vid long, degree long, triangles long"
 AFFECTED = "batch_id long, vid long"
-#: Edges of a batch, workers, and the last edges that the tail rate is measured on.
-BATCH, NODES, TAIL = 1000, 4, 20000
+#: Edges of a batch, workers, and the last edges that the tail rate is measured on, unless told otherwise.
+BATCH, NODES, TAIL = 1000, 4, 80000
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

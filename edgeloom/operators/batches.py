@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.values import div
-from edgeloom.model import BATCH, NODES
+from edgeloom.model import BATCH, NODES, TAIL
 from edgeloom.operators import graph as G
+from edgeloom.sources.shared import materialise
+
+#: Batches of one block of a running sum.
+RUN_BATCHES = 1 << 12
 
 
 def batch_of(pos: Column, size: int = BATCH) -> Column:
@@ -32,9 +36,16 @@ def changes(c: DataFrame, size: int = BATCH) -> DataFrame:
 
 
 def states(c: DataFrame, size: int = BATCH) -> DataFrame:
-    """(batch_id, vid, d_degree, d_triangles, degree, triangles): results of affected vertices after the batch."""
-    so_far = Window.partitionBy("vid").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return changes(c, size).withColumn("degree", F.sum("d_degree").over(so_far).cast("long")).withColumn("triangles", F.sum("d_triangles").over(so_far).cast("long"))
+    """(batch_id, vid, d_degree, d_triangles, degree, triangles): results of affected vertices after the batch.
+
+    A hub is affected by nearly every batch; its running sums go by blocks of batches (graph.running_sum()).
+    """
+    own = materialise(changes(c, size), "changes")
+    runs = []
+    for name in ("degree", "triangles"):
+        run = G.running_sum(own.select("vid", F.col("batch_id").alias("pos"), F.col(f"d_{name}").alias("delta")), RUN_BATCHES)
+        runs.append(run.select("vid", F.col("pos").alias("batch_id"), F.col("value").alias(name)))
+    return own.join(runs[0], ["vid", "batch_id"]).join(runs[1], ["vid", "batch_id"]).select("batch_id", "vid", "d_degree", "d_triangles", "degree", "triangles")
 
 
 def first_affected(c: DataFrame, most: int, per_node: bool, nodes: int = NODES) -> DataFrame:
@@ -44,6 +55,12 @@ def first_affected(c: DataFrame, most: int, per_node: bool, nodes: int = NODES)
     return rows.withColumn("k", place).where(F.col("k") <= most).select("batch_id", *(["node"] if per_node else []), "vid", "degree", "triangles")
 
 
+def tail_threshold(edges: int, tail: int = TAIL, size: int = BATCH) -> int:
+    """The position from which the tail rate is measured: `tail` edges from the end, down to a border of batches. It is
+    negative for streams shorter than the tail."""
+    return edges - tail - (edges - tail) % size
+
+
 def node_of(vid: Column, nodes: int = NODES) -> Column:
     return F.pmod(vid, F.lit(nodes)).cast("long")
 

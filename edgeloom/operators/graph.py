@@ -6,10 +6,13 @@ lower to higher (degree, id), which bounds the wedges of hubs.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.values import div
+from edgeloom.sources.shared import materialise
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -35,17 +38,40 @@ def degree(c: DataFrame) -> DataFrame:
     return symmetric(c).groupBy("vid").agg(F.count("*").alias("degree"))
 
 
+#: The oriented edges of each simple graph that was asked for triangles.
+_oriented: weakref.WeakKeyDictionary[DataFrame, tuple[DataFrame, int]] = weakref.WeakKeyDictionary()
+#: Bytes of an edge in a hash table, about, and of the largest table of edges that is broadcast.
+EDGE_BYTES, MOST_BROADCAST = 64, 128 << 20
+
+
+def oriented(c: DataFrame) -> tuple[DataFrame, int]:
+    """(s, t, pos) from lower to higher (degree, id), and how many edges; written once for each table c."""
+    if c not in _oriented:
+        d = degree(c)
+        ranked = c.join(d.select(F.col("vid").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("vid").alias("v"), F.col("degree").alias("dv")), "v")
+        up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+        out = materialise(ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("t"), "pos"), "oriented")
+        _oriented[c] = out, out.count()
+    return _oriented[c]
+
+
 def triangles(c: DataFrame) -> DataFrame:
-    """(p, q, r, done_pos): p < q < r, done_pos of the edge that closes it."""
-    d = degree(c)
-    ranked = c.join(d.select(F.col("vid").alias("u"), F.col("degree").alias("du")), "u").join(d.select(F.col("vid").alias("v"), F.col("degree").alias("dv")), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    out = ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("t"), "pos")
-    x, y = out.select("s", F.col("t").alias("t1"), F.col("pos").alias("p1")), out.select("s", F.col("t").alias("t2"), F.col("pos").alias("p2"))
-    wedges = x.join(y, "s").where("t1 < t2")
-    closed = wedges.join(c.select(F.col("u").alias("t1"), F.col("v").alias("t2"), F.col("pos").alias("p3")), ["t1", "t2"])
-    ids = F.array_sort(F.array("s", "t1", "t2"))
-    return closed.select(F.get(ids, F.lit(0)).alias("p"), F.get(ids, F.lit(1)).alias("q"), F.get(ids, F.lit(2)).alias("r"), F.greatest("p1", "p2", "p3").alias("done_pos"))
+    """(p, q, r, done_pos): p < q < r, done_pos of the edge that closes it.
+
+    A vertex has few targets (at most the square root of twice the edges), so its pairs of targets, the wedges, are few; the
+    edge between two targets closes a triangle. While all edges take less than MOST_BROADCAST they are sent to the wedges,
+    which then stay where they are; else both sides are dealt.
+    """
+    own, n = oriented(c)
+    few = F.broadcast if n * EDGE_BYTES < MOST_BROADCAST else (lambda df: df)
+    first = own.select("s", F.col("t").alias("t1"), F.col("pos").alias("p1"))
+    second = own.select("s", F.col("t").alias("t2"), F.col("pos").alias("p2"))
+    third = own.select(F.least("s", "t").alias("t1"), F.greatest("s", "t").alias("t2"), F.col("pos").alias("p3"))
+    wedges = first.join(few(second), "s").where("t1 < t2")
+    closed = wedges.join(few(third), ["t1", "t2"])
+    # t1 < t2, and s is below, between or above them
+    p, q, r = F.least("s", "t1"), F.greatest("t1", F.least("s", "t2")), F.greatest("s", "t2")
+    return closed.select(p.alias("p"), q.alias("q"), r.alias("r"), F.greatest("p1", "p2", "p3").alias("done_pos"))
 
 
 def corners(t: DataFrame) -> DataFrame:
@@ -96,12 +122,12 @@ def edge_triangle_delta(c: DataFrame) -> DataFrame:
 RUN = 1 << 16
 
 
-def running_sum(deltas: DataFrame) -> DataFrame:
+def running_sum(deltas: DataFrame, size: int | None = None) -> DataFrame:
     """(vid, pos, delta), one row for each vid and pos -> (vid, pos, value), inclusive.
 
-    A hub's rows are summed block by block: blocks of positions run in parallel, and only a block's total is carried.
+    A hub's rows are summed block by block: blocks of `size` positions run in parallel, and only a block's total is carried.
     """
-    rows = deltas.withColumn("block", div(F.col("pos"), F.lit(RUN)))
+    rows = deltas.withColumn("block", F.floor(F.col("pos") / F.lit(size or RUN)))
     totals = rows.groupBy("vid", "block").agg(F.sum("delta").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("vid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     carried = totals.select("vid", "block", before.alias("before"))

@@ -15,9 +15,9 @@ from edgeloom.functions import values as V
 from edgeloom.model import BATCH, NODES, TAIL
 from edgeloom.operators import batches as B
 from edgeloom.operators import graph as G
-from edgeloom.plans.stack import CLUSTERING, DEGREE, TRIANGLES, Analysis, Edge, Stack
+from edgeloom.plans.stack import CLUSTERING, DEGREE, TOUCHED, TRIANGLES, Analysis, Edge, Stack
 from edgeloom.sources import graphs as S
-from edgeloom.sources.shared import new_path
+from edgeloom.sources.shared import arrow_place, new_path, ship
 from edgeloom.streaming.replay import replay
 
 ROWS, COLS, COMPLETE = 40, 50, 30
@@ -191,25 +191,26 @@ def affected_per_node(spark, sf):
     return B.first_affected(_c(spark, sf), 100, per_node=True)
 
 
-THRESHOLD = f"((n - {TAIL}) - (((n - {TAIL}) % {BATCH}) + {BATCH}) % {BATCH})"
+#: tail_stats measures a shorter tail, so that small tables have a head too.
+SHORT_TAIL = 20000
 
 
-@query(with_(PS) + f"SELECT n AS edges, {THRESHOLD} AS threshold FROM (SELECT count(*) AS n FROM e)")
-def tail_threshold(spark, sf):
-    return _threshold(_ps(spark, sf))
+def _threshold_sql(tail: int) -> str:
+    return f"((n - {tail}) - (((n - {tail}) % {BATCH}) + {BATCH}) % {BATCH})"
 
 
-def _threshold(edges: DataFrame) -> DataFrame:
+@query(with_(PS) + f"SELECT n AS edges, {_threshold_sql(TAIL)} AS threshold FROM (SELECT count(*) AS n FROM e)")
+def tail_threshold(spark, sf):
     n = F.col("edges") - TAIL
-    return edges.agg(F.count("*").alias("edges")).withColumn("threshold", n - F.pmod(n, F.lit(BATCH)))
+    return _ps(spark, sf).agg(F.count("*").alias("edges")).withColumn("threshold", n - F.pmod(n, F.lit(BATCH)))
 
 
-@query(with_(PS, CORE) + f"SELECT CASE WHEN e.pos >= h THEN 'tail' ELSE 'head' END AS segment, count(*) AS edges, count(c.pos) AS new_edges FROM e LEFT JOIN c ON c.pos = e.pos, (SELECT {THRESHOLD} AS h FROM (SELECT count(*) AS n FROM e)) GROUP BY 1")
+@query(with_(PS, CORE) + f"SELECT CASE WHEN e.pos >= h THEN 'tail' ELSE 'head' END AS segment, count(*) AS edges, count(c.pos) AS new_edges FROM e LEFT JOIN c ON c.pos = e.pos, (SELECT {_threshold_sql(SHORT_TAIL)} AS h FROM (SELECT count(*) AS n FROM e)) GROUP BY 1")
 def tail_stats(spark, sf):
     edges = _ps(spark, sf)
-    cut = edges.sparkSession.createDataFrame([(_threshold(edges).first()["threshold"],)], "threshold long")
-    rows = edges.select("pos").join(_c(spark, sf).select("pos", F.lit(1).alias("new")), "pos", "left").join(F.broadcast(cut))
-    return rows.groupBy(F.when(F.col("pos") >= F.col("threshold"), "tail").otherwise("head").alias("segment")).agg(F.count("*").alias("edges"), F.count("new").alias("new_edges"))
+    cut = B.tail_threshold(edges.count(), SHORT_TAIL)
+    rows = edges.select("pos").join(_c(spark, sf).select("pos", F.lit(1).alias("new")), "pos", "left")
+    return rows.groupBy(F.when(F.col("pos") >= cut, "tail").otherwise("head").alias("segment")).agg(F.count("*").alias("edges"), F.count("new").alias("new_edges"))
 
 
 @query(with_(PS, CORE) + f"SELECT vid, vid % {NODES} AS node, vid // {NODES} AS local_idx, vid AS roundtrip FROM d")
@@ -267,6 +268,81 @@ def set_subset(spark, sf):
     return _sets(spark, sf).select("u", "v", (F.col("n_common") + 1 == F.col("n_u")).alias("closed"))
 
 
+def _neighbourhoods(spark, sf) -> DataFrame:
+    """u, v, a, b: both ends' neighbourhoods as ascending sets, up to WIDEST elements each; larger ones are not for arrays."""
+    own = G.symmetric(_cev(spark, sf)).groupBy("vid").agg(F.array_sort(F.collect_list("nbr")).alias("s"), F.count("*").alias("n"))
+    a, b = (own.where(F.col("n") <= WIDEST).select(F.col("vid").alias(x), F.col("s").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return _cev(spark, sf).select("u", "v").join(a, "u").join(b, "v")
+
+
+#: Elements of a set that is held in a row.
+WIDEST = 100_000
+SHOWN = "array_to_string(list_transform({0}, lambda x: CAST(x AS VARCHAR)), ',')"
+
+
+def _shown(a) :
+    return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+
+
+@query(with_(EV, CORE, NB) + f"SELECT u, v, {SHOWN.format('list_sort(list_distinct(list_concat(a, b)))')} AS either, {SHOWN.format('list_sort(list_intersect(a, b))')} AS both, {SHOWN.format('list_filter(a, lambda x: NOT list_contains(b, x))')} AS only_a FROM uv")
+def set_elements(spark, sf):
+    # the sets themselves, as text
+    a, b = F.col("a"), F.col("b")
+    return _neighbourhoods(spark, sf).select("u", "v", _shown(V.set_union(a, b)).alias("either"), _shown(V.set_intersection(a, b)).alias("both"), _shown(V.set_difference(a, b)).alias("only_a"))
+
+
+@query(with_(EV, CORE, NB) + f"SELECT u, v, {SHOWN.format('list_filter(a, lambda x: x < v)')} AS below, list_contains(a, v) AS found, {SHOWN.format('list_filter(a, lambda x: x > v)')} AS above, {SHOWN.format('list_filter(b, lambda x: x % 2 = 0)')} AS even, {SHOWN.format('list_filter(b, lambda x: x % 2 <> 0)')} AS odd FROM uv")
+def set_split(spark, sf):
+    # N(u) split at v, N(v) by parity
+    parts = _neighbourhoods(spark, sf).select("u", "v", V.split(F.col("a"), F.col("v")).alias("s"), V.partition(F.col("b"), lambda x: x % 2 == 0).alias("p"))
+    return parts.select("u", "v", _shown(F.col("s.below")).alias("below"), F.col("s.found").alias("found"), _shown(F.col("s.above")).alias("above"), _shown(F.col("p.yes")).alias("even"), _shown(F.col("p.no")).alias("odd"))
+
+
+@query(with_(EV, CORE, NB) + f"SELECT u, v, {SHOWN.format('list_sort(list_append(a, -1))')} AS with_one, {SHOWN.format('list_filter(a, lambda x: x <> v)')} AS without_v, list_min(a) AS first, {SHOWN.format('a[2:]')} AS rest, {SHOWN.format('list_sort(list_distinct(list_transform(a, lambda x: x % 10)))')} AS digits, CASE WHEN a < b THEN -1 WHEN a = b THEN 0 ELSE 1 END AS compared FROM uv")
+def set_updates(spark, sf):
+    a = F.col("a")
+    rows = _neighbourhoods(spark, sf).withColumn("m", V.min_view(a))
+    return rows.select("u", "v", _shown(V.insert(a, F.lit(-1).cast("long"))).alias("with_one"), _shown(V.delete(a, F.col("v"))).alias("without_v"), F.col("m.first").alias("first"), _shown(F.col("m.rest")).alias("rest"), _shown(V.set_map(a, lambda x: x % 10)).alias("digits"), V.compare(a, F.col("b")).alias("compared"))
+
+
+def _maps(spark, sf) -> DataFrame:
+    """u, v, a, b: maps from each neighbour to its degree."""
+    c = _cev(spark, sf)
+    rows = G.symmetric(c).join(G.degree(c).select(F.col("vid").alias("nbr"), "degree"), "nbr")
+    own = rows.groupBy("vid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("nbr", "degree")))).alias("m"), F.count("*").alias("n"))
+    a, b = (own.where(F.col("n") <= WIDEST).select(F.col("vid").alias(x), F.col("m").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return c.select("u", "v").join(a, "u").join(b, "v")
+
+
+MAPS = """mp AS (SELECT adj.vid, list({'k': nbr, 'd': d.deg} ORDER BY nbr) AS m FROM adj JOIN d ON d.vid = adj.nbr GROUP BY 1),
+ab AS (SELECT c.u, c.v, x.m AS a, y.m AS b FROM c JOIN mp x ON x.vid = c.u JOIN mp y ON y.vid = c.v),
+en AS (SELECT u, v, unnest(a).k AS k, unnest(a).d AS x, NULL AS y FROM ab UNION ALL SELECT u, v, unnest(b).k, NULL, unnest(b).d FROM ab),
+j AS (SELECT u, v, k, max(x) AS x, max(y) AS y FROM en GROUP BY 1, 2, 3)"""
+
+
+def _map_sql(value: str, where: str) -> str:
+    return f"coalesce(string_agg(CASE WHEN {where} THEN k || ':' || ({value}) END, ',' ORDER BY k), '')"
+
+
+def _map_shown(m) :
+    return F.array_join(F.transform(V.entries(m), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+
+
+@query(with_(EV, CORE, MAPS) + f"SELECT u, v, {_map_sql('coalesce(x, 0) + coalesce(y, 0)', 'true')} AS either, {_map_sql('x * y', 'x IS NOT NULL AND y IS NOT NULL')} AS both, {_map_sql('x', 'y IS NULL')} AS only_a, {_map_sql('CASE WHEN y IS NULL THEN x ELSE x - y END', 'x IS NOT NULL AND (y IS NULL OR x > y)')} AS less FROM j GROUP BY u, v")
+def map_combine(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    less = V.map_difference_with(a, b, lambda x, y: F.when(x > y, x - y))
+    return _maps(spark, sf).select("u", "v", _map_shown(V.map_union_with(a, b, lambda x, y: x + y)).alias("either"), _map_shown(V.map_intersection_with(a, b, lambda x, y: x * y)).alias("both"), _map_shown(V.map_difference(a, b)).alias("only_a"), _map_shown(less).alias("less"))
+
+
+@query(with_(EV, CORE, MAPS) + f"SELECT u, v, {_map_sql('x', 'x IS NOT NULL AND k < v')} AS below, max(CASE WHEN k = v THEN x END) AS found, {_map_sql('x', 'x IS NOT NULL AND k > v')} AS above, {_map_sql('x + 1', 'x % 2 = 0')} AS even, {_map_sql('CASE WHEN k = v THEN 2 * x ELSE x END', 'x IS NOT NULL')} AS altered, {_map_sql('x', 'x IS NOT NULL AND k <> v')} AS deleted, min(CASE WHEN x IS NOT NULL THEN k END) AS first_key FROM j GROUP BY u, v")
+def map_updates(spark, sf):
+    a, v = F.col("a"), F.col("v")
+    rows = _maps(spark, sf).select("u", "v", "a", V.split_lookup(a, v).alias("s"), V.map_min_view(a).alias("m"))
+    maybe = V.map_maybe(a, lambda k, x: F.when(x % 2 == 0, x + 1))
+    return rows.select("u", "v", _map_shown(F.col("s.below")).alias("below"), F.col("s.found").alias("found"), _map_shown(F.col("s.above")).alias("above"), _map_shown(maybe).alias("even"), _map_shown(V.alter(a, v, lambda x: x * 2)).alias("altered"), _map_shown(V.map_delete(a, v)).alias("deleted"), F.col("m.first.key").alias("first_key"))
+
+
 @query(with_(EV, CORE, NB) + "SELECT u, v, list_min(a) AS min_u, list_max(a) AS max_u, list_min(b) AS min_v, list_max(b) AS max_v FROM uv")
 def set_minmax(spark, sf):
     return _sets(spark, sf).select("u", "v", F.col("least_u").alias("min_u"), F.col("most_u").alias("max_u"), F.col("least_v").alias("min_v"), F.col("most_v").alias("max_v"))
@@ -320,6 +396,39 @@ def on_edges(spark, sf):
     return G.symmetric(c).join(d, "nbr").groupBy("vid").agg(F.sum("degree").alias("nbr_degree_sum"))
 
 
+@query(with_(EV, CORE, TRI) + f"SELECT d.vid, deg AS degree, CAST(coalesce(tri, 0) AS BIGINT) AS triangles, {CC}_touched FROM d LEFT JOIN (SELECT tv.vid, count(*) AS tri_seen FROM tv JOIN d ON d.vid = tv.vid WHERE done <= lastpos GROUP BY 1) s ON s.vid = d.vid LEFT JOIN tc ON tc.vid = d.vid".replace("coalesce(tri, 0) * 100", "coalesce(tri_seen, 0) * 100"))
+def stack_clustering(spark, sf):
+    # the coefficient as a program that reads results and sets its own
+    return Stack(TOUCHED, TRIANGLES, DEGREE).run(S.user_sequence(spark, sf).select("pos", "src", "dst"))
+
+
+@query(with_(EV, CORE, TRI) + f"SELECT d.vid, deg AS degree, CAST(coalesce(tri, 0) AS BIGINT) AS triangles, {CC}_touched FROM d LEFT JOIN (SELECT tv.vid, count(*) AS tri_seen FROM tv JOIN d ON d.vid = tv.vid WHERE done <= lastpos GROUP BY 1) s ON s.vid = d.vid LEFT JOIN tc ON tc.vid = d.vid".replace("coalesce(tri, 0) * 100", "coalesce(tri_seen, 0) * 100"))
+def stream_clustering(spark, sf):
+    # the same program, batch by batch
+    return replay(S.user_sequence(spark, sf).select("pos", "src", "dst"), new_path(spark, "replay"), stack=Stack(TOUCHED, TRIANGLES, DEGREE))
+
+
+@query(with_(PS, CORE) + "SELECT d.vid, CAST(coalesce(n, 0) AS BIGINT) AS reached FROM d LEFT JOIN (SELECT y.nbr AS vid, count(*) AS n FROM c JOIN e ON e.pos = c.pos JOIN adj x ON x.vid = e.b AND x.pos < c.pos JOIN adj y ON y.vid = x.nbr AND y.pos < c.pos WHERE e.pos < 4000 GROUP BY 1) s ON s.vid = d.vid")
+def stack_nested_loops(spark, sf):
+    # two steps from the end of each of the first edges, along edges that were there before
+    def body(edge: Edge) -> None:
+        loop = edge.neighbours("end").where(F.col("pos") < 4000).neighbours()
+        edge.increment("reached", loop.vertex, 1, over=loop)
+
+    return Stack(Analysis("reached", body)).run(_ps(spark, sf))
+
+
+@query(with_(PS, CORE) + "SELECT d.vid, CAST(coalesce(n, 0) AS BIGINT) AS busy FROM d LEFT JOIN (SELECT e.a AS vid, sum(k) AS n FROM (SELECT c.pos, count(x.nbr) AS k FROM c JOIN e ON e.pos = c.pos LEFT JOIN adj x ON x.vid = e.b AND x.pos < c.pos AND x.nbr % 2 = 0 GROUP BY 1) t JOIN e ON e.pos = t.pos WHERE k > 3 GROUP BY 1) s ON s.vid = d.vid")
+def stack_locals(spark, sf):
+    # a local that a loop counts up, used in a condition and as a value
+    def body(edge: Edge) -> None:
+        even = edge.neighbours("end")
+        n = edge.local(edge.value(even.where(even.vertex % 2 == 0).count()))
+        edge.when(n.value > 3, lambda e: e.increment("busy", e.start, n.value))
+
+    return Stack(Analysis("busy", body)).run(_ps(spark, sf))
+
+
 @query(with_(PS, CORE) + "SELECT vid, CAST(sum(CASE WHEN (vid + nbr) % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS value FROM adj GROUP BY 1")
 def cond_increment(spark, sf):
     def body(edge: Edge) -> None:
@@ -384,25 +493,24 @@ def stream_replay(spark, sf):
 
 def _binary(spark, sf) -> str:
     """The graph's edges as a binary file: 16 bytes an edge, written by one task for each file."""
-    import struct
-
+    ship(spark)
     path = new_path(spark, "binary")
 
     def write(batches):
+        import numpy as np
         import pandas as pd
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system, root = arrow_place(path)
         system.create_dir(root, recursive=True)
         n = 0
         with system.open_output_stream(f"{root}/edges-{TaskContext.get().partitionId():05d}.bin") as f:
             for b in batches:
-                f.write(b"".join(struct.pack("<qq", s, d) for s, d in zip(b["src"], b["dst"], strict=True)))
+                f.write(np.column_stack([b["src"], b["dst"]]).astype("<i8").tobytes())
                 n += len(b)
         yield pd.DataFrame({"n": [n]})
 
-    _ps(spark, sf).repartitionByRange(4, "pos").sortWithinPartitions("pos").select("src", "dst").mapInPandas(write, "n long").collect()
+    _ps(spark, sf).repartitionByRange("pos").sortWithinPartitions("pos").select("src", "dst").mapInPandas(write, "n long").agg(F.sum("n")).first()
     return path
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.values import div
-from edgeloom.sources.shared import materialise
+from edgeloom.sources.shared import materialise, qualified, ship
 
 _ingested: dict[tuple[str, str, str, str], DataFrame] = {}
 
@@ -104,25 +104,59 @@ def grid_col(vid: Column, cols: int) -> Column:
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Records of two little-endian 64-bit ids: (pos, src, dst), pos by place in the files, in order of their paths.
 
-    Decoded in the JVM, record by record: a record's bytes are reversed as hex digits. A file is one row of binaryFile,
-    so large inputs come as several files.
+    Files are read as fixed-length records, so one large file is many tasks, and each task decodes its records as arrays.
+    A record that a file's end cuts off is an error there; binary_edge_count() counts whole records.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", div(F.col("length"), F.lit(16)).alias("n"), "content")
-    before, starts = 0, []
-    for r in sorted(files.select("path", "n").collect()):
-        starts.append((r["path"], before))
-        before += r["n"]
-    k = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
-    records = F.transform(k, lambda i: F.struct(i.alias("k"), F.hex(F.substring(F.col("content"), i * 16 + 1, F.lit(16))).alias("h")))
-    rows = files.where("n > 0").select("path", F.explode(records).alias("r")).join(F.broadcast(spark.createDataFrame(starts, "path string, before long")), "path")
-
-    def number(offset: int) -> Column:
-        digits = F.concat(*[F.substring("r.h", 2 * (offset + b) + 1, 2) for b in range(7, -1, -1)])
-        return F.conv(digits, 16, -10).cast("long")
-
-    return rows.select((F.col("before") + F.col("r.k")).alias("pos"), number(0).alias("src"), number(8).alias("dst"))
+    import numpy as np
+    import pyarrow as pa
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(qualified(spark, path)).select("path", (F.col("length") - F.col("length") % 16).alias("size")).where("size > 0").orderBy("path")
+    names = [r["path"] for r in files.collect()]  # the files of a folder, as Spark itself lists them on the driver
+    if not names:
+        return spark.createDataFrame([], "pos long, src long, dst long")
+    raw = spark.sparkContext.binaryRecords(",".join(names), 16)
+
+    def decode(k: int, records):
+        import itertools
+
+        records = iter(records)
+        while held := list(itertools.islice(records, 1 << 16)):
+            ids = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+            batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ids[:, 0])), pa.array(np.ascontiguousarray(ids[:, 1]))], ["src", "dst"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield k, sink.getvalue().to_pybytes()
+
+    def opened(batches):
+        for b in batches:
+            for part, order, data in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                own = pa.ipc.open_stream(data.as_py()).read_all().combine_chunks().to_batches()[0]
+                n = own.num_rows
+                place = pa.array(np.full(n, part.as_py(), np.int64)), pa.array(np.full(n, order.as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*place, own.column(0), own.column(1)], ["part", "block", "k", "src", "dst"])
+
+    blocks = raw.mapPartitionsWithIndex(lambda k, records: ((k, i, data) for i, (_, data) in enumerate(decode(k, records))))
+    packed = spark.createDataFrame(blocks, "part long, block long, data binary")
+    rows = materialise(packed.mapInArrow(opened, "part long, block long, k long, src long, dst long"), "records")
+    # what stands before each block: a row for each block of 65536 records
+    sizes = rows.groupBy("part", "block").agg(F.count("*").alias("n"))
+    placed = with_positions(sizes, ["part", "block"])
+    before = running_total(placed, "n")
+    return rows.join(before, ["part", "block"]).select((F.col("before") + F.col("k")).alias("pos"), "src", "dst")
+
+
+def running_total(placed: DataFrame, size: str, run: int = 1 << 12) -> DataFrame:
+    """Rows with a dense pos -> the same and `before`, the sum of `size` of all earlier rows, block by block of positions."""
+    rows = placed.withColumn("_b", F.floor(F.col("pos") / run))
+    totals = rows.groupBy("_b").agg(F.sum(size).alias("_t"))
+    # a row for each block of positions
+    carried = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(size).over(Window.partitionBy("_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(carried, "_b").withColumn("before", F.col("_own") + F.col("_before")).drop("_b", "_own", "_before", "pos", size)
 
 
 def binary_edge_count(spark: SparkSession, path: str) -> DataFrame:
     """Whole records in the files, from their lengths alone."""
-    return spark.read.format("binaryFile").load(path).select(F.floor(F.col("length") / 16).alias("n")).agg(F.sum("n").cast("long").alias("n"))
+    return spark.read.format("binaryFile").load(qualified(spark, path)).select(F.floor(F.col("length") / 16).alias("n")).agg(F.sum("n").cast("long").alias("n"))

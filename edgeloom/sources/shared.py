@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where each table that materialise() wrote lies.
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 _watched: set[str] = set()
 
@@ -29,15 +30,21 @@ def is_local(spark: SparkSession) -> bool:
     return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where it is unset and one machine runs everything, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = _configured(spark)
     if not root:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="edgeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _roots.get(spark.sparkContext.applicationId)
+    if not root:
+        root = _roots[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="edgeloom-")
         spark.sparkContext.setCheckpointDir(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 
@@ -94,8 +101,11 @@ def discard(*tables: DataFrame) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back, so later jobs depend on no executor and repeat nothing."""
-    path = new_path(df.sparkSession, name)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
     df.write.option("compression", "zstd").parquet(path)
+    # a join may broadcast a table by the size of its files; those of ids and counts are several times smaller than their rows
+    if conf.get("spark.sql.sources.fileCompressionFactor", "1.0") == "1.0":
+        conf.set("spark.sql.sources.fileCompressionFactor", "8.0")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

@@ -1,8 +1,12 @@
-"""Edges as a stream: each micro-batch extends the graph and the results.
+"""Edges as a stream: each micro-batch extends the graph and the results of a stack of analyses.
 
-State is two append-only tables below one path: edges by batch and deltas (vid, degree, triangles) by batch. A batch
-that runs again overwrites its own partitions, so results are right under at-least-once delivery. A result is the sum of its
-deltas.
+State is three append-only tables below one path: edges, sums of deltas (vid, result, value) and puts (vid, result, at,
+step, value), all by batch. A batch that runs again overwrites its own partitions and sees earlier batches only, so results
+are right under at-least-once delivery. A result is the sum of its deltas, or its latest put.
+
+A batch looks at the old edges of its own vertices and of what lies between them, no others: while the batch's vertices
+are few (MOST_VERTICES) they are sent to the scans of the old edges, so the old graph is read, but neither dealt nor
+sorted.
 """
 
 from __future__ import annotations
@@ -11,52 +15,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import graph as G
+from edgeloom.plans.stack import BEFORE, DEGREE, TRIANGLES, Stack, Surroundings
+from edgeloom.sources.shared import materialise
 
-EDGE, DELTA = "u long, v long, pos long, batch_id long", "vid long, degree long, triangles long, batch_id long"
+EDGE = "pos long, src long, dst long, batch_id long"
+SUM, PUT = "vid long, result string, value long, batch_id long", "vid long, result string, at long, step int, value long, batch_id long"
+MOST_VERTICES = 1_000_000
 
 
 class Replay:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, stack: Stack | None = None):
         self.spark, self.path = spark, path
+        self.stack = stack or Stack(DEGREE, TRIANGLES)
 
     def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        empty = self.spark.createDataFrame([], schema)
         try:
             df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except Exception as e:  # nothing is written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return empty
+            return self.spark.createDataFrame([], schema)
         return df if before is None else df.where(F.col("batch_id") < before)
 
     def batch(self, edges: DataFrame, batch_id: int) -> None:
         """Adds one micro-batch of (pos, src, dst)."""
-        old = self._read("edges", EDGE, batch_id).select("u", "v", "pos")
-        new = G.canonical(edges).join(old.select("u", "v"), ["u", "v"], "left_anti")
-        self._write(new, "edges", batch_id)
-        new = self.spark.read.schema("u long, v long, pos long").parquet(f"{self.path}/edges/batch_id={batch_id}")
-        # a triangle of the batch has a new edge; the others are new or old
-        every = new.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
-        sides = F.array(*[F.struct(F.col(a).alias("vid"), F.col(b).alias("nbr")) for a, b in (("u", "v"), ("v", "u"))])
-        around = every.select(F.explode(sides).alias("e"), "new").select("e.vid", "e.nbr", "new")
-        a = around.select(F.col("vid").alias("u"), F.col("nbr").alias("w"), F.col("new").alias("n1"))
-        b = around.select(F.col("vid").alias("v"), F.col("nbr").alias("w"), F.col("new").alias("n2"))
-        found = new.select("u", "v").join(a, "u").where("w <> v").join(b, ["v", "w"])
-        corners = F.array_sort(F.array("u", "v", "w"))
-        triangles = found.select(corners.alias("t")).distinct()
-        t = triangles.select(F.explode("t").alias("vid"), F.lit(0).alias("d"), F.lit(1).alias("t"))
-        d = new.select(F.explode(F.array("u", "v")).alias("vid"), F.lit(1).alias("d"), F.lit(0).alias("t"))
-        self._write(d.union(t).groupBy("vid").agg(F.sum("d").alias("degree"), F.sum("t").alias("triangles")), "deltas", batch_id)
+        ends = lambda df: df.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+        old = self._read("edges", EDGE, batch_id).select("pos", "src", "dst")
+        batch = materialise(edges.where("src <> dst").select("pos", "src", "dst"), "batch")
+        touched = materialise(ends(batch), "batch-vertices")
+        few = F.broadcast if touched.count() <= MOST_VERTICES else (lambda df: df)
+
+        keyed = lambda df: df.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.struct("pos", "src", "dst").alias("e"))
+        mine = old.join(few(touched.select(F.col("vid").alias("src"))), "src", "left_semi").join(few(touched.select(F.col("vid").alias("dst"))), "dst", "left_semi")
+        first = keyed(batch).groupBy("u", "v").agg(F.min("e").alias("e"))
+        self._write(first.join(keyed(mine).select("u", "v"), ["u", "v"], "left_anti").select("e.*"), "edges", batch_id)
+        new = self.spark.read.schema("pos long, src long, dst long").parquet(f"{self.path}/edges/batch_id={batch_id}")
+
+        sides = F.array(F.struct(F.col("src").alias("vid"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("vid"), F.col("src").alias("nbr")))
+        # what came with earlier batches was there before, whatever its position
+        every = old.withColumn("pos", F.lit(BEFORE).cast("long")).unionByName(new)
+        known = every.select(F.explode(sides).alias("e"), "pos").select("e.vid", "e.nbr", F.col("pos").alias("arrived"))
+        earlier = self._read("sums", SUM, batch_id).groupBy("vid", "result").agg(F.sum("value").alias("value"))
+        near = materialise(known.join(few(touched), "vid", "left_semi"), "batch-neighbours")
+
+        def closed() -> DataFrame:
+            """Neighbours of both ends, before the edge: the end with fewer neighbours is gone through."""
+            degree = near.groupBy("vid").agg(F.count("*").alias("n"))
+            a, b = (degree.select(F.col("vid").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
+            up = F.col("n_src") <= F.col("n_dst")
+            out = new.join(a, "src").join(b, "dst").select("pos", "src", "dst", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("less"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("more"))
+            one = near.select(F.col("vid").alias("less"), "nbr", F.col("arrived").alias("a1"))
+            two = near.select(F.col("vid").alias("more"), "nbr", F.col("arrived").alias("a2"))
+            return out.join(one, "less").where("a1 < pos").join(two, ["more", "nbr"]).where("a2 < pos").select("pos", "src", "dst", "nbr")
+
+        # loops over other vertices than the edge's ends need all neighbours
+        deep = any(s.over is not None and s.over.of is not None and not s.over.end for s in self.stack.steps) or any(t.loop.of is not None and not t.loop.end for _, e in self.stack.programs for t in e.totals.values())
+        deltas, puts = self.stack.compiled(Surroundings(new, known if deep else near, closed, earlier))
+        self._write(deltas.groupBy("vid", "result").agg(F.sum("delta").alias("value")), "sums", batch_id)
+        last = puts.groupBy("vid", "result").agg(F.max(F.struct(F.col("pos").alias("at"), "step", "value")).alias("p"))
+        self._write(last.select("vid", "result", "p.*"), "puts", batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
 
     def results(self) -> DataFrame:
-        sums = self._read("deltas", DELTA).groupBy("vid").agg(F.sum("degree").alias("degree"), F.sum("triangles").alias("triangles"))
-        return sums
+        """vid and a column for each analysis."""
+        sums = self._read("sums", SUM).groupBy("vid", "result").agg(F.sum("value").alias("value"))
+        last = self._read("puts", PUT).groupBy("vid", "result").agg(F.max_by("value", F.struct("batch_id", "at", "step")).alias("value"))
+        vertices = self._read("edges", EDGE).select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+        return self.stack.table(vertices, sums, last)
 
     def affected(self) -> DataFrame:
-        return self._read("deltas", DELTA).select("batch_id", "vid")
+        both = self._read("sums", SUM).select("batch_id", "vid").union(self._read("puts", PUT).select("batch_id", "vid"))
+        return both.distinct()
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Feeds all that a streaming DataFrame of (pos, src, dst) has now."""
@@ -64,11 +95,14 @@ class Replay:
         query.awaitTermination()
 
 
-def replay(edges: DataFrame, path: str, batches: int = 3) -> DataFrame:
-    """Writes the edges as files in order of arrival and streams them, a file a micro-batch."""
+def replay(edges: DataFrame, path: str, batches: int = 3, stack: Stack | None = None) -> DataFrame:
+    """Writes the edges as files, one after the other in order of arrival, and streams them, a file a micro-batch."""
     spark = edges.sparkSession
-    edges.repartitionByRange(batches, "pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/input")
+    n = edges.count()
+    for k in range(batches):
+        own = (F.col("pos") >= n * k // batches) & (F.col("pos") < n * (k + 1) // batches)
+        edges.where(own).repartition(1).sortWithinPartitions("pos").write.mode("append").parquet(f"{path}/input")
     stream = spark.readStream.schema("pos long, src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{path}/input")
-    state = Replay(spark, path)
+    state = Replay(spark, path, stack)
     state.run(stream, f"{path}/progress")
     return state.results()

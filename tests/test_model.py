@@ -10,7 +10,7 @@ from edgeloom import cli, model
 from edgeloom.functions import values as V
 from edgeloom.operators import batches as B
 from edgeloom.operators import graph as G
-from edgeloom.plans.stack import CLUSTERING, DEGREE, TRIANGLES, Analysis, Stack
+from edgeloom.plans.stack import CLUSTERING, DEGREE, TOUCHED, TRIANGLES, Analysis, Stack
 from edgeloom.sources import graphs as S
 from edgeloom.streaming.replay import Replay
 
@@ -54,7 +54,8 @@ def test_like_the_sequential_model(spark, edges, monkeypatch):
     assert results(G.triangle_count(c), "degree", "triangles") == [deg, tri]
     assert results(G.clustering_last_touch(c), "cc") == [cc]
     assert {(r.batch_id, r.vid) for r in B.changes(c, 10).collect()} == affected
-    assert results(Stack(CLUSTERING, TRIANGLES, DEGREE).run(frame(spark, edges)), "degree", "triangles") == [deg, tri]
+    found = Stack(CLUSTERING, TOUCHED, TRIANGLES, DEGREE).run(frame(spark, edges)).collect()
+    assert [{r.vid: r[n] for r in found} for n in ("degree", "triangles", "cc_touched")] == [deg, tri, cc]
     runs = defaultdict(dict)
     for r in G.running_degree(c).collect():
         runs[r.vid][r.pos] = r.value
@@ -111,7 +112,13 @@ def test_stack_refuses_what_it_cannot_run():
         Stack(Analysis("a", lambda e: e.increment("b", e.start, 1)))
     with pytest.raises(ValueError, match="twice"):
         Stack(DEGREE, DEGREE)
-    assert "triangles[each of common] += 1" in Stack(DEGREE, TRIANGLES).explain()
+    with pytest.raises(ValueError, match="both put and incremented"):
+        Stack(Analysis("a", lambda e: (e.put("a", e.start, 1), e.increment("a", e.end, 1))))
+    with pytest.raises(ValueError, match="reads degree without"):
+        Stack(DEGREE, Analysis("a", lambda e: e.put("a", e.start, e.get("degree", e.start))))
+    with pytest.raises(ValueError, match="later analysis changes"):
+        Stack(DEGREE, Analysis("a", lambda e: e.put("a", e.start, e.get("degree", e.start)), requires=("degree",)), Analysis("b", lambda e: e.increment("degree", e.start, 1), requires=("a", "degree")))
+    assert "for each of common neighbours" in Stack(DEGREE, TRIANGLES).explain()
 
 
 def test_arguments():
@@ -119,3 +126,128 @@ def test_arguments():
     for bad in ([], ["-batch=5"], ["-fname=x", "-batch=no"], ["-fname=x", "-other=1"]):
         with pytest.raises(SystemExit):
             cli.arguments(bad)
+
+
+def test_a_stack_batch_by_batch(spark, tmp_path):
+    edges = CASES[-1]
+    deg, tri, cc, affected = arrive(edges, 20)
+    stack = Stack(TOUCHED, TRIANGLES, DEGREE, Analysis("met", lambda e: e.increment("met", e.neighbours("start"), 1)))
+    state = Replay(spark, str(tmp_path), stack)
+    rows = frame(spark, edges)
+    for k in (0, 1, 1, 2):
+        state.batch(rows.where((F.col("pos") >= 20 * k) & (F.col("pos") < 20 * k + 20)), k)
+    found = state.results().collect()
+    assert [{r.vid: r[n] for r in found} for n in ("degree", "triangles", "cc_touched")] == [deg, tri, cc]
+    assert {r.vid: r.met for r in found} == {r.vid: r.met for r in stack.run(rows).collect()}
+
+
+def test_programs_with_loops_locals_and_conditions(spark):
+    edges = CASES[-2]
+
+    def body(e):
+        near = e.neighbours("end")
+        small = e.local(0)
+        e.when(e.value(near.count()) < 3, lambda e: small.set(1))
+        e.increment("a", e.start, small.value)
+        of = e.neighbours(e.start + 1)
+        e.increment("a", of.vertex, of.vertex, over=of)
+        two = near.where(near.vertex != e.start).neighbours()
+        e.put("b", two.vertex, e.start * 100 + e.end, over=two)
+
+    got = Stack(Analysis("a", lambda e: body(e), requires=("b",)), Analysis("b")).run(frame(spark, edges)).collect()
+    near, a, b = defaultdict(set), defaultdict(int), {}
+    for x, y in edges:
+        if x == y or y in near[x]:
+            continue
+        a[x] += len(near[y]) < 3
+        for v in near[x + 1] if x + 1 in near else ():
+            a[v] += v
+        for v in near[y] - {x}:
+            for w in near[v]:
+                b[w] = x * 100 + y
+        near[x].add(y)
+        near[y].add(x)
+    assert {r.vid: r.a for r in got} == {v: a[v] for v in near if near[v]}
+    assert {r.vid: r.b for r in got} == {v: b.get(v) for v in near if near[v]}
+
+
+def test_stack_plan_has_few_scans(spark):
+    plan = Stack(CLUSTERING, TRIANGLES, DEGREE).run(frame(spark, CASES[-1]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 14 and plan.count("Exchange hashpartitioning") <= 16
+
+
+def test_library_of_sets_and_maps(spark):
+    df = spark.range(1).select(F.array(*map(F.lit, (1, 3, 5))).alias("a"), F.array(*map(F.lit, (3, 4))).alias("b"), F.from_json(F.lit('{"3": 30, "1": 10, "5": 50}'), "map<string,bigint>").alias("raw"))
+    df = df.select("a", "b", F.map_from_entries(F.transform(F.map_entries("raw"), lambda e: F.struct(e["key"].cast("int").alias("key"), e["value"].alias("value")))).alias("m"))
+    a, m, three, nine = F.col("a"), F.col("m"), F.lit(3), F.lit(9)
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).cast("long").alias("value")) for k, v in ((5, 1), (3, 2), (5, 3))])
+    is_two = lambda x: F.when(x.isNull(), F.lit(2).cast("long"))
+    add = lambda x, y: x + y
+    r = df.select(
+        V.partition(a, lambda x: x > 2).alias("part"), V.min_view(a).alias("mn"), V.max_view(a).alias("mx"), V.delete_min(a).alias("dmin"), V.delete_max(F.array().cast("array<int>")).alias("dmax"), V.set_map(a, lambda x: x % 2).alias("img"),
+        V.unions(F.array(a, F.col("b"))).alias("us"), V.compare(a, F.col("b")).alias("cmp"), V.show_set(a).alias("show"), V.show_map(m).alias("showm"), V.from_list(rows).alias("fl"), V.from_list_with(rows, lambda n, o: n * 10 + o).alias("flw"),
+        V.map_maybe(m, lambda k, v: F.when(v > 10, v + k)).alias("maybe"), V.map_either(m, lambda k, v: k < 3, lambda k, v: v, lambda k, v: -v).alias("either"), V.map_partition(m, lambda k, v: v > 10).alias("mp"), V.split_lookup(m, three).alias("sl"),
+        V.map_insert(m, nine, F.lit(90).cast("long")).alias("mi"), V.insert_lookup_with(m, three, F.lit(1).cast("long"), add).alias("il"), V.alter(m, nine, is_two).alias("al"), V.alter(m, three, is_two).alias("al2"), V.update(m, three, lambda v: F.when(v > 99, v)).alias("up"),
+        V.update_lookup(m, three, lambda v: v + 1).alias("ul"), V.map_difference_with(m, V.map_from_set(F.col("b"), F.lit(7).cast("long")), lambda x, y: F.when(x > 99, x)).alias("dw"), V.is_submap(V.map_delete(m, three), m).alias("sub"), V.is_proper_submap(m, m).alias("psub"),
+        V.map_min_view(m).alias("mmin"), V.map_max_view(m).alias("mmax"), V.map_accum(m, F.lit(0).cast("long"), lambda s, k, v: (s + v, s)).alias("acc"), V.map_fold(m, F.lit("").cast("string"), lambda s, k, v: F.concat(s, k.cast("string"))).alias("fold"),
+        V.keys_set(m).alias("ks"), V.unions_with(F.array(m, m, m), add).alias("uw"), V.union_with_set_value(m, F.col("b"), F.lit(1).cast("long"), add).alias("usv"), V.subtract_all(m, F.col("b")).alias("sa"), V.map_values(m, lambda k, v: v - k).alias("mv"), V.lookup(m, nine).alias("lk"),
+    ).first()
+    assert (list(r.part.yes), list(r.part.no), r.mn.first, r.mn.rest, r.mx.first, r.dmin, r.dmax, r.img) == ([3, 5], [1], 1, [3, 5], 5, [3, 5], [], [1])
+    assert (r.us, r["cmp"], r.show, r.showm) == ([1, 3, 4, 5], -1, "fromList [1,3,5]", "fromList [(1,10),(3,30),(5,50)]")
+    assert (r.fl, r.flw, r.maybe) == ({3: 2, 5: 3}, {5: 31, 3: 2}, {3: 33, 5: 55})
+    assert (r.either.left, r.either.right, r.mp.yes, r.mp.no) == ({1: 10}, {3: -30, 5: -50}, {3: 30, 5: 50}, {1: 10})
+    assert (r.sl.below, r.sl.found, r.sl.above) == ({1: 10}, 30, {5: 50})
+    assert (r.mi[9], r.il.old, r.il["map"][3], r.al[9], r.al2, r.up) == (90, 30, 31, 2, {1: 10, 5: 50}, {1: 10, 5: 50})
+    assert (r.ul.value, r.ul["map"][3], r.dw, r.sub, r.psub) == (31, 31, {1: 10, 5: 50}, True, False)
+    assert (r.mmin.first.key, r.mmin.rest, r.mmax.first.key, r.acc.state, r.acc["map"], r.fold) == (1, {3: 30, 5: 50}, 5, 90, {1: 0, 3: 10, 5: 40}, "135")
+    assert (r.ks, r.uw, r.usv, r.sa, r.mv, r.lk) == ([1, 3, 5], {1: 30, 3: 90, 5: 150}, {1: 10, 3: 31, 5: 50, 4: 1}, {1: 10, 5: 50}, {1: 9, 3: 27, 5: 45}, None)
+
+
+def test_binary_files_in_several_parts(spark, tmp_path):
+    import struct
+
+    want = []
+    for f in range(3):
+        own = [(f * 1000 + k, -k) for k in range(70000 if f == 1 else 5)]
+        (tmp_path / f"{f}.bin").write_bytes(b"".join(struct.pack("<qq", *e) for e in own))
+        want += own
+    got = sorted((r.pos, r.src, r.dst) for r in S.read_binary(spark, str(tmp_path)).collect())
+    assert got == [(k, *e) for k, e in enumerate(want)]
+    assert S.binary_edge_count(spark, str(tmp_path)).first().n == len(want)
+
+
+def test_report(spark, capsys):
+    r = cli.report(frame(spark, CASES[-1]), batch=10, tail=25)
+    deg, tri, _, _ = arrive(CASES[-1], 10)
+    assert (r["edges"], r["batches"], r["vertices"], r["triangles"], r["tail"]) == (60, 6, len(deg), sum(tri.values()) // 3, 30)
+    assert B.tail_threshold(100, 80000) == -80000 and B.tail_threshold(123456) == 43000
+
+
+def test_a_rewritten_table_is_read_again(spark, tmp_path):
+    made = []
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        made.append(S.ingest(spark, str(tmp_path), "x", lambda n=n: spark.range(n)).count())
+    assert made == [3, 5]
+
+
+def test_shared_folder_is_asked_for_off_local_mode(spark, monkeypatch):
+    from edgeloom.sources import shared
+
+    assert shared.new_path(spark, "x").startswith("file:/")
+    monkeypatch.setattr(shared, "is_local", lambda s: False)
+    monkeypatch.setattr(shared, "_configured", lambda s: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(spark)
+
+
+def test_tables_are_deleted(spark):
+    import os
+
+    from edgeloom.sources import shared
+
+    table = shared.materialise(spark.range(3), "gone")
+    path = shared._written[table].removeprefix("file:")
+    assert os.path.isdir(path)
+    shared.discard(table)
+    assert not os.path.exists(path)
