@@ -147,6 +147,15 @@ def rolling(symbols: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix64((sums[width:] - sums[:-width]) * inverse)
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` neighbours."""
+    m, have = x, 1
+    while have * 2 <= width:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    return np.minimum(m[: len(x) - width + 1], m[width - have : len(x) - have + 1]) if have < width else m
+
+
 #: Bases of two independent rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 

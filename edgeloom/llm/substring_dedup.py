@@ -1,19 +1,26 @@
 """Substring dedup over words by fixed-block anchors.
 
-A repeat of `window` words holds a whole aligned block of window // 2 words at any alignment. So:
+A repeat of `window` words holds a whole aligned block of window // 2 words of its earlier place, at any alignment. So:
 
 1. *Index and probe.* Every document's non-overlapping blocks are indexed, and every rolling window of a block's
-   length probes the index. A probe is a hit if a block with its words stands at another place.
-2. *Extend.* Hits are extended to windows of the full length; a window is known by its words' fingerprint (64 bits
-   within one of the buckets, which add their own bits) and meets its earliest place in the table.
+   length probes the index. A place is a hit if a block with its words is indexed and stands elsewhere too. Probes are
+   known by hashes here: a hit may be false, and is then dropped by the next step.
+2. *Extend.* Of the hits within a window of the full length the one with the smallest hash is its anchor; windows with
+   equal words have equal anchors at equal offsets. A hit goes to its block's bucket with the words about it that its
+   windows cover. There all places of a block are extended at once, word by word, to the right and to the left: places
+   stay in one class as long as their words are the same (the words themselves, by a dictionary of the bucket). A window
+   that begins `o` words before its block repeats where o words to the left and the rest to the right agree, and the
+   smallest doc_id of the class tells whether it is earlier elsewhere.
 3. *Merge.* Repeated windows that follow or overlap one another join into maximal exact repeats, which are removed.
 
-Nothing grows with the square of a group: a chunk sends each distinct block or window once, with its smallest
-doc_id, and gets one bit back.
+Nothing grows with the square of a group: a chunk sends each distinct context once, with its smallest doc_id, and gets
+one bit a window back. A block with very many places (WIDE) would gather in one bucket, so its windows are dealt one by
+one, by their own words. Within a chunk equal windows are found by two 64-bit hashes and compared word by word.
 
 Defined cases: a null text has no words; a null doc_id sorts before all others; rows that share a doc_id count as
-documents of the same age, so neither is "earlier" than the other, though each loses its own inner repeats; an
-empty table gives no rows; further columns are ignored.
+documents of the same age, so neither is "earlier" than the other, though each loses its own inner repeats; a very long
+text is a chunk of its own, held by one task with its words (2 GB at most); repeats of equal length and place can't
+tie, as places differ; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +37,10 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import common as C
 
-#: Entries of the anchor and the window exchange in one bucket, about.
-ANCHORS_EACH, WINDOWS_EACH = 2_000_000, 1_000_000
+#: Anchors and contexts in one bucket, about; places (a chunk counts 127 at most) from which windows are dealt one by one.
+ANCHORS_EACH, CONTEXTS_EACH, WIDE = 2_000_000, 50_000, 2_000
+#: Places of a chunk whose anchors are sought at a time; windows that are compared at a time.
+BLOCK, COMPARED = 1 << 20, 1 << 15
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start:long,length:long>>"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
@@ -46,9 +55,10 @@ class _Words:
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
         seen: dict[bytes, int] = {}
-        codes = np.fromiter((seen.setdefault(w, len(seen)) for ws in self.words for w in ws), np.int64, int(self.first[-1]))
+        self.codes = np.fromiter((seen.setdefault(w, len(seen)) for ws in self.words for w in ws), np.int32, int(self.first[-1]))
+        self.vocabulary = list(seen)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in seen), np.uint64, len(seen))
-        self.hashes = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+        self.hashes = hashes[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
         self.row = np.repeat(np.arange(len(self.n)), self.n)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,11 +69,13 @@ class _Words:
         return at, C.rolling(self.hashes, width, C.BASES[0])[at], C.rolling(self.hashes, width, C.BASES[1])[at]
 
 
-def _anchor_keys(words: _Words, block: int, buckets: int):
-    at, h1, h2 = words.windows(block)
+def _anchor_keys(h1: np.ndarray, h2: np.ndarray, buckets: int):
     key = ((h2 % np.uint64(buckets)) << np.uint64(32)) | (h1 >> np.uint64(32))
-    keys, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    return at, keys, inverse, count
+    return np.unique(key, return_inverse=True, return_counts=True)
+
+
+def _payloads(chunk: int, out: list[tuple[int, bytes]]) -> dict[str, pa.Array]:
+    return {"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())}
 
 
 def _emit_anchors(block: int, buckets: int):
@@ -71,19 +83,22 @@ def _emit_anchors(block: int, buckets: int):
         for batch in batches:
             for chunk in C.Chunk.rows(batch):
                 words = _Words(chunk)
-                at, keys, inverse, count = _anchor_keys(words, block, buckets)
+                at, h1, h2 = words.windows(block)
+                keys, inverse, count = _anchor_keys(h1, h2, buckets)
                 aligned = (at - words.first[words.row[at]]) % block == 0
-                indexed = np.zeros(len(keys), bool)
-                indexed[inverse[aligned]] = True
-                flags = indexed.astype(np.uint8) | ((count > 1).astype(np.uint8) << 1)
+                indexed = np.zeros(len(keys), np.uint8)
+                indexed[inverse[aligned]] = 1
+                flags = indexed | (np.minimum(count, 127).astype(np.uint8) << 1)
                 low = keys.astype(np.uint32)
                 out = [(b, C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), flags[i:j])) for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items()]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+                yield pa.RecordBatch.from_pydict(_payloads(chunk.chunk, out))
+        C.tidy()
 
     return emit
 
 
 def _reduce_anchors(payloads: list[bytes]) -> list[bytes]:
+    """0: no hit; 1: indexed, and at several places; 2: at very many."""
     got = [C.unpack_arrays(p) for p in payloads]
     keys = np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _ in got])
     flags = np.concatenate([f for _, f in got])
@@ -91,80 +106,187 @@ def _reduce_anchors(payloads: list[bytes]) -> list[bytes]:
     s, f = keys[order], flags[order]
     head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.append(head, len(s)))
-    any_of = np.bitwise_or.reduceat(f, head)
-    live = ((any_of & 1) > 0) & ((size > 1) | ((any_of & 2) > 0))
-    bits = np.zeros(len(keys), np.uint8)
-    bits[order] = np.repeat(live, size)
-    ends = np.cumsum([len(d) for d, _ in got])
-    return [C.pack_arrays(np.packbits(x)) for x in np.split(bits, ends[:-1])]
+    places = np.add.reduceat((f >> 1).astype(np.int64), head)
+    live = (np.bitwise_or.reduceat(f, head) & 1 > 0) & (places > 1)
+    out = np.zeros(len(keys), np.uint8)
+    out[order] = np.repeat(live.astype(np.uint8) * (1 + (places >= WIDE)), size)
+    return [C.pack_arrays(x) for x in np.split(out, np.cumsum([len(d) for d, _ in got])[:-1])]
 
 
-def _bits(replies: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
-    """The replies' bits, side by side, for an array sorted by bucket."""
-    out, runs = np.zeros(len(bucket), bool), C.bucket_runs(bucket)
-    for b, data in replies.items():
-        i, j = runs[b]
-        out[i:j] = np.unpackbits(C.unpack_arrays(data)[0], count=j - i).astype(bool)
-    return out
+class _Contexts:
+    """The windows of a chunk that hold a hit, which of them repeat within the chunk, and the contexts of their anchors.
 
-
-class _Candidates:
-    """Windows of the full length that a hit lies in, grouped by their words within the chunk."""
+    start, row: of each window; locally: does an earlier place within the chunk have its words; context, number: where its
+    verdict will stand. contexts: (bucket, left, codes of the words) in order of bucket, doc: smallest doc_id of each.
+    """
 
     def __init__(self, words: _Words, replies: dict[int, bytes], window: int, anchors: int, buckets: int):
-        block = window // 2
-        at, keys, inverse, _ = _anchor_keys(words, block, anchors)
-        hit = np.zeros(len(words.hashes) + 1, np.int32)
-        hit[at] = _bits(replies, keys >> np.uint64(32))[inverse] if len(at) else 0
-        del at, keys, inverse
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        at, h1, h2 = words.windows(window)
-        live = sums[at + window - block + 1] > sums[at]
-        at, h1, bucket = at[live], h1[live], (h2[live] % np.uint64(buckets)).astype(np.int64)
-        ids = words.chunk.ids
-        row = words.row[at]
-        order = np.lexsort((at, ids[row], h1, bucket))
-        self.at, self.row, h1, bucket = at[order], row[order], h1[order], bucket[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (bucket[1:] != bucket[:-1])
-        self.group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        self.h1, self.bucket, self.doc = h1[head], bucket[head], ids[self.row[head]]
+        block, n = window // 2, len(words.hashes)
+        at, h1, h2 = words.windows(block)
+        keys, inverse, _ = _anchor_keys(h1, h2, anchors)
+        verdict, runs = np.zeros(len(keys), np.uint8), C.bucket_runs(keys >> np.uint64(32))
+        for b, data in replies.items():
+            verdict[slice(*runs[b])] = C.unpack_arrays(data)[0]
+        state, order, far = np.zeros(n + 1, np.uint8), np.full(n + 1, ~np.uint64(0)), np.zeros(n + 1, np.uint64)
+        state[at], order[at], far[at] = verdict[inverse], h1, h2
+        del at, h1, h2, keys, inverse
+        own, w1, w2 = words.windows(window)
+        anchor = np.full(n, -1, np.int64)
+        mask = np.uint64((1 << 22) - 1)
+        reach = window - block + 1
+        for begin in range(0, max(0, n - window + 1), BLOCK):
+            part = slice(begin, min(n, begin + BLOCK + reach - 1))
+            key = np.where(state[part] > 0, (order[part] & ~mask) | np.arange(part.stop - begin, dtype=np.uint64), ~np.uint64(0))
+            if len(key) < reach:
+                continue
+            least = C.sliding_min(key, reach)
+            anchor[begin : begin + len(least)] = np.where(least == ~np.uint64(0), -1, (least & mask).astype(np.int64) + begin)
+        live = anchor[own] >= 0
+        self.start, w1, w2 = own[live], w1[live], w2[live]
+        self.row, anchor = words.row[self.start], anchor[self.start]
+        self.ids = words.chunk.ids
+        self.locally = self._repeated(words, window, w1, w2)
+
+        # a run of windows with one anchor is a context; at a wide anchor each window is one
+        wide = state[anchor] == 2
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (self.start[1:] != self.start[:-1] + 1) | wide[1:]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
+        bucket = np.where(wide[first], C.mix64(w1[first]) % np.uint64(buckets), far[anchor[first]] % np.uint64(buckets)).astype(np.int64)
+        seen: dict[tuple[int, int, bytes], int] = {}
+        begins, ends, lefts = self.start[first], self.start[last] + window, anchor[first] - self.start[first]
+        codes = words.codes
+        use = np.fromiter((seen.setdefault((b, left, codes[i:j].tobytes()), len(seen)) for b, left, i, j in zip(bucket.tolist(), lefts.tolist(), begins.tolist(), ends.tolist(), strict=True)), np.int64, len(first))
+        contexts = list(seen)
+        by = sorted(range(len(contexts)), key=[c[0] for c in contexts].__getitem__)
+        rank = np.empty(len(contexts), np.int64)
+        rank[by] = np.arange(len(contexts))
+        self.contexts = [contexts[i] for i in by]
+        self.sizes = np.array([len(c) // codes.itemsize for _, _, c in self.contexts], np.int64)
+        self.context = np.repeat(rank[use] if len(use) else use, last - first + 1)
+        self.number = self.start - np.repeat(begins, last - first + 1)
+        self.doc = np.full(len(contexts), np.iinfo(np.int64).max)
+        np.minimum.at(self.doc, self.context, self.ids[self.row])
+        self.runs = C.bucket_runs(np.array([b for b, _, _ in self.contexts], np.int64))
+
+    def _repeated(self, words: _Words, window: int, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """Has an earlier place of the chunk (smaller doc_id, or the same row and an earlier start) the window's words?"""
+        ids, row = self.ids[self.row], self.row
+        for exact in (False, True):
+            if exact:
+                _, w1 = np.unique(words.codes[self.start[:, None] + np.arange(window)], axis=0, return_inverse=True)
+                w2 = np.zeros(len(w1), np.int64)
+            order = np.lexsort((self.start, row, ids, w1, w2))
+            new = np.ones(len(order), bool)
+            new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+            if exact or self._same(words.codes, self.start[order], self.start[order[head]], window):
+                break
+        out = np.zeros(len(order), bool)
         same_row = np.zeros(len(order), bool)
-        same_row[1:] = ~new[1:] & (self.row[1:] == self.row[:-1])
-        self.locally = same_row | (ids[self.row] > self.doc[self.group])
+        same_row[1:] = ~new[1:] & (row[order][1:] == row[order][:-1])
+        out[order] = same_row | (ids[order] > ids[order[head]]) if len(order) else False
+        return out
 
+    @staticmethod
+    def _same(codes: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bool:
+        """Are the words of windows a[i] and b[i] the same, for every i?"""
+        at = np.arange(window)
+        other = np.flatnonzero(a != b)
+        return all((codes[a[x][:, None] + at] == codes[b[x][:, None] + at]).all() for x in (other[i : i + COMPARED] for i in range(0, len(other), COMPARED)))
 
-def _emit_windows(window: int, anchors: int, buckets: int):
+
+def _emit_contexts(window: int, anchors: int, buckets: int):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
-        found = _Candidates(_Words(chunk), replies.get("anchor", {}), window, anchors, buckets)
+        words = _Words(chunk)
+        found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
         out = []
-        for b, (i, j) in C.bucket_runs(found.bucket).items():
+        for b, (i, j) in found.runs.items():
+            own = found.contexts[i:j]
+            used, codes = np.unique(np.frombuffer(b"".join(c for _, _, c in own), words.codes.dtype), return_inverse=True)
             ids, which = np.unique(found.doc[i:j], return_inverse=True)
-            out.append((b, C.pack_arrays(np.diff(found.h1[i:j], prepend=np.uint64(0)), ids, which.astype(np.uint16 if len(ids) < 65536 else np.uint32))))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+            text = np.frombuffer(b"\n".join(words.vocabulary[k] for k in used.tolist()), np.uint8)
+            small = np.uint16 if len(used) < 65536 else np.uint32
+            out.append((b, C.pack_arrays(text, codes.astype(small), found.sizes[i:j].astype(np.uint32), np.array([left for _, left, _ in own], np.uint32), ids, which.astype(np.uint32))))
+        return pa.table(_payloads(chunk.chunk, out))
 
     return work
 
 
-def _reduce_windows(payloads: list[bytes]) -> list[bytes]:
-    got = [C.unpack_arrays(p) for p in payloads]
-    keys = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _, _ in got])
-    docs = np.concatenate([ids[which] for _, ids, which in got])
-    order = np.argsort(keys, kind="stable")
-    s, d = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    earlier = np.zeros(len(keys), np.uint8)
-    earlier[order] = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(s))))
-    ends = np.cumsum([len(x) for x, _, _ in got])
-    return [C.pack_arrays(np.packbits(x)) for x in np.split(earlier, ends[:-1])]
+def _refined(classes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Classes of equal (class, code)."""
+    return np.unique(classes * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+
+
+def extended(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, window: int) -> list[np.ndarray]:
+    """Extends all places of blocks at once; for each context, one entry a window: has a smaller doc_id its words?
+
+    Context i is codes[begin[i] : begin[i] + size[i]], its block of window // 2 words begins left[i] words into it.
+    """
+    block = window // 2
+    places = begin + left
+    core = np.zeros(len(size), np.int64)
+    for k in range(block):
+        core = _refined(core, codes[places + k])
+
+    def grow(step: int, most: np.ndarray, far: int) -> list[np.ndarray]:
+        """Classes of the block with 0, 1, ... more words to one side; -1 where a context has no more words."""
+        out = [core]
+        for k in range(far):
+            has = np.flatnonzero(most > k)
+            new = np.full(len(size), -1, np.int64)
+            if len(has):
+                new[has] = _refined(out[-1][has], codes[places[has] + (block + k if step > 0 else -1 - k)])
+            out.append(new)
+        return out
+
+    rest = window - block
+    right, leftward = grow(1, size - left - block, rest), grow(-1, left, rest)
+    verdict = [np.zeros(int(n) - window + 1, np.uint8) for n in size]
+    for o in range(rest + 1):
+        has = np.flatnonzero((left >= o) & (size - left >= window - o))
+        if not len(has):
+            continue
+        key = leftward[o][has] * (len(size) + 1) + right[rest - o][has]
+        order = np.argsort(key, kind="stable")
+        k, d = key[order], doc[has][order]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        later = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(k))))
+        for i in has[order[later]].tolist():
+            verdict[i][left[i] - o] = 1
+    return verdict
+
+
+def _reduce_contexts(window: int):
+    def reduce(payloads: list[bytes]) -> list[bytes]:
+        got = [C.unpack_arrays(p) for p in payloads]
+        seen: dict[bytes, int] = {}
+        codes = []
+        for text, own, *_ in got:
+            names = text.tobytes().split(b"\n")
+            codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in names), np.int64, len(names))[own])
+        size, left = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (2, 3))
+        doc = np.concatenate([x[4][x[5]] for x in got])
+        verdict = extended(np.concatenate(codes), np.cumsum(size) - size, size, left, doc, window)
+        ends = np.cumsum([len(x[2]) for x in got])
+        return [C.pack_arrays(np.packbits(np.concatenate(verdict[i:j]))) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    return reduce
 
 
 def _finish(window: int, anchors: int, buckets: int):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         words = _Words(chunk)
-        found = _Candidates(words, replies.get("anchor", {}), window, anchors, buckets)
-        gone = found.at[found.locally | _bits(replies.get("window", {}), found.bucket)[found.group]] if len(found.at) else found.at
+        found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
+        each = found.sizes - window + 1
+        place = np.cumsum(each) - each
+        verdict = np.zeros(int(each.sum()), bool)
+        for b, data in replies.get("context", {}).items():
+            i, j = found.runs[b]
+            n = int(each[i:j].sum())
+            verdict[place[i] : place[i] + n] = np.unpackbits(C.unpack_arrays(data)[0], count=n).astype(bool)
+        gone = found.start[found.locally | verdict[place[found.context] + found.number]] if len(found.start) else found.start
         edge = np.zeros(len(words.hashes) + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
@@ -190,12 +312,12 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError("a window has two words at least")
     chunks = C.chunked(docs)
     raw = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()["n"]
-    # a word and its space take two bytes at least, five or more in prose
-    anchors, buckets = C.bucket_count(raw // 5, ANCHORS_EACH), C.bucket_count(raw // 10, WINDOWS_EACH)
+    # a word and its space take two bytes at least, five or more in prose; a context's windows are some
+    anchors, buckets = C.bucket_count(raw // 5, ANCHORS_EACH), C.bucket_count(raw // 80, CONTEXTS_EACH)
     hits = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(window // 2, anchors), C.EMITTED), _reduce_anchors)
     hits = C.materialise(hits.withColumn("kind", F.lit("anchor")), "anchor-hits")
-    earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_windows(window, anchors, buckets), C.EMITTED), _reduce_windows)
-    replies = hits.unionByName(earlier.withColumn("kind", F.lit("window")))
+    earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_contexts(window, anchors, buckets), C.EMITTED), _reduce_contexts(window))
+    replies = hits.unionByName(earlier.withColumn("kind", F.lit("context")))
     return C.with_replies(chunks, replies, _finish(window, anchors, buckets), OUT)
 
 

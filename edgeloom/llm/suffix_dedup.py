@@ -46,15 +46,6 @@ OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remo
 _TABLE = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(C.BASES[0]))
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every `width` neighbours."""
-    m, have = x, 1
-    while have * 2 <= width:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    return np.minimum(m[: len(x) - width + 1], m[width - have : len(x) - have + 1]) if have < width else m
-
-
 def _anchors(chunk: C.Chunk, length: int) -> tuple[np.ndarray, ...]:
     """Of each anchor: place, first and last start of its strings, row, hash. Places are bytes of the chunk."""
     data = np.frombuffer(chunk.raw, np.uint8)
@@ -65,7 +56,7 @@ def _anchors(chunk: C.Chunk, length: int) -> tuple[np.ndarray, ...]:
         part = data[begin : begin + BLOCK + length - 1]
         h = C.rolling(_TABLE[part], ANCHOR, C.BASES[1])
         key = (h & ~np.uint64((1 << 22) - 1)) | np.arange(len(h), dtype=np.uint64)
-        best = (_sliding_min(key, reach) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        best = (C.sliding_min(key, reach) & np.uint64((1 << 22) - 1)).astype(np.int64)
         rows = row_of[begin : begin + len(part)]
         start = np.flatnonzero(rows[: len(best)] == rows[length - 1 :])
         best = best[start]
