@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +54,11 @@ class _Words:
         self.words = [t.split() for t in chunk.texts()]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
-        seen: dict[bytes, int] = {}
-        self.codes = np.fromiter((seen.setdefault(w, len(seen)) for ws in self.words for w in ws), np.int32, int(self.first[-1]))
-        self.vocabulary = list(seen)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in seen), np.uint64, len(seen))
+        flat = list(chain.from_iterable(self.words))
+        self.vocabulary = list(dict.fromkeys(flat))
+        number = dict(zip(self.vocabulary, range(len(self.vocabulary)), strict=True))
+        self.codes = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary, repeat(7)), np.uint64, len(self.vocabulary))
         self.hashes = hashes[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
         self.row = np.repeat(np.arange(len(self.n)), self.n)
 
