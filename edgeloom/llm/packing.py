@@ -1,7 +1,9 @@
 """Packing by deficit round-robin over source queues.
 
-Every window (sequence) is to hold the sources in target proportions. With all documents packed once, those are the
-sources' shares of all tokens. Each source is a queue; at each window a queue's deficit grows by its share of the
+Every window (sequence) is to hold the sources in target proportions (`shares`). With all documents packed once and no
+proportions asked for, those are the sources' shares of all tokens, which every window can meet; with others the sources
+that are wanted more than they have run out first, and later windows of a slice share what is left in the
+proportions of the rest. Each source is a queue; at each window a queue's deficit grows by its share of the
 window, the queue with the largest deficit is served (a piece of LEAST_PIECE tokens or of its deficit, whichever is
 more, if document and window have so many), and what it got is taken off. Deficits stay for the next windows.
 
@@ -13,7 +15,8 @@ deficit that a queue brings along into the slice. A slice has a bounded number o
 A slice's last tokens fill sequences of powers of two, which need no padding.
 
 Defined cases: a null text is empty and has the end id only; a null source is a queue of its own; rows that repeat a
-doc_id are documents of their own; an empty table gives no rows; further columns are ignored.
+doc_id are documents of their own; sources that tie in their deficits are served in code-point order (null first); a very
+long text is rows of ROW_IDS ids and may lie in many slices; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,13 +126,17 @@ def capacities(total: int, length: int) -> list[int]:
     return [length] * (total // length) + [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]
 
 
-def round_robin(queues: list[Queue], deficits: np.ndarray, length: int) -> Iterator[tuple[int, int, int, tuple]]:
-    """(sequence, offset, queue, piece): fills one window after the other until the queues are empty."""
+def round_robin(queues: list[Queue], deficits: np.ndarray, length: int, weights: np.ndarray | None = None) -> Iterator[tuple[int, int, int, tuple]]:
+    """(sequence, offset, queue, piece): fills one window after the other until the queues are empty.
+
+    weights: what each queue is to have of a window, in proportion; without them what it has of all tokens.
+    """
     left = np.array([q.left for q in queues], np.float64)
-    share = left / left.sum()
+    wanted = left if weights is None else np.where(left > 0, weights, 0.0)
     deficits = np.where(left > 0, deficits, -np.inf)
     for number, capacity in enumerate(capacities(int(left.sum()), length)):
-        deficits = deficits + capacity * share
+        now = np.where(deficits > -np.inf, wanted, 0.0) if weights is not None else wanted
+        deficits = deficits + capacity * (now / now.sum() if now.sum() > 0 else now)
         room = capacity
         while room:
             s = int(deficits.argmax())
@@ -141,7 +148,7 @@ def round_robin(queues: list[Queue], deficits: np.ndarray, length: int) -> Itera
             deficits[s] = deficits[s] - want if queue.left else -np.inf
 
 
-def _pack(length: int, slices: int, with_ids: bool, schema: pa.Schema):
+def _pack(length: int, slices: int, with_ids: bool, schema: pa.Schema, shares: dict[str | None, float] | None):
     def work(rows: pa.Table) -> pa.Table:
         k = rows.column("slice")[0].as_py()
         queues: dict[str | None, Queue] = {}
@@ -151,8 +158,9 @@ def _pack(length: int, slices: int, with_ids: bool, schema: pa.Schema):
             totals[r["source"]] = r["total"]
         names = list(queues)
         rest = np.array([totals[s] * k % slices / slices for s in names])
+        weights = None if shares is None else np.array([float(shares.get(s, 0.0)) for s in names])
         out = []
-        for number, offset, s, (doc, start, n, whole, ids) in round_robin([queues[s] for s in names], rest, length):
+        for number, offset, s, (doc, start, n, whole, ids) in round_robin([queues[s] for s in names], rest, length, weights):
             wide = np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4").tobytes()
             out.append((doc, names[s], start, n, zlib.crc32(wide), whole, (k << 32) + number, offset, *([wide] if with_ids else [])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -160,10 +168,11 @@ def _pack(length: int, slices: int, with_ids: bool, schema: pa.Schema):
     return work
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, with_ids: bool = False, shares: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of documents in sequences: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    with_ids adds the ids (bytes of little-endian unsigned 32-bit integers).
+    with_ids adds the ids (bytes of little-endian unsigned 32-bit integers). shares: the proportions of sources that every
+    window is to have, as long as they last; those of sources that aren't named are 0, so they come last.
     """
     table = token_table(docs, tokenizer, end_id)
     parts = table.groupBy("source", "part").agg(F.sum("n").alias("n"))
@@ -175,4 +184,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     placed = table.join(parts, (table["part"] == parts["p"]) & table["source"].eqNullSafe(parts["s"])).drop("s", "p")
     cut = placed.mapInArrow(_cut(slices), "slice int, source string, total long, at long, doc_id long, start long, n long, doc_tokens long, ids binary")
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], *([("ids", pa.binary())] if with_ids else [])])
-    return cut.groupBy("slice").applyInArrow(_pack(length, slices, with_ids, schema), PIECES + (", ids binary" if with_ids else ""))
+    return cut.groupBy("slice").applyInArrow(_pack(length, slices, with_ids, schema, shares), PIECES + (", ids binary" if with_ids else ""))

@@ -24,7 +24,8 @@ round by round. Everything works on distinct fingerprints; copies share theirs a
 frequent fingerprints (a bounded number of them) without being dealt by it.
 
 Defined cases: a null text has no words and fingerprint 0, linked like any other; fewer than three words are one
-shingle; a null doc_id counts last when the smallest is looked for; repeated rows have the same component; an empty
+shingle; very long texts are fingerprinted whole, BLOCK shingles at a time; bits that are set in exactly half of the
+shingles are 0; a null doc_id counts last when the smallest is looked for; repeated rows have the same component; an empty
 table gives no rows; further columns are ignored by simhash_components() and kept by near_dedup().
 """
 
@@ -319,7 +320,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     roots = materialise(components(links), "near-roots")
     open_keys = keys.where("rows > 2").join(roots, F.col("p.sid") == F.col("node"), "left").select("key", "p.sid", "n", "pos", F.coalesce("root", "p.sid").alias("root"))
-    open_keys = open_keys.select("*", F.min("root").over(every).alias("low"), F.max("root").over(every).alias("high")).where("low <> high")
+    open_keys = materialise(open_keys, "near-rooted")
+    between = materialise(open_keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_key")).where("low <> high"), "near-between")
+    open_keys = join_per_key(open_keys, between, "key", "n_key")
     # with their parity bits, so that the join of a key's rows gives likely pairs only
     open_keys = materialise(open_keys.join(sets.select("sid", "parities"), "sid"), "near-open")
     discard(keys_table)

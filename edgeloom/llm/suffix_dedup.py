@@ -17,8 +17,10 @@ One suffix array over the corpus would not be distributed, so suffixes are dealt
 maximal_repeats() gives the same tree's groups with all occurrences for one list of texts.
 
 Defined cases: a null text is empty; a null doc_id sorts before all others; rows that share a doc_id are the same
-age, so neither loses bytes to the other; an empty table gives no rows; further columns are ignored. Bytes that
-remain may no longer be UTF-8, so they are returned as binary.
+age, so neither loses bytes to the other; a very long text is a chunk of its own, held by one task (2 GB at most, as a
+string is); anchors that tie are taken from the left; an empty table gives no rows; further columns are ignored. Bytes
+that remain may no longer be UTF-8, so they are returned as binary. Strings are 24 to 55 bytes long (ANCHOR, and the 32
+bits of a context's verdict); other lengths are refused.
 """
 
 from __future__ import annotations

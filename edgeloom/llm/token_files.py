@@ -15,7 +15,8 @@ order of doc_id. A file is written under another name and then renamed, so a tas
 whole files.
 
 Defined cases: a null text is empty and has the end id only; a null doc_id sorts first; rows that repeat a doc_id
-stand next to each other, by text; an empty table gives no file and no rows; further columns are ignored.
+stand next to each other, by text, and rows with equal texts in any order (their ids are equal); a very long text is
+one document of one file, encoded by one task; an empty table gives no file and no rows; further columns are ignored.
 """
 
 from __future__ import annotations

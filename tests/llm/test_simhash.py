@@ -67,6 +67,30 @@ def test_links_lose_nothing(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    from edgeloom.llm import simhash
+
+    text = " ".join(prose(4, 500))
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.fingerprint(text) == fingerprint(text)
+
+
+def test_crowded_cells_give_the_same_links(spark, monkeypatch):
+    from edgeloom.llm import simhash
+
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(3)]
+    values = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(60)}
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    want = roots({signed(v) for v in values}, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
+    for most in (2, 1000):
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        links = {(x.a, x.b) for x in linked(df).collect()}
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links)
+        got = roots({signed(v) for v in values}, lambda a, b: (max(a, b), min(a, b)) in links)
+        assert got == want
+
+
 def test_long_chains_settle(spark):
     chain = [(i + 1, i) for i in range(200)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()

@@ -67,6 +67,15 @@ def test_hits_are_extended_to_what_agrees_on_both_sides():
                 assert bool(bit) == want
 
 
+def test_several_chunks(spark):
+    r = random.Random(9)
+    long = [[f"w{r.randrange(10**6)}" for _ in range(220_000)] for _ in range(4)]
+    long[3][1000:1000] = long[1][219_000:] + long[0][:500]
+    texts = [(k, " ".join(w)) for k, w in enumerate(long)]
+    assert sum(len(t) for _, t in texts) > module.C.CHUNK_BYTES
+    assert result(substring_dedup(frame(spark, texts))) == brute(texts, 20)
+
+
 def chunk_of(texts, number=0):
     raw = [(t or "").encode() for _, t in texts]
     return module.C.Chunk(number, [d for d, _ in texts], [len(x) for x in raw], module.C.squeeze(b"".join(raw)))

@@ -52,6 +52,21 @@ def test_strings_dealt_one_by_one_give_the_same(spark, monkeypatch):
     assert got == want
 
 
+def test_borders_of_blocks(monkeypatch):
+    from edgeloom.llm import suffix_dedup as module
+
+    raw = [(t or "").encode() for _, t in awkward(5)]
+    chunk = module.C.Chunk(0, [d for d, _ in awkward(5)], [len(x) for x in raw], module.C.squeeze(b"".join(raw)))
+
+    def strings():
+        place, first, last, _, h = module._anchors(chunk, 50)
+        return {(s, p, int(x)) for p, a, z, x in zip(place.tolist(), first.tolist(), last.tolist(), h) for s in range(a, z + 1)}
+
+    whole = strings()
+    monkeypatch.setattr(module, "BLOCK", 64)
+    assert strings() == whole and len(whole) > 1000
+
+
 def test_empty_and_repeated_rows(spark):
     assert suffix_dedup(empty(spark)).count() == 0
     rows = suffix_dedup(frame(spark, [(1, "x" * 70), (1, "x" * 70), (2, "x" * 70), (None, None)])).collect()

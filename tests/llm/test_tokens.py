@@ -135,3 +135,17 @@ def test_windows_keep_proportions_across_slices(spark, plain, monkeypatch):
 
 def test_capacities():
     assert capacities(2048 + 777, 1024) == [1024, 1024, 512, 256, 8, 1] and capacities(0, 1024) == []
+
+
+def test_windows_have_the_shares_that_are_asked_for(spark, plain):
+    docs = frame(spark, [(i, " ".join(prose(i, 400))) for i in range(60)], ["a"] * 30 + ["b"] * 30)
+    rows = pack(docs, tokenizer_path(), length=256, shares={"a": 3, "b": 1}).collect()
+    by = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        by[r.sequence_id][r.source] += r.length
+    full = [by[k] for k in sorted(by) if sum(by[k].values()) == 256]
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    # source a lasts for its third of the windows and more, then b fills them alone
+    early = full[: len(full) // 2]
+    assert all(abs(w["a"] - 192) <= 128 for w in early) and abs(sum(w["a"] for w in early) / len(early) - 192) < 10
+    assert full[-1]["a"] == 0
