@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +46,35 @@ OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 class _Words:
-    """The words of a chunk: hashes, the row of each word and its place in the row."""
+    """The words of a chunk: codes (by a dictionary of the chunk), hashes, the row of each word and each row's first word."""
 
     def __init__(self, chunk: C.Chunk):
         self.chunk = chunk
-        self.words = [t.split() for t in chunk.texts()]
-        self.n = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-        flat = list(chain.from_iterable(self.words))
-        self.vocabulary = list(dict.fromkeys(flat))
-        number = dict(zip(self.vocabulary, range(len(self.vocabulary)), strict=True))
-        self.codes = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary, repeat(7)), np.uint64, len(self.vocabulary))
+        raw = np.frombuffer(chunk.raw, np.uint8)
+        letter = ~_SPACE[raw]
+        # a document's start divides words too: texts stand side by side
+        begins, ends = letter.copy(), letter.copy()
+        begins[1:] &= ~letter[:-1]
+        ends[:-1] &= ~letter[1:]
+        border = chunk.starts[(chunk.starts > 0) & (chunk.starts < len(raw))]
+        begins[border] = letter[border]
+        ends[border - 1] = letter[border - 1]
+        at = np.flatnonzero(begins)
+        sizes = np.flatnonzero(ends) + 1 - at
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[letter])])
+        coded = values.dictionary_encode()
+        self.codes, self.vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
+        names = self.vocabulary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names, repeat(7)), np.uint64, len(names))
         self.hashes = hashes[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.first = np.searchsorted(at, chunk.starts)
+        self.row = np.repeat(np.arange(len(chunk.sizes)), np.diff(self.first))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places where a window lies within one document, and two hashes of each."""
@@ -207,7 +221,7 @@ def _emit_contexts(window: int, anchors: int, buckets: int):
             own = found.contexts[i:j]
             used, codes = np.unique(np.frombuffer(b"".join(c for _, _, c in own), words.codes.dtype), return_inverse=True)
             ids, which = np.unique(found.doc[i:j], return_inverse=True)
-            text = np.frombuffer(b"\n".join(words.vocabulary[k] for k in used.tolist()), np.uint8)
+            text = np.frombuffer(b"\n".join(words.vocabulary.take(pa.array(used)).to_pylist()), np.uint8)
             small = np.uint16 if len(used) < 65536 else np.uint32
             out.append((b, C.pack_arrays(text, codes.astype(small), found.sizes[i:j].astype(np.uint32), np.array([left for _, left, _ in own], np.uint32), ids, which.astype(np.uint32))))
         return pa.table(_payloads(chunk.chunk, out))
@@ -293,7 +307,8 @@ def _finish(window: int, anchors: int, buckets: int):
         np.add.at(edge, gone + window, -1)
         removed = np.cumsum(edge[:-1]) > 0
         rows = []
-        for i, (doc, ws) in enumerate(zip(chunk.doc_ids(), words.words, strict=True)):
+        for i, (doc, text) in enumerate(zip(chunk.doc_ids(), chunk.texts(), strict=True)):
+            ws = text.split()
             mask = removed[words.first[i] : words.first[i + 1]]
             kept = b" ".join(compress(ws, ~mask) if mask.any() else ws)
             step = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
