@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.llm import common as C
 from edgeloom.llm.common import BASES, discard, join_per_key, materialise, rolling, ship, tidy, whole_row
 
 #: Bits of a segment (the last one has the rest): 22 segments.
@@ -50,9 +51,8 @@ PAIRS = 16
 #: near_dedup(): words of a shingle, and the Jaccard similarity of shingle sets, as a fraction, from which documents are near copies.
 NEAR_WORDS = 5
 NEAR = (4, 5)
-#: Texts that show which shingles are frequent, and how many of these are told to every task at most.
-SAMPLE = 20000
-MOST_LATE = 200000
+#: Shingles in one bucket of the count of documents, about; bits that tell those of a bucket apart.
+SHINGLES_EACH, ID_BITS = 1 << 20, 27
 #: Bits of a shingle set, from which many dissimilar pairs show without their sets.
 PARITIES = 1024
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -184,33 +184,107 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return join_per_key(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _near_rows(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(d, h, g, fp, sid, n, prefix, parities) of every row.
+PACKED = "chunk long, d array<bigint>, h array<bigint>, g array<int>, sizes array<bigint>, raw long, blob binary"
+NEAR_ROWS = "d long, h long, g int, fp long, sid long, n long, prefix array<struct<pos:long,key:long>>, parities array<long>"
 
-    h, g: hashes of the text; sid, n: hash and size of its shingle set; prefix: the shingles, in the global order, of
-    which a set of similarity NEAR has one at least. The order: by value, but those in `late` (sorted) last.
-    parities: is the number of shingles with each remainder by PARITIES odd? Sets differ in as many shingles as bits at least.
-    """
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Rows of many documents, about CHUNK_BYTES of text each: d, h, g (hashes of the text), texts joined and compressed."""
+    most = C.CHUNK_BYTES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(3)]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            for i, j in C.bucket_runs((np.cumsum(sizes) - sizes) // most).values():
+                blob = b"".join(texts[i:j])
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(sizes[i:j]))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([len(blob)]), pa.array([C.squeeze(blob, 3)], pa.binary())], ["chunk", "d", "h", "g", "sizes", "raw", "blob"])
+                chunk += 1
+        tidy()
+
+    return materialise(_slim(docs).mapInArrow(work, PACKED), "near-chunks")
+
+
+def _texts(sizes: np.ndarray, blob: bytes) -> list[str]:
+    raw, ends = C.unsqueeze(blob), np.cumsum(sizes)
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends - sizes, ends, strict=True)]
+
+
+def _counted(own: np.ndarray, buckets: int) -> np.ndarray:
+    """What shingles are counted by: bucket and ID_BITS bits. Two that share both count together, so as more, never as less."""
+    return (((own >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(32)) | (own & np.uint64((1 << ID_BITS) - 1))
+
+
+def _emit_counts(buckets: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(3)]
-            sids, sizes, prefixes, parities = [], [], [], []
-            for text in texts:
-                own = shingles(text)
-                sids.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
-                parities.append(np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).view(np.int64))
-                behind = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                prefixes.append(np.concatenate([own[~behind], own[behind]])[: len(own) - _need(len(own)) + 1].view(np.int64))
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            more = [pa.array(fps), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(parities, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["d", "h", "g", "fp", "sid", "n", "prefix", "parities"])
+            for chunk, sizes, blob in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "sizes", "blob")), strict=True):
+                own = np.concatenate([shingles(t) for t in _texts(sizes.values.to_numpy(), blob.as_py())])
+                keys, n = np.unique(_counted(own, buckets), return_counts=True)
+                low, runs = keys.astype(np.uint32), C.bucket_runs(keys >> np.uint64(32))
+                payloads = [C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), n[i:j].astype(np.uint32)) for i, j in runs.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array([chunk.as_py()] * len(runs), pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "chunk", "payload"])
         tidy()
 
-    return _slim(docs).mapInArrow(work, "d long, h long, g int, fp long, sid long, n long, prefix array<long>, parities array<long>")
+    return emit
+
+
+def _reduce_counts(payloads: list[bytes]) -> list[bytes]:
+    """Documents that hold each shingle, in all chunks."""
+    got = [C.unpack_arrays(p) for p in payloads]
+    keys, which = np.unique(np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _ in got]), return_inverse=True)
+    total = np.zeros(len(keys), np.uint64)
+    np.add.at(total, which, np.concatenate([n for _, n in got]).astype(np.uint64))
+    return [C.pack_arrays(x) for x in np.split(total[which], np.cumsum([len(d) for d, _ in got])[:-1])]
+
+
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """(d, h, g, fp, sid, n, prefix, parities) of every row, written.
+
+    h, g: hashes of the text; sid, n: hash and size of its shingle set; prefix: the shingles, in the global order, of
+    which a set of similarity NEAR has one at least, less those that no other document holds. The order: by the number of
+    documents, counted over all of them, then by value; pos: the place in it among the document's own.
+    parities: is the number of shingles with each remainder by PARITIES odd? Sets differ in as many shingles as bits at least.
+    """
+    chunks = _packed(docs)
+    raw = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()["n"]
+    # a word and its space take six bytes or so, and a shingle begins at nearly each
+    buckets = C.bucket_count(raw // 6, SHINGLES_EACH)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        replies = dict(zip(right.column("bucket").to_pylist(), right.column("payload"), strict=True))
+        texts = _texts(left.column("sizes")[0].values.to_numpy(), left.column("blob")[0].as_py())
+        sets = [shingles(t) for t in texts]
+        keys, inverse = np.unique(_counted(np.concatenate(sets), buckets), return_inverse=True)
+        total = np.zeros(len(keys), np.uint64)
+        for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items():
+            total[i:j] = C.unpack_arrays(replies[b].as_py())[0]
+        total, at = total[inverse], 0
+        places, prefixes, parities = [], [], []
+        for own in sets:
+            n = total[at : at + len(own)]
+            at += len(own)
+            order = np.lexsort((own, n))[: len(own) - _need(len(own)) + 1]
+            pos = np.flatnonzero(n[order] > 1)
+            places.append(pos)
+            prefixes.append(own[order[pos]].view(np.int64))
+            parities.append(np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).view(np.int64))
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        sids = np.array([xxhash.xxh64_intdigest(own.tobytes(), 42) for own in sets], np.uint64).view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(prefixes), pa.int64())], ["pos", "key"])
+        columns = [left.column(c)[0].values for c in ("d", "h", "g")]
+        columns += [pa.array(fps), pa.array(sids), pa.array([len(own) for own in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entries), pa.array(parities, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["d", "h", "g", "fp", "sid", "n", "prefix", "parities"])
+
+    counts = materialise(C.reduce_buckets(chunks.mapInArrow(_emit_counts(buckets), C.EMITTED), _reduce_counts), "near-counts")
+    rows = materialise(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(work, NEAR_ROWS), "near-rows")
+    discard(chunks, counts)
+    return rows
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -244,15 +318,6 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("sid", "text").mapInArrow(work, "sid long, shingles array<long>")
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of many documents, by a sample of SAMPLE texts, about; they only decide an order, so any list will do."""
-    total = docs.count()
-    some = _slim(docs).where(F.pmod("h", F.lit(max(1, total // SAMPLE))) == 0).groupBy("h", "g").agg(F.first("text").alias("text"))
-    seen = _sets(some.select(F.col("h").alias("sid"), "text")).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    found = [r["key"] for r in seen.where("n >= 4").orderBy(F.desc("n"), "key").limit(MOST_LATE).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
-
-
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity, counted exactly, is NEAR or more."""
     every = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
@@ -298,12 +363,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     copies doesn't cost all its pairs.
     """
     ship(docs.sparkSession)
-    rows = materialise(_near_rows(docs, _frequent(docs)), "near-rows")
+    rows = _near_rows(docs)
     first = F.first(F.struct("h", "g", "fp", "n", "prefix", "parities")).alias("s")
     sets = materialise(rows.groupBy("sid").agg(first).select("sid", "s.*"), "near-classes")
     every_row, rows = rows, materialise(rows.select("d", "h", "g", "sid"), "near-ids")
     discard(every_row)
-    keys = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
+    keys = sets.select("sid", "n", F.inline("prefix"))
     own = F.struct(F.xxhash64("key", "sid").alias("by"), "sid", "n", "pos")
     every = Window.partitionBy("key")
     keys = keys.select("*", F.count("*").over(every).alias("rows"), F.min(own).over(every).alias("q")).where("rows > 1")

@@ -143,3 +143,26 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, a), (0, b), (7, c + " more"), (7, d)])
     tied = near_dedup(frame(spark, [(9, a + " z"), (9, a + " y"), (9, a + " y"), (None, b), (None, b)])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in tied) == sorted([(9, a + " y"), (0, b)])
+
+
+def test_prefixes_hold_the_rarest_shingles_of_all_documents(spark, monkeypatch):
+    from edgeloom.llm import common, simhash
+
+    monkeypatch.setattr(common, "CHUNK_BYTES", 2000)
+    near = edited()
+    group = roots([d for d, _ in near], lambda a, b: similar(near[a][1], near[b][1]))
+    texts = near + [(1000 + k, t) for k, (_, t) in enumerate(awkward())] + [(None, None), (None, near[0][1])]
+    for each in (simhash.SHINGLES_EACH, 20):  # 64 buckets and very many
+        monkeypatch.setattr(simhash, "SHINGLES_EACH", each)
+        sets = [simhash.shingles(t).view("int64").tolist() for _, t in texts]
+        count = {}
+        for own in sets:
+            for x in own:
+                count[x] = count.get(x, 0) + 1
+        want = []
+        for (d, _), own in zip(texts, sets, strict=True):
+            order = sorted(own, key=lambda x: (count[x], x % 2**64))[: len(own) - -(-len(own) * 4 // 5) + 1]
+            want.append((d or 0, len(own), [(i, x) for i, x in enumerate(order) if count[x] > 1]))
+        got = simhash._near_rows(frame(spark, texts)).collect()
+        assert sorted((r.d or 0, r.n, [tuple(x) for x in r.prefix]) for r in got) == sorted(want)
+        assert sorted(r.doc_id or 0 for r in near_dedup(frame(spark, near)).collect()) == sorted(set(group.values()))
