@@ -51,7 +51,7 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "fee"),
     ("lgpl", "this library is licensed under the gnu lesser general public license version 2 1", "lesser"),
-    ("mit", "released under the mit license", "mit"),
+    ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "granted sublicense"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),

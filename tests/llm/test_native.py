@@ -33,6 +33,8 @@ def licensed():
         (6, "GNU GENERAL PUBLIC LICENSE general public license"),
         (7, "released under\nthe mit\nlicense"),
         (9, "x\nReleased under the MİT License"),
+        (10, "The book was released under the imprint of the MIT Press"),
+        (11, "Released under the MIT imprint"),
         *[(20 + i, "Header\n\n" + textwrap.fill(FULL[k], 78 if i % 2 else 40, initial_indent=" * ", subsequent_indent=" * ") + "\nint main() {}") for i, k in enumerate(["mit", "mit", "bsd", "bsd", "gpl", "gpl", "apache", "isc"])],
         (40, " ".join(prose(1, 300)) + "\n" + FULL["mpl"] + "\n" + " ".join(prose(2, 300))),
     ]
@@ -76,6 +78,7 @@ def test_license_scan(spark):
         r = got[doc]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (len(ws), len(at), min(at, default=None), max(at, default=None), base, ",".join(sorted(labels)), pytest.approx(score)), doc
     assert got[2].labels == "cc-by-nc" and got[3].labels == "mit" and got[5].labels == "" and got[7].labels == "mit"
+    assert got[10].labels == "" == got[11].labels
     assert [got[i].labels for i in (20, 21, 22, 23, 24, 25, 26, 27, 40)] == ["mit", "mit", "bsd", "bsd", "gpl", "gpl", "apache", "isc", "mpl"]
     assert license_scan(empty(spark)).count() == 0
 
