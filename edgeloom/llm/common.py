@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -237,20 +239,131 @@ def bucket_runs(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
     return dict(zip(bucket[head].tolist(), zip(head.tolist(), ends.tolist(), strict=True), strict=True))
 
 
-def reduce_buckets(emitted: DataFrame, reduce: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Brings the payloads of a bucket together and returns a reply for each of them.
+class Deal(NamedTuple):
+    """Entries by bucket, in two levels: `span` buckets make a bundle, and chunks send a payload to each bundle.
 
-    The number of buckets follows the input, so a bucket has bounded size; a chunk sends equal entries once, so
-    a very frequent entry costs a bucket one entry a chunk.
+    A chunk's share of a bucket shrinks as buckets grow in number, its share of a bundle doesn't: there are BUNDLES at most.
     """
 
+    buckets: int
+    span: int
+
+    def runs(self, bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Where each bundle starts and ends in an array sorted by bucket."""
+        return bucket_runs(bucket // bucket.dtype.type(self.span)) if self.span > 1 else bucket_runs(bucket)
+
+    def within(self, bucket: np.ndarray, bundle: int) -> np.ndarray:
+        """A payload's buckets, counted within its bundle; nothing where a bundle is one bucket."""
+        return (bucket - bucket.dtype.type(bundle * self.span)).astype(np.uint32) if self.span > 1 else np.zeros(0, np.uint32)
+
+
+#: Payloads that a chunk sends, at most.
+BUNDLES = 8192
+
+
+def dealt(entries: int, each: int) -> Deal:
+    """Buckets for so many entries; 64 at least, so that small inputs are dealt evenly too."""
+    buckets = max(64, -(-entries // each))
+    return Deal(buckets, -(-buckets // BUNDLES))
+
+
+class Entries(ABC):
+    """Entries that meet in a bucket. Payloads hold those of a chunk, or of a unit (many chunks), each one once."""
+
+    @abstractmethod
+    def reduce(self, payloads: list[bytes]) -> list[bytes]:
+        """The replies to the payloads of one bucket."""
+
+    @abstractmethod
+    def fold(self, payloads: list[bytes], deal: Deal, bundle: int) -> list[tuple[int, bytes]]:
+        """The distinct entries of a unit's payloads to a bundle, as a payload for each bucket."""
+
+    @abstractmethod
+    def spread(self, payloads: list[bytes], replies: dict[int, bytes], deal: Deal, bundle: int) -> list[bytes]:
+        """The replies to those payloads, from the buckets' replies to what fold() made of them."""
+
+
+class Keyed(Entries):
+    """Entries of a key and values. combine(sorted values..., heads, sizes) gives the values of each distinct key, judge() its reply."""
+
+    def __init__(self, combine: Callable[..., tuple[np.ndarray, ...]], judge: Callable[..., np.ndarray]):
+        self.combine, self.judge = combine, judge
+
+    @staticmethod
+    def payloads(deal: Deal, keys: np.ndarray, *values: np.ndarray) -> list[tuple[int, bytes]]:
+        """keys: distinct, sorted, bucket << 32 | the rest."""
+        bucket, low = keys >> np.uint64(32), keys.astype(np.uint32)
+        return [(b, pack_arrays(deal.within(bucket[i:j], b), np.diff(low[i:j], prepend=np.uint32(0)), *(v[i:j] for v in values))) for b, (i, j) in deal.runs(bucket).items()]
+
+    def _met(self, payloads: list[bytes]):
+        """Distinct keys (buckets counted within the bundle), their values, the key of each entry, where payloads end."""
+        got = [unpack_arrays(p) for p in payloads]
+        low = np.concatenate([np.cumsum(x[1], dtype=np.uint32) for x in got])
+        within = np.concatenate([x[0] for x in got])
+        keys = (within.astype(np.uint64) << np.uint64(32)) | low if len(within) else low
+        order = np.argsort(keys, kind="stable")
+        s = keys[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        head = np.flatnonzero(new)
+        which = np.empty(len(s), np.int64)
+        which[order] = np.cumsum(new) - 1
+        values = self.combine(*(np.concatenate(v)[order] for v in list(zip(*got, strict=True))[2:]), head, np.diff(np.append(head, len(s))))
+        return s[head].astype(np.uint64), values, which, np.cumsum([len(x[1]) for x in got])[:-1]
+
+    def reduce(self, payloads):
+        _, values, which, ends = self._met(payloads)
+        return [pack_arrays(x) for x in np.split(self.judge(*values)[which], ends)]
+
+    def fold(self, payloads, deal, bundle):
+        keys, values, *_ = self._met(payloads)
+        # each of these buckets is a bundle of its own from here on
+        return Keyed.payloads(Deal(deal.buckets, 1), keys + (np.uint64(bundle * deal.span) << np.uint64(32)), *values)
+
+    def spread(self, payloads, replies, deal, bundle):
+        keys, _, which, ends = self._met(payloads)
+        found = np.concatenate([unpack_arrays(replies[b])[0] for b in bucket_runs((keys >> np.uint64(32)) + np.uint64(bundle * deal.span))])
+        return [pack_arrays(x) for x in np.split(found[which], ends)]
+
+
+def reduce_buckets(emitted: DataFrame, entries: Entries, deal: Deal, chunks: int) -> DataFrame:
+    """Brings the payloads of a bucket together and returns a reply for each payload that was emitted.
+
+    The number of buckets follows the input, so a bucket has bounded size. Where a bundle is one bucket, payloads go there
+    at once. Else as many chunks as a bundle has buckets make a unit; a unit's payloads to a bundle meet first, and are dealt on to the
+    bundle's buckets with each distinct entry once. So a payload's size depends on the chunks' size and not on the input's, and an
+    entry that every chunk holds costs its bucket one entry a unit.
+    """
+
+    def by_chunk(group: pa.Table) -> pa.Table:
+        return group.take(pa.array(np.argsort(group.column("chunk").to_numpy(), kind="stable")))
+
+    def bytes_of(group: pa.Table) -> list[bytes]:
+        return [x.as_py() for x in group.column("payload")]
+
     def work(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("chunk").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
-        replies = reduce([x.as_py() for x in group.column("payload")])
+        group = by_chunk(group)
+        replies = entries.reduce(bytes_of(group))
         return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "payload": pa.array(replies, pa.binary())})
 
-    return emitted.groupBy("bucket").applyInArrow(work, REPLIES)
+    def fold(group: pa.Table) -> pa.Table:
+        unit, bundle = group.column("unit")[0].as_py(), group.column("bucket")[0].as_py()
+        out = entries.fold(bytes_of(by_chunk(group)), deal, bundle)
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([unit] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+
+    def spread(group: pa.Table, found: pa.Table) -> pa.Table:
+        group = by_chunk(group)
+        replies = dict(zip(found.column("bucket").to_pylist(), bytes_of(found), strict=True))
+        out = entries.spread(bytes_of(group), replies, deal, group.column("bucket")[0].as_py())
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "payload": pa.array(out, pa.binary())})
+
+    if deal.span == 1:
+        return emitted.groupBy("bucket").applyInArrow(work, REPLIES)
+    units = -(-chunks // deal.span)
+    emitted = materialise(emitted.withColumn("unit", F.pmod(F.xxhash64("chunk"), F.lit(units)).cast("bigint")), "unit-entries")
+    of_unit = emitted.groupBy("bucket", "unit")
+    replies = of_unit.applyInArrow(fold, EMITTED).groupBy("bucket").applyInArrow(work, REPLIES)
+    replies = replies.withColumn("bundle", F.expr(f"bucket div {deal.span}").cast("int"))
+    return of_unit.cogroup(replies.groupBy("bundle", "chunk")).applyInArrow(spread, REPLIES)
 
 
 def with_replies(chunks: DataFrame, replies: DataFrame, work: Callable[[Chunk, dict[str, dict[int, bytes]]], pa.Table], schema: str) -> DataFrame:
@@ -265,6 +378,7 @@ def with_replies(chunks: DataFrame, replies: DataFrame, work: Callable[[Chunk, d
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
 
-def bucket_count(entries: int, each: int) -> int:
-    """Buckets for so many entries; 64 at least, so that small inputs are dealt evenly too."""
-    return max(64, -(-entries // each))
+def size_of(chunks: DataFrame) -> tuple[int, int]:
+    """Bytes of text and number of chunks."""
+    found = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.count("*").alias("n")).first()
+    return found["raw"], found["n"]

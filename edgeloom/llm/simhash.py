@@ -219,27 +219,21 @@ def _counted(own: np.ndarray, buckets: int) -> np.ndarray:
     return (((own >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(32)) | (own & np.uint64((1 << ID_BITS) - 1))
 
 
-def _emit_counts(buckets: int):
+def _emit_counts(deal: C.Deal):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, sizes, blob in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "sizes", "blob")), strict=True):
                 own = np.concatenate([shingles(t) for t in _texts(sizes.values.to_numpy(), blob.as_py())])
-                keys, n = np.unique(_counted(own, buckets), return_counts=True)
-                low, runs = keys.astype(np.uint32), C.bucket_runs(keys >> np.uint64(32))
-                payloads = [C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), n[i:j].astype(np.uint32)) for i, j in runs.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array([chunk.as_py()] * len(runs), pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "chunk", "payload"])
+                keys, n = np.unique(_counted(own, deal.buckets), return_counts=True)
+                out = C.Keyed.payloads(deal, keys, n.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([chunk.as_py()] * len(out), pa.int64()), pa.array([p for _, p in out], pa.binary())], ["bucket", "chunk", "payload"])
         tidy()
 
     return emit
 
 
-def _reduce_counts(payloads: list[bytes]) -> list[bytes]:
-    """Documents that hold each shingle, in all chunks."""
-    got = [C.unpack_arrays(p) for p in payloads]
-    keys, which = np.unique(np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _ in got]), return_inverse=True)
-    total = np.zeros(len(keys), np.uint64)
-    np.add.at(total, which, np.concatenate([n for _, n in got]).astype(np.uint64))
-    return [C.pack_arrays(x) for x in np.split(total[which], np.cumsum([len(d) for d, _ in got])[:-1])]
+#: Documents that hold each shingle, in all chunks.
+_COUNTS = C.Keyed(lambda n, head, size: (np.add.reduceat(n.astype(np.uint64), head),), lambda total: total)
 
 
 def _near_rows(docs: DataFrame) -> DataFrame:
@@ -251,17 +245,17 @@ def _near_rows(docs: DataFrame) -> DataFrame:
     parities: is the number of shingles with each remainder by PARITIES odd? Sets differ in as many shingles as bits at least.
     """
     chunks = _packed(docs)
-    raw = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()["n"]
+    raw, n_chunks = C.size_of(chunks)
     # a word and its space take six bytes or so, and a shingle begins at nearly each
-    buckets = C.bucket_count(raw // 6, SHINGLES_EACH)
+    deal = C.dealt(raw // 6, SHINGLES_EACH)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("payload"), strict=True))
         texts = _texts(left.column("sizes")[0].values.to_numpy(), left.column("blob")[0].as_py())
         sets = [shingles(t) for t in texts]
-        keys, inverse = np.unique(_counted(np.concatenate(sets), buckets), return_inverse=True)
+        keys, inverse = np.unique(_counted(np.concatenate(sets), deal.buckets), return_inverse=True)
         total = np.zeros(len(keys), np.uint64)
-        for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items():
+        for b, (i, j) in deal.runs(keys >> np.uint64(32)).items():
             total[i:j] = C.unpack_arrays(replies[b].as_py())[0]
         total, at = total[inverse], 0
         places, prefixes, parities = [], [], []
@@ -281,7 +275,7 @@ def _near_rows(docs: DataFrame) -> DataFrame:
         columns += [pa.array(fps), pa.array(sids), pa.array([len(own) for own in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entries), pa.array(parities, pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, ["d", "h", "g", "fp", "sid", "n", "prefix", "parities"])
 
-    counts = materialise(C.reduce_buckets(chunks.mapInArrow(_emit_counts(buckets), C.EMITTED), _reduce_counts), "near-counts")
+    counts = materialise(C.reduce_buckets(chunks.mapInArrow(_emit_counts(deal), C.EMITTED), _COUNTS, deal, n_chunks), "near-counts")
     rows = materialise(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(work, NEAR_ROWS), "near-rows")
     discard(chunks, counts)
     return rows

@@ -14,7 +14,7 @@ A repeat of `window` words holds a whole aligned block of window // 2 words of i
 3. *Merge.* Repeated windows that follow or overlap one another join into maximal exact repeats, which are removed.
 
 Nothing grows with the square of a group: a chunk sends each distinct context once, with its smallest doc_id, and gets
-one bit a window back. A block with very many places (WIDE) would gather in one bucket, so its windows are dealt one by
+one bit a window back; beyond common.BUNDLES buckets a unit of chunks does so for all of them. A block with very many places (WIDE) would gather in one bucket, so its windows are dealt one by
 one, by their own words. Within a chunk equal windows are found by two 64-bit hashes and compared word by word.
 
 Defined cases: a null text has no words; a null doc_id sorts before all others; rows that share a doc_id count as
@@ -84,8 +84,8 @@ class _Words:
         return at, C.rolling(self.hashes, width, C.BASES[0])[at], C.rolling(self.hashes, width, C.BASES[1])[at]
 
 
-def _anchor_keys(h1: np.ndarray, h2: np.ndarray, buckets: int):
-    key = ((h2 % np.uint64(buckets)) << np.uint64(32)) | (h1 >> np.uint64(32))
+def _anchor_keys(h1: np.ndarray, h2: np.ndarray, anchors: C.Deal):
+    key = ((h2 % np.uint64(anchors.buckets)) << np.uint64(32)) | (h1 >> np.uint64(32))
     return np.unique(key, return_inverse=True, return_counts=True)
 
 
@@ -93,39 +93,36 @@ def _payloads(chunk: int, out: list[tuple[int, bytes]]) -> dict[str, pa.Array]:
     return {"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())}
 
 
-def _emit_anchors(block: int, buckets: int):
+def _emit_anchors(block: int, anchors: C.Deal):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in C.Chunk.rows(batch):
                 words = _Words(chunk)
                 at, h1, h2 = words.windows(block)
-                keys, inverse, count = _anchor_keys(h1, h2, buckets)
+                keys, inverse, count = _anchor_keys(h1, h2, anchors)
                 aligned = (at - words.first[words.row[at]]) % block == 0
                 indexed = np.zeros(len(keys), np.uint8)
                 indexed[inverse[aligned]] = 1
                 flags = indexed | (np.minimum(count, 127).astype(np.uint8) << 1)
-                low = keys.astype(np.uint32)
-                out = [(b, C.pack_arrays(np.diff(low[i:j], prepend=np.uint32(0)), flags[i:j])) for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items()]
+                out = C.Keyed.payloads(anchors, keys, flags)
                 yield pa.RecordBatch.from_pydict(_payloads(chunk.chunk, out))
         C.tidy()
 
     return emit
 
 
-def _reduce_anchors(payloads: list[bytes]) -> list[bytes]:
+def _combine_anchors(flags: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray]:
+    places = np.minimum(np.add.reduceat((flags >> 1).astype(np.int64), head), WIDE)
+    return ((np.bitwise_or.reduceat(flags, head) & 1).astype(np.uint32) | (places.astype(np.uint32) << 1),)
+
+
+def _judge_anchors(flags: np.ndarray) -> np.ndarray:
     """0: no hit; 1: indexed, and at several places; 2: at very many."""
-    got = [C.unpack_arrays(p) for p in payloads]
-    keys = np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _ in got])
-    flags = np.concatenate([f for _, f in got])
-    order = np.argsort(keys, kind="stable")
-    s, f = keys[order], flags[order]
-    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    size = np.diff(np.append(head, len(s)))
-    places = np.add.reduceat((f >> 1).astype(np.int64), head)
-    live = (np.bitwise_or.reduceat(f, head) & 1 > 0) & (places > 1)
-    out = np.zeros(len(keys), np.uint8)
-    out[order] = np.repeat(live.astype(np.uint8) * (1 + (places >= WIDE)), size)
-    return [C.pack_arrays(x) for x in np.split(out, np.cumsum([len(d) for d, _ in got])[:-1])]
+    places = flags >> 1
+    return (((flags & 1) > 0) & (places > 1)).astype(np.uint8) * (1 + (places >= WIDE)).astype(np.uint8)
+
+
+_ANCHORS = C.Keyed(_combine_anchors, _judge_anchors)
 
 
 class _Contexts:
@@ -135,11 +132,12 @@ class _Contexts:
     verdict will stand. contexts: (bucket, left, codes of the words) in order of bucket, doc: smallest doc_id of each.
     """
 
-    def __init__(self, words: _Words, replies: dict[int, bytes], window: int, anchors: int, buckets: int):
+    def __init__(self, words: _Words, replies: dict[int, bytes], window: int, anchors: C.Deal, deal: C.Deal):
+        buckets = deal.buckets
         block, n = window // 2, len(words.hashes)
         at, h1, h2 = words.windows(block)
         keys, inverse, _ = _anchor_keys(h1, h2, anchors)
-        verdict, runs = np.zeros(len(keys), np.uint8), C.bucket_runs(keys >> np.uint64(32))
+        verdict, runs = np.zeros(len(keys), np.uint8), anchors.runs(keys >> np.uint64(32))
         for b, data in replies.items():
             verdict[slice(*runs[b])] = C.unpack_arrays(data)[0]
         state, order, far = np.zeros(n + 1, np.uint8), np.full(n + 1, ~np.uint64(0)), np.zeros(n + 1, np.uint64)
@@ -183,7 +181,7 @@ class _Contexts:
         self.number = self.start - np.repeat(begins, last - first + 1)
         self.doc = np.full(len(contexts), np.iinfo(np.int64).max)
         np.minimum.at(self.doc, self.context, self.ids[self.row])
-        self.runs = C.bucket_runs(np.array([b for b, _, _ in self.contexts], np.int64))
+        self.runs = deal.runs(np.array([b for b, _, _ in self.contexts], np.int64))
 
     def _repeated(self, words: _Words, window: int, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """Has an earlier place of the chunk (smaller doc_id, or the same row and an earlier start) the window's words?"""
@@ -212,18 +210,21 @@ class _Contexts:
         return all((codes[a[x][:, None] + at] == codes[b[x][:, None] + at]).all() for x in (other[i : i + COMPARED] for i in range(0, len(other), COMPARED)))
 
 
-def _emit_contexts(window: int, anchors: int, buckets: int):
+def _payload(contexts: list[tuple[int, int, bytes]], doc: np.ndarray, vocabulary: pa.Array, deal: C.Deal, bundle: int) -> bytes:
+    """contexts: (bucket, left, codes of the words by the vocabulary, four bytes each)."""
+    used, codes = np.unique(np.frombuffer(b"".join(c for _, _, c in contexts), np.int32), return_inverse=True)
+    ids, which = np.unique(doc, return_inverse=True)
+    text = np.frombuffer(b"\n".join(vocabulary.take(pa.array(used)).to_pylist()), np.uint8)
+    small = np.uint16 if len(used) < 65536 else np.uint32
+    sizes, lefts = (np.array(x, np.uint32) for x in ([len(c) // 4 for _, _, c in contexts], [left for _, left, _ in contexts]))
+    return C.pack_arrays(deal.within(np.array([b for b, _, _ in contexts], np.int64), bundle), text, codes.astype(small), sizes, lefts, ids, which.astype(np.uint32))
+
+
+def _emit_contexts(window: int, anchors: C.Deal, buckets: C.Deal):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         words = _Words(chunk)
         found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
-        out = []
-        for b, (i, j) in found.runs.items():
-            own = found.contexts[i:j]
-            used, codes = np.unique(np.frombuffer(b"".join(c for _, _, c in own), words.codes.dtype), return_inverse=True)
-            ids, which = np.unique(found.doc[i:j], return_inverse=True)
-            text = np.frombuffer(b"\n".join(words.vocabulary.take(pa.array(used)).to_pylist()), np.uint8)
-            small = np.uint16 if len(used) < 65536 else np.uint32
-            out.append((b, C.pack_arrays(text, codes.astype(small), found.sizes[i:j].astype(np.uint32), np.array([left for _, left, _ in own], np.uint32), ids, which.astype(np.uint32))))
+        out = [(b, _payload(found.contexts[i:j], found.doc[i:j], words.vocabulary, buckets, b)) for b, (i, j) in found.runs.items()]
         return pa.table(_payloads(chunk.chunk, out))
 
     return work
@@ -273,24 +274,69 @@ def extended(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nd
     return verdict
 
 
-def _reduce_contexts(window: int):
-    def reduce(payloads: list[bytes]) -> list[bytes]:
-        got = [C.unpack_arrays(p) for p in payloads]
+class _Places(C.Entries):
+    """Contexts with their smallest doc_id; the reply to one is a bit for each of its windows."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    @staticmethod
+    def _words(got: list[list[np.ndarray]]) -> tuple[list[np.ndarray], dict[bytes, int]]:
+        """Codes of each payload's words by one dictionary."""
         seen: dict[bytes, int] = {}
         codes = []
-        for text, own, *_ in got:
+        for _, text, own, *_ in got:
             names = text.tobytes().split(b"\n")
             codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in names), np.int64, len(names))[own])
-        size, left = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (2, 3))
-        doc = np.concatenate([x[4][x[5]] for x in got])
-        verdict = extended(np.concatenate(codes), np.cumsum(size) - size, size, left, doc, window)
-        ends = np.cumsum([len(x[2]) for x in got])
-        return [C.pack_arrays(np.packbits(np.concatenate(verdict[i:j]))) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-
-    return reduce
+        return codes, seen
 
+    def reduce(self, payloads):
+        got = [C.unpack_arrays(p) for p in payloads]
+        codes, _ = self._words(got)
+        size, left = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (3, 4))
+        doc = np.concatenate([x[5][x[6]] for x in got])
+        verdict = extended(np.concatenate(codes), np.cumsum(size) - size, size, left, doc, self.window)
+        ends = np.cumsum([len(x[3]) for x in got])
+        return [C.pack_arrays(np.packbits(np.concatenate(verdict[i:j]))) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-def _finish(window: int, anchors: int, buckets: int):
+    def _met(self, payloads: list[bytes], deal: C.Deal, bundle: int):
+        """Distinct contexts in order of bucket, their doc_ids, the vocabulary; doc_id and context of each payload's entries."""
+        got = [C.unpack_arrays(p) for p in payloads]
+        codes, words = self._words(got)
+        seen: dict[tuple[int, int, bytes], int] = {}
+        use = []
+        for own, (within, _, _, size, left, _, _) in zip(codes, got, strict=True):
+            raw, end = own.astype(np.int32).tobytes(), np.cumsum(size, dtype=np.int64)
+            for b, x, i, j in zip((within.astype(np.int64) + bundle * deal.span).tolist(), left.tolist(), (4 * (end - size)).tolist(), (4 * end).tolist(), strict=True):
+                use.append(seen.setdefault((b, x, raw[i:j]), len(seen)))
+        order = sorted(range(len(seen)), key=[k[0] for k in seen].__getitem__)
+        rank = np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        which = rank[np.array(use, np.int64)]
+        own_doc = np.concatenate([x[5][x[6]] for x in got])
+        doc = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(doc, which, own_doc)
+        contexts = list(seen)
+        ends = np.cumsum([len(x[3]) for x in got])[:-1]
+        return [contexts[i] for i in order], doc, pa.array(list(words), pa.large_binary()), np.split(own_doc, ends), np.split(which, ends)
+
+    def fold(self, payloads, deal, bundle):
+        contexts, doc, vocabulary, *_ = self._met(payloads, deal, bundle)
+        own = C.Deal(deal.buckets, 1)
+        return [(b, _payload(contexts[i:j], doc[i:j], vocabulary, own, b)) for b, (i, j) in own.runs(np.array([b for b, _, _ in contexts], np.int64)).items()]
+
+    def spread(self, payloads, replies, deal, bundle):
+        contexts, doc, _, own_doc, which = self._met(payloads, deal, bundle)
+        each = [len(c) // 4 - self.window + 1 for _, _, c in contexts]
+        verdict: list[np.ndarray] = []
+        for b, (i, j) in C.bucket_runs(np.array([b for b, _, _ in contexts], np.int64)).items():
+            bits = np.unpackbits(C.unpack_arrays(replies[b])[0], count=sum(each[i:j]))
+            verdict += np.split(bits, np.cumsum(each[i:j])[:-1])
+        # what the unit has earlier in the same context is earlier for all its windows
+        return [C.pack_arrays(np.packbits(np.concatenate([np.ones_like(verdict[k]) if d > doc[k] else verdict[k] for d, k in zip(own.tolist(), at.tolist(), strict=True)]))) for own, at in zip(own_doc, which, strict=True)]
+
+
+def _finish(window: int, anchors: C.Deal, buckets: C.Deal):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         words = _Words(chunk)
         found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
@@ -327,12 +373,12 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     chunks = C.chunked(docs)
-    raw = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()["n"]
+    raw, n = C.size_of(chunks)
     # a word and its space take two bytes at least, five or more in prose; a context's windows are some
-    anchors, buckets = C.bucket_count(raw // 5, ANCHORS_EACH), C.bucket_count(raw // 80, CONTEXTS_EACH)
-    hits = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(window // 2, anchors), C.EMITTED), _reduce_anchors)
+    anchors, buckets = C.dealt(raw // 5, ANCHORS_EACH), C.dealt(raw // 80, CONTEXTS_EACH)
+    hits = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(window // 2, anchors), C.EMITTED), _ANCHORS, anchors, n)
     hits = C.materialise(hits.withColumn("kind", F.lit("anchor")), "anchor-hits")
-    earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_contexts(window, anchors, buckets), C.EMITTED), _reduce_contexts(window))
+    earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_contexts(window, anchors, buckets), C.EMITTED), _Places(window), buckets, n)
     replies = hits.unionByName(earlier.withColumn("kind", F.lit("context")))
     return C.with_replies(chunks, replies, _finish(window, anchors, buckets), OUT)
 

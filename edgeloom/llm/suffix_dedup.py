@@ -72,54 +72,46 @@ def _anchors(chunk: C.Chunk, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64 if i == 4 else np.int64) for i, x in enumerate(out))
 
 
-def _anchor_keys(h: np.ndarray, buckets: int):
-    key = ((h % np.uint64(buckets)) << np.uint64(32)) | (h >> np.uint64(32))
+def _anchor_keys(h: np.ndarray, anchors: C.Deal):
+    key = ((h % np.uint64(anchors.buckets)) << np.uint64(32)) | (h >> np.uint64(32))
     return np.unique(key, return_inverse=True, return_counts=True)
 
 
-def _emit_anchors(length: int, buckets: int):
+def _emit_anchors(length: int, anchors: C.Deal):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in C.Chunk.rows(batch):
                 _, _, _, row, h = _anchors(chunk, length)
-                keys, inverse, count = _anchor_keys(h, buckets)
+                keys, inverse, count = _anchor_keys(h, anchors)
                 ids = chunk.ids[row]
                 low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
                 np.minimum.at(low, inverse, ids)
                 np.maximum.at(high, inverse, ids)
                 count = np.minimum(count, 255).astype(np.uint8)
                 several = (low != high).astype(np.uint8)
-                k = keys.astype(np.uint32)
-                out = [(b, C.pack_arrays(np.diff(k[i:j], prepend=np.uint32(0)), count[i:j], several[i:j])) for b, (i, j) in C.bucket_runs(keys >> np.uint64(32)).items()]
+                out = C.Keyed.payloads(anchors, keys, count, several)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return emit
 
 
-def _reduce_anchors(payloads: list[bytes]) -> list[bytes]:
-    """0: held by one document; 1: by several; 2: by very many."""
-    got = [C.unpack_arrays(p) for p in payloads]
-    keys = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in got])
-    count = np.concatenate([x[1] for x in got]).astype(np.int64)
-    several = np.concatenate([x[2] for x in got])
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    size = np.diff(np.append(head, len(s)))
-    live = (size > 1) | (np.maximum.reduceat(several[order], head) > 0)
-    wide = np.add.reduceat(count[order], head) >= WIDE
-    out = np.zeros(len(keys), np.uint8)
-    out[order] = np.repeat(live.astype(np.uint8) * (1 + wide), size)
-    return [C.pack_arrays(x) for x in np.split(out, np.cumsum([len(x[0]) for x in got])[:-1])]
+def _combine_anchors(count: np.ndarray, several: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    places = np.minimum(np.add.reduceat(count.astype(np.int64), head), WIDE).astype(np.uint32)
+    return places, ((size > 1) | (np.maximum.reduceat(several, head) > 0)).astype(np.uint8)
+
+
+#: Reply 0: held by one document; 1: by several; 2: by very many.
+_ANCHORS = C.Keyed(_combine_anchors, lambda places, several: several * (1 + (places >= WIDE)).astype(np.uint8))
 
 
 class _Contexts:
     """The distinct contexts of a chunk's shared anchors, as (bytes, left bytes), in order of bucket."""
 
-    def __init__(self, chunk: C.Chunk, replies: dict[int, bytes], length: int, anchors: int, buckets: int):
+    def __init__(self, chunk: C.Chunk, replies: dict[int, bytes], length: int, anchors: C.Deal, deal: C.Deal):
+        buckets = deal.buckets
         place, first, last, row, h = _anchors(chunk, length)
         keys, inverse, _ = _anchor_keys(h, anchors)
-        runs = C.bucket_runs(keys >> np.uint64(32))
+        runs = anchors.runs(keys >> np.uint64(32))
         verdict = np.zeros(len(keys), np.uint8)
         for b, data in replies.items():
             verdict[slice(*runs[b])] = C.unpack_arrays(data)[0]
@@ -149,21 +141,24 @@ class _Contexts:
         self.doc = np.full(len(seen), np.iinfo(np.int64).max)
         np.minimum.at(self.doc, self.context, chunk.ids[self.row])
         self.strings = np.array([len(s) - length + 1 for _, _, s in self.contexts], np.int64)
-        self.runs = C.bucket_runs(np.array([b for b, _, _ in self.contexts], np.int64))
+        self.runs = deal.runs(np.array([b for b, _, _ in self.contexts], np.int64))
 
 
 def _own_bucket(s: bytes, buckets: int) -> int:
     return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") % buckets
 
 
-def _emit_contexts(length: int, anchors: int, buckets: int):
+def _payload(contexts: list[tuple[int, int, bytes]], doc: np.ndarray, deal: C.Deal, bundle: int) -> bytes:
+    ids, which = np.unique(doc, return_inverse=True)
+    flat = np.frombuffer(b"".join(s for _, _, s in contexts), np.uint8)
+    sizes, lefts = (np.array(x, np.uint8) for x in ([len(s) for _, _, s in contexts], [left for _, left, _ in contexts]))
+    return C.pack_arrays(deal.within(np.array([b for b, _, _ in contexts], np.int64), bundle), flat, sizes, lefts, ids, which.astype(np.uint32))
+
+
+def _emit_contexts(length: int, anchors: C.Deal, buckets: C.Deal):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         found = _Contexts(chunk, replies.get("anchor", {}), length, anchors, buckets)
-        out = []
-        for b, (i, j) in found.runs.items():
-            own = found.contexts[i:j]
-            ids, which = np.unique(found.doc[i:j], return_inverse=True)
-            out.append((b, C.pack_arrays(np.frombuffer(b"".join(s for _, _, s in own), np.uint8), np.array([len(s) for _, _, s in own], np.uint8), np.array([left for _, left, _ in own], np.uint8), ids, which.astype(np.uint32))))
+        out = [(b, _payload(found.contexts[i:j], found.doc[i:j], buckets, b)) for b, (i, j) in found.runs.items()]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([chunk.chunk] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return work
@@ -211,13 +206,18 @@ def _pad(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int, ste
     return np.ascontiguousarray(rows)
 
 
-def _reduce_contexts(length: int):
-    def reduce(payloads: list[bytes]) -> list[bytes]:
-        got = [C.unpack_arrays(p) for p in payloads]
-        flat = np.concatenate([x[0] for x in got])
-        size = np.concatenate([x[1] for x in got]).astype(np.int64)
-        left = np.concatenate([x[2] for x in got]).astype(np.int64)
-        doc = np.concatenate([x[3][x[4]] for x in got])
+class _Strings(C.Entries):
+    """Contexts with their smallest doc_id; the reply to one is a bit for each of its strings."""
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def reduce(self, payloads):
+        length, got = self.length, [C.unpack_arrays(p) for p in payloads]
+        flat = np.concatenate([x[1] for x in got])
+        size = np.concatenate([x[2] for x in got]).astype(np.int64)
+        left = np.concatenate([x[3] for x in got]).astype(np.int64)
+        doc = np.concatenate([x[4][x[5]] for x in got])
         begin = np.cumsum(size) - size
         strings = size - length + 1
         order, common = _sorted_prefixes(_pad(flat, begin + left, size - left, -(-length // 8) * 8, 1), np.minimum(size - left, length))
@@ -245,12 +245,43 @@ def _reduce_contexts(length: int):
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             later = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(k))))
             verdict[member[by][later]] |= np.uint32(1) << string[by][later].astype(np.uint32)
-        return [C.pack_arrays(x) for x in np.split(verdict, np.cumsum([len(x[1]) for x in got])[:-1])]
+        return [C.pack_arrays(x) for x in np.split(verdict, np.cumsum([len(x[2]) for x in got])[:-1])]
+
+    @staticmethod
+    def _met(payloads: list[bytes], deal: C.Deal, bundle: int):
+        """Distinct contexts in order of bucket, their doc_ids, the context of each entry, where payloads end."""
+        got = [C.unpack_arrays(p) for p in payloads]
+        seen: dict[tuple[int, int, bytes], int] = {}
+        use = []
+        for within, flat, size, left, _, _ in got:
+            raw, end = flat.tobytes(), np.cumsum(size, dtype=np.int64)
+            for b, x, i, j in zip((within.astype(np.int64) + bundle * deal.span).tolist(), left.tolist(), (end - size).tolist(), end.tolist(), strict=True):
+                use.append(seen.setdefault((b, x, raw[i:j]), len(seen)))
+        order = sorted(range(len(seen)), key=[k[0] for k in seen].__getitem__)
+        rank = np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        which = rank[np.array(use, np.int64)]
+        doc = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(doc, which, np.concatenate([x[4][x[5]] for x in got]))
+        contexts = list(seen)
+        return [contexts[i] for i in order], doc, which, np.cumsum([len(x[2]) for x in got])[:-1]
+
+    def fold(self, payloads, deal, bundle):
+        contexts, doc, *_ = self._met(payloads, deal, bundle)
+        own = C.Deal(deal.buckets, 1)
+        return [(b, _payload(contexts[i:j], doc[i:j], own, b)) for b, (i, j) in own.runs(np.array([b for b, _, _ in contexts], np.int64)).items()]
 
-    return reduce
+    def spread(self, payloads, replies, deal, bundle):
+        contexts, doc, which, ends = self._met(payloads, deal, bundle)
+        found = np.concatenate([C.unpack_arrays(replies[b])[0] for b in C.bucket_runs(np.array([b for b, _, _ in contexts], np.int64))])
+        own = np.concatenate([x[4][x[5]] for x in map(C.unpack_arrays, payloads)])
+        # what the unit has earlier in the same context is earlier for all its strings
+        all_strings = (np.uint64(1) << np.array([len(contexts[k][2]) - self.length + 1 for k in which], np.uint64)) - np.uint64(1)
+        out = np.where(own > doc[which], all_strings.astype(np.uint32), found[which])
+        return [C.pack_arrays(x) for x in np.split(out, ends)]
 
 
-def _finish(length: int, anchors: int, buckets: int):
+def _finish(length: int, anchors: C.Deal, buckets: C.Deal):
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
         found = _Contexts(chunk, replies.get("anchor", {}), length, anchors, buckets)
         verdict = np.zeros(len(found.contexts), np.uint32)
@@ -289,12 +320,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     if not ANCHOR <= length < ANCHOR + 32:
         raise ValueError(f"length is {ANCHOR} to {ANCHOR + 31}")
     chunks = C.chunked(docs)
-    raw = chunks.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()["n"]
+    raw, n = C.size_of(chunks)
     dense = 2 * raw // (length - ANCHOR + 2)
-    anchors, buckets = C.bucket_count(dense, ANCHORS_EACH), C.bucket_count(dense // 2, CONTEXTS_EACH)
-    shared = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(length, anchors), C.EMITTED), _reduce_anchors)
+    anchors, buckets = C.dealt(dense, ANCHORS_EACH), C.dealt(dense // 2, CONTEXTS_EACH)
+    shared = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(length, anchors), C.EMITTED), _ANCHORS, anchors, n)
     shared = C.materialise(shared.withColumn("kind", F.lit("anchor")), "shared-anchors")
-    verdicts = C.reduce_buckets(C.with_replies(chunks, shared, _emit_contexts(length, anchors, buckets), C.EMITTED), _reduce_contexts(length))
+    verdicts = C.reduce_buckets(C.with_replies(chunks, shared, _emit_contexts(length, anchors, buckets), C.EMITTED), _Strings(length), buckets, n)
     replies = shared.unionByName(verdicts.withColumn("kind", F.lit("context")))
     return C.with_replies(chunks, replies, _finish(length, anchors, buckets), OUT)
 

@@ -7,6 +7,8 @@ from cases import awkward, empty, frame
 from edgeloom.llm import substring_dedup as module
 from edgeloom.llm.substring_dedup import extended, substring_dedup
 
+DEAL = module.C.Deal(4, 1)
+
 
 def brute(texts, window):
     docs = sorted(((d, (t or "").encode().split()) for d, t in texts), key=lambda x: x[0])
@@ -84,7 +86,7 @@ def chunk_of(texts, number=0):
 def test_hashes_that_collide_are_told_apart(monkeypatch):
     texts = awkward(2)
     words = module._Words(chunk_of(texts))
-    found = module._Contexts(words, all_hits(words), 7, 4, 4)
+    found = module._Contexts(words, all_hits(words), 7, DEAL, DEAL)
     want = found.locally.copy()
     assert want.any() and not want.all()
     n = len(found.start)
@@ -94,7 +96,7 @@ def test_hashes_that_collide_are_told_apart(monkeypatch):
 def all_hits(words, state=1):
     """Replies that call every block a hit."""
     _, h1, h2 = words.windows(3)
-    keys, _, _ = module._anchor_keys(h1, h2, 4)
+    keys, _, _ = module._anchor_keys(h1, h2, DEAL)
     return {b: module.C.pack_arrays(np.full(j - i, state, np.uint8)) for b, (i, j) in module.C.bucket_runs(keys >> np.uint64(32)).items()}
 
 
@@ -108,13 +110,13 @@ def test_borders_of_blocks_chunks_and_wide_anchors(spark, monkeypatch):
         hits = [all_hits(w, state) for w in words]
         sent, back = {}, [{} for _ in parts]
         for k, (p, h) in enumerate(zip(parts, hits)):
-            for r in module._emit_contexts(7, 4, 4)(chunk_of(p, k), {"anchor": h}).to_pylist():
+            for r in module._emit_contexts(7, DEAL, DEAL)(chunk_of(p, k), {"anchor": h}).to_pylist():
                 sent.setdefault(r["bucket"], []).append((k, r["payload"]))
         for b, rows in sent.items():
-            for (k, _), reply in zip(rows, module._reduce_contexts(7)([x for _, x in rows])):
+            for (k, _), reply in zip(rows, module._Places(7).reduce([x for _, x in rows])):
                 back[k][b] = reply
         got = {}
         for k, p in enumerate(parts):
-            for r in module._finish(7, 4, 4)(chunk_of(p, k), {"anchor": hits[k], "context": back[k]}).to_pylist():
+            for r in module._finish(7, DEAL, DEAL)(chunk_of(p, k), {"anchor": hits[k], "context": back[k]}).to_pylist():
                 got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
         assert got == want

@@ -43,11 +43,12 @@ def test_strings_dealt_one_by_one_give_the_same(spark, monkeypatch):
     import pyarrow as pa
 
     one = pa.RecordBatch.from_pydict({"chunk": [0], "ids": [chunk.ids.tolist()], "sizes": [chunk.sizes.tolist()], "raw": [len(chunk.raw)], "blob": [module.C.squeeze(chunk.raw)]})
-    emitted = next(iter(module._emit_anchors(50, 64)(iter([one]))))
-    anchors = {b.as_py(): module._reduce_anchors([p.as_py()])[0] for b, p in zip(emitted["bucket"], emitted["payload"])}
-    sent = module._emit_contexts(50, 64, 64)(chunk, {"anchor": anchors})
-    contexts = {b.as_py(): module._reduce_contexts(50)([p.as_py()])[0] for b, p in zip(sent["bucket"], sent["payload"])}
-    for r in module._finish(50, 64, 64)(chunk, {"anchor": anchors, "context": contexts}).to_pylist():
+    deal = module.C.Deal(64, 1)
+    emitted = next(iter(module._emit_anchors(50, deal)(iter([one]))))
+    anchors = {b.as_py(): module.C.Keyed(module._combine_anchors, lambda places, several: several * (1 + (places >= 2)).astype("uint8")).reduce([p.as_py()])[0] for b, p in zip(emitted["bucket"], emitted["payload"])}
+    sent = module._emit_contexts(50, deal, deal)(chunk, {"anchor": anchors})
+    contexts = {b.as_py(): module._Strings(50).reduce([p.as_py()])[0] for b, p in zip(sent["bucket"], sent["payload"])}
+    for r in module._finish(50, deal, deal)(chunk, {"anchor": anchors, "context": contexts}).to_pylist():
         got[r["doc_id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
     assert got == want
 
