@@ -251,3 +251,48 @@ def test_tables_are_deleted(spark):
     assert os.path.isdir(path)
     shared.discard(table)
     assert not os.path.exists(path)
+
+
+def test_wedges_are_not_dealt_and_closed_in_buckets(spark, monkeypatch):
+    from edgeloom.operators import closing
+
+    monkeypatch.setattr(closing, "MOST_HELD", 7)
+    r = random.Random(5)
+    # ids whose hashed keys need all 64 bits, and a hub
+    ids = [0, -3, 2**40, 2**62, *range(5, 30)]
+    edges = [(r.choice(ids), r.choice(ids)) for _ in range(150)] + [(2**62, v) for v in ids]
+    deg, tri, _, affected = arrive(edges, 10)
+    c = G.canonical(frame(spark, edges))
+    assert len(G.oriented(c)[1]) > 2
+    assert results(G.triangle_count(c), "degree", "triangles") == [deg, tri]
+    plan = G.triangles(c)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("run", [3, 1000])
+def test_running_sums_of_a_hub_and_of_repeated_rows(spark, monkeypatch, run):
+    monkeypatch.setattr(G, "RUN", run)
+    r = random.Random(6)
+    rows = [(v, r.randrange(40), r.randrange(5), 1) for v in (1, 1, 1, 1, 1, 2, 3) for _ in range(5)] + [(4, 7, 2, 1)]
+    want = []
+    for vid, pos in sorted({x[:2] for x in rows}):
+        own, upto = ([x[2:] for x in rows if x[0] == vid and (x[1] == pos or below and x[1] < pos)] for below in (False, True))
+        want.append((vid, pos, *map(sum, zip(*own, strict=True)), *map(sum, zip(*upto, strict=True))))
+    got = G.running_sums(spark.createDataFrame(rows, "vid long, pos long, a long, b long"), ["a", "b"])
+    assert sorted(tuple(x) for x in got.collect()) == want
+    if run == 1000:  # one exchange without hubs
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_states_of_batches_take_only_what_they_need(spark):
+    edges = CASES[-1]
+    c = G.canonical(frame(spark, edges))
+    degree = B.state_of(G.symmetric(c), "degree", 10)
+    assert "closing" not in degree._jdf.queryExecution().executedPlan().toString() and c not in G._oriented
+    near = {}
+    for k in range(6):
+        deg, tri, _, affected = arrive(edges[: 10 * k + 10], 10)
+        near |= {(b, v): (deg[v], tri[v]) for b, v in affected if b == k}
+    got = {(r.batch_id, r.vid): r for r in B.states(c, 10).collect()}
+    assert {x: (r.degree, r.triangles) for x, r in got.items()} == near
+    assert {(r.batch_id, r.vid): r.value for r in degree.collect()} == {x: r.degree for x, r in got.items() if r.d_degree}
