@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from edgeloom.functions.values import div
 from edgeloom.model import BATCH, NODES, TAIL
 from edgeloom.operators import graph as G
-from edgeloom.sources.shared import materialise
 
 #: Batches of one block of a running sum.
-RUN_BATCHES = 1 << 12
+RUN_BATCHES = 1 << 6
 
 
 def batch_of(pos: Column, size: int = BATCH) -> Column:
@@ -35,17 +34,21 @@ def changes(c: DataFrame, size: int = BATCH) -> DataFrame:
     return d.union(t).groupBy("batch_id", "vid").agg(F.sum("d").alias("d_degree"), F.sum("t").alias("d_triangles"))
 
 
+def state_of(rows: DataFrame, name: str, size: int = BATCH) -> DataFrame:
+    """(vid, pos), a row for each increment -> (batch_id, vid, value) of one result, for vertices whose result a batch changes."""
+    own = rows.select("vid", batch_of(F.col("pos"), size).alias("pos"), F.lit(1).cast("long").alias(name))
+    return G.running_sums(own, [name], RUN_BATCHES).select(F.col("pos").alias("batch_id"), "vid", F.col(name).alias("value"))
+
+
 def states(c: DataFrame, size: int = BATCH) -> DataFrame:
     """(batch_id, vid, d_degree, d_triangles, degree, triangles): results of affected vertices after the batch.
 
-    A hub is affected by nearly every batch; its running sums go by blocks of batches (graph.running_sum()).
+    A hub is affected by nearly every batch; its running sums go by blocks of batches (graph.running_sums()).
     """
-    own = materialise(changes(c, size), "changes")
-    runs = []
-    for name in ("degree", "triangles"):
-        run = G.running_sum(own.select("vid", F.col("batch_id").alias("pos"), F.col(f"d_{name}").alias("delta")), RUN_BATCHES)
-        runs.append(run.select("vid", F.col("pos").alias("batch_id"), F.col("value").alias(name)))
-    return own.join(runs[0], ["vid", "batch_id"]).join(runs[1], ["vid", "batch_id"]).select("batch_id", "vid", "d_degree", "d_triangles", "degree", "triangles")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    d = G.symmetric(c).select("vid", batch_of(F.col("pos"), size).alias("pos"), one.alias("degree"), none.alias("triangles"))
+    t = G.corners(G.held_triangles(c)).select("vid", batch_of(F.col("pos"), size).alias("pos"), none.alias("degree"), one.alias("triangles"))
+    return G.running_sums(d.union(t), ["degree", "triangles"], RUN_BATCHES).withColumnRenamed("pos", "batch_id").select("batch_id", "vid", "d_degree", "d_triangles", "degree", "triangles")
 
 
 def first_affected(c: DataFrame, most: int, per_node: bool, nodes: int = NODES) -> DataFrame:
