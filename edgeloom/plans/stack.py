@@ -36,6 +36,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +211,12 @@ class Surroundings:
     earlier: DataFrame | None = None
 
 
+def opposite(t: DataFrame) -> DataFrame:
+    """Triangles (p, q, r) with the edge (pos, src, dst) that closes each -> (pos, src, dst, nbr), the third corner."""
+    third = [F.when((F.col(x) != F.col("src")) & (F.col(x) != F.col("dst")), F.col(x)) for x in "pqr"]
+    return t.select("pos", "src", "dst", F.coalesce(*third).alias("nbr"))
+
+
 def surroundings(edges: DataFrame) -> Surroundings:
     """Those of a whole stream (pos, src, dst). The simple graph is written once; every step reads it."""
     keyed = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min(F.struct("pos", "src", "dst")).alias("e"))
@@ -219,7 +226,7 @@ def surroundings(edges: DataFrame) -> Surroundings:
 
     def closed() -> DataFrame:
         t = G.triangles(c.select("u", "v", "pos")).withColumnRenamed("done_pos", "pos").join(accepted, "pos")
-        return t.select("pos", "src", "dst", (F.col("p") + F.col("q") + F.col("r") - F.col("src") - F.col("dst")).alias("nbr"))
+        return materialise(opposite(t), "closed")
 
     return Surroundings(accepted, known, closed)
 
@@ -296,19 +303,27 @@ class Stack:
             return out if loop.condition is None else out.where(loop.condition)
 
         def counted(loop: Loop, base: DataFrame) -> DataFrame | None:
-            """(pos, n) of a loop over an end's neighbours that only counts them: the degree that the end had."""
-            if loop.end is None or loop.outer is not None or loop.condition is not None or around.earlier is not None:
+            """(pos, n) of a loop over an end's neighbours that only counts them, or those that meet a condition on themselves."""
+            if loop.end is None or loop.outer is not None or around.earlier is not None:
                 return None
-            run = G.running_sum(around.known.select("vid", F.col("arrived").alias("pos"), F.lit(1).cast("long").alias("delta")))
-            own = run.select(F.col("vid").alias("_vid"), F.col("pos").alias("_pos"), (F.col("value") - 1).alias("n"))
-            return base.join(own, (loop.of == F.col("_vid")) & (F.col("pos") == F.col("_pos"))).where("n > 0").select("pos", "n")
+            counts = F.lit(1)
+            if loop.condition is not None:
+                try:  # does the condition know the neighbour only?
+                    around.known.select(F.col("nbr").alias(loop.name)).where(loop.condition).schema  # noqa: B018
+                except AnalysisException:
+                    return None
+                counts = F.when(loop.condition, 1).otherwise(0)
+            own = around.known.withColumnRenamed("nbr", loop.name).select("vid", F.col("arrived").alias("pos"), counts.cast("long").alias("n"))
+            run = G.running_sums(own, ["n"], unique=True)
+            before = run.select(F.col("vid").alias("_vid"), F.col("pos").alias("_pos"), (F.col("n") - F.col("d_n")).alias("n")).where("n > 0")
+            return base.join(before, (loop.of == F.col("_vid")) & (F.col("pos") == F.col("_pos"))).select("pos", "n")
 
         def passed(loop: Loop) -> DataFrame:
             """(pos, vid, n) for a loop over an end's neighbours: each neighbour is met by the n edges that come to the end
             after it; pos: its own arrival."""
             comes = around.edges.select(loop.of.alias("vid"), "pos", F.lit(1).cast("long").alias("delta"))
             asked = around.known.select("vid", F.col("arrived").alias("pos"), F.lit(0).cast("long").alias("delta"))
-            run = G.running_sum(comes.union(asked).groupBy("vid", "pos").agg(F.sum("delta").alias("delta")))
+            run = G.running_sum(comes.union(asked))
             until = run.select(F.col("vid").alias("_vid"), F.col("pos").alias("_pos"), "value")
             out = around.known.join(until, (F.col("vid") == F.col("_vid")) & (F.col("arrived") == F.col("_pos")))
             return out.join(comes.groupBy("vid").agg(F.count("*").alias("all")), "vid").select(F.col("arrived").alias("pos"), F.col("nbr").alias("vid"), (F.col("all") - F.col("value")).alias("n")).where("n > 0")
@@ -317,19 +332,29 @@ class Stack:
             """Does a step only add a constant to an end's neighbours, and nothing asks when?"""
             return not s.put and s.over is not None and s.over.end is not None and s.over.outer is None and s.over.condition is None and s.condition is None and s.constant is not None and s.result not in self.asked and str(s.target) == str(s.over.vertex) and around.earlier is None
 
+        def answers(edge: Edge, base: DataFrame) -> DataFrame:
+            """(pos, a column for each get): one pass of running sums for all questions of a program."""
+            sides = {str(g.vertex): (f"_at{i}", g.vertex) for i, g in enumerate(edge.gets)}
+            sums = {r: f"_sum{i}" for i, r in enumerate(dict.fromkeys(g.result for g in edge.gets))}
+            flags, zero = [name for name, _ in sides.values()], F.lit(0).cast("long")
+            nothing = [zero.alias(x) for x in flags]
+            asked = F.array(*[F.struct(v.cast("long").alias("vid"), *[F.lit(int(x == name)).cast("long").alias(x) for x in flags]) for name, v in sides.values()])
+            every = [base.select("pos", F.explode(asked).alias("q")).select("q.vid", "pos", *[zero.alias(x) for x in sums.values()], *[F.col(f"q.{x}").alias(x) for x in flags])]
+            told = [(d, F.col("pos"), F.col("delta")) for d in deltas]
+            if around.earlier is not None:
+                told.append((around.earlier, F.lit(BEFORE).cast("long"), F.col("value")))
+            for d, pos, value in told:
+                every.append(d.where(F.col("result").isin(*sums)).select("vid", pos.alias("pos"), *[F.when(F.col("result") == r, value).otherwise(zero).alias(x) for r, x in sums.items()], *nothing))
+            run = G.running_sums(materialise(reduce(DataFrame.unionByName, every), "asked"), [*sums.values(), *flags])
+            here = run.where(reduce(lambda a, b: a | b, [F.col(f"d_{x}") > 0 for x in flags]))
+            return here.groupBy("pos").agg(*[F.max(F.when(F.col(f"d_{sides[str(g.vertex)][0]}") > 0, F.col(sums[g.result]))).alias(g.name) for g in edge.gets])
+
         for number, (_, edge) in enumerate(self.programs):
             base = around.edges
             for s in filter(plain, edge.steps):
                 deltas.append(passed(s.over).select("pos", "vid", F.lit(s.result).alias("result"), (F.col("n") * s.constant).alias("delta")))
-            for g in edge.gets:
-                asked = base.select("pos", g.vertex.alias("vid")).distinct()
-                own = [d.where(F.col("result") == g.result).select("vid", "pos", "delta") for d in deltas]
-                if around.earlier is not None:
-                    own.append(around.earlier.where(F.col("result") == g.result).select("vid", F.lit(BEFORE).cast("long").alias("pos"), F.col("value").alias("delta")))
-                every = reduce(DataFrame.unionByName, [*own, asked.select("vid", "pos", F.lit(0).cast("long").alias("delta"))])
-                run = G.running_sum(every.groupBy("vid", "pos").agg(F.sum("delta").alias("delta")))
-                at = run.select(F.col("vid").alias("_vid"), F.col("pos").alias("_pos"), F.col("value").alias(g.name))
-                base = base.join(at, (g.vertex == F.col("_vid")) & (F.col("pos") == F.col("_pos")), "left").drop("_vid", "_pos")
+            if edge.gets:
+                base = base.join(answers(edge, base), "pos", "left")
             for name, total in edge.totals.items():
                 n = counted(total.loop, base) if isinstance(total.value, int) else None
                 if n is not None:

@@ -296,3 +296,37 @@ def test_states_of_batches_take_only_what_they_need(spark):
     got = {(r.batch_id, r.vid): r for r in B.states(c, 10).collect()}
     assert {x: (r.degree, r.triangles) for x, r in got.items()} == near
     assert {(r.batch_id, r.vid): r.value for r in degree.collect()} == {x: r.degree for x, r in got.items() if r.d_degree}
+
+
+def test_questions_share_a_pass_and_conditional_counts_make_no_rows(spark, tmp_path):
+    from edgeloom.plans.stack import surroundings
+
+    edges = frame(spark, CASES[-1])
+    asked = Stack(TOUCHED, TRIANGLES, DEGREE)
+    puts = asked.compiled(surroundings(edges))[1]
+    assert puts._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+
+    def body(e):
+        even = e.neighbours("end")
+        e.increment("busy", e.start, e.value(even.where(even.vertex % 2 == 0).count()))
+
+    stack = Stack(Analysis("busy", body))
+    assert "arrived#" not in "".join(x for x in stack.deltas(edges)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+    near, want = defaultdict(set), defaultdict(int)
+    for a, b in CASES[-1]:
+        if a != b and b not in near[a]:
+            want[a] += sum(v % 2 == 0 for v in near[b])
+            near[a].add(b)
+            near[b].add(a)
+    assert {r.vid: r.busy for r in stack.run(edges).collect()} == {v: want[v] for v in near if near[v]}
+
+
+def test_replay_writes_a_batch_in_several_files(spark, tmp_path, monkeypatch):
+    from edgeloom.streaming import replay as R
+
+    monkeypatch.setattr(R, "FILE_EDGES", 20)
+    edges = CASES[-1] * 3
+    deg, tri, cc, _ = arrive(edges, 10)
+    found = R.replay(frame(spark, edges), str(tmp_path), stack=Stack(TOUCHED, TRIANGLES, DEGREE)).collect()
+    assert len(list((tmp_path / "input").glob("*.parquet"))) == 9 and len(list((tmp_path / "edges").glob("batch_id=*"))) == 3
+    assert [{r.vid: r[n] for r in found} for n in ("degree", "triangles", "cc_touched")] == [deg, tri, cc]
