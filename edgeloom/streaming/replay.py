@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import graph as G
-from edgeloom.plans.stack import BEFORE, DEGREE, TRIANGLES, Stack, Surroundings
+from edgeloom.plans.stack import BEFORE, DEGREE, TRIANGLES, Stack, Surroundings, opposite
 from edgeloom.sources.shared import materialise
 
 EDGE = "pos long, src long, dst long, batch_id long"
 SUM, PUT = "vid long, result string, value long, batch_id long", "vid long, result string, at long, step int, value long, batch_id long"
 MOST_VERTICES = 1_000_000
+#: Edges of an input file that replay() writes, about.
+FILE_EDGES = 1_000_000
 
 
 class Replay:
@@ -59,14 +61,10 @@ class Replay:
         near = materialise(known.join(few(touched), "vid", "left_semi"), "batch-neighbours")
 
         def closed() -> DataFrame:
-            """Neighbours of both ends, before the edge: the end with fewer neighbours is gone through."""
-            degree = near.groupBy("vid").agg(F.count("*").alias("n"))
-            a, b = (degree.select(F.col("vid").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
-            up = F.col("n_src") <= F.col("n_dst")
-            out = new.join(a, "src").join(b, "dst").select("pos", "src", "dst", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("less"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("more"))
-            one = near.select(F.col("vid").alias("less"), "nbr", F.col("arrived").alias("a1"))
-            two = near.select(F.col("vid").alias("more"), "nbr", F.col("arrived").alias("a2"))
-            return out.join(one, "less").where("a1 < pos").join(two, ["more", "nbr"]).where("a2 < pos").select("pos", "src", "dst", "nbr")
+            """Neighbours of both ends, before the edge: triangles of the edges that touch the batch, closed by one of its own."""
+            c = materialise(near.groupBy(F.least("vid", "nbr").alias("u"), F.greatest("vid", "nbr").alias("v")).agg(F.min("arrived").alias("pos")), "batch-graph")
+            t = G.triangles(c).where(F.col("done_pos") > BEFORE).withColumnRenamed("done_pos", "pos").join(new, "pos")
+            return materialise(opposite(t), "batch-closed")
 
         # loops over other vertices than the edge's ends need all neighbours
         deep = any(s.over is not None and s.over.of is not None and not s.over.end for s in self.stack.steps) or any(t.loop.of is not None and not t.loop.end for _, e in self.stack.programs for t in e.totals.values())
@@ -95,14 +93,22 @@ class Replay:
         query.awaitTermination()
 
 
+def _files(spark: SparkSession, path: str) -> int:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sum(f.getPath().getName().endswith(".parquet") for f in own.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(own))
+
+
 def replay(edges: DataFrame, path: str, batches: int = 3, stack: Stack | None = None) -> DataFrame:
-    """Writes the edges as files, one after the other in order of arrival, and streams them, a file a micro-batch."""
+    """Writes the edges as files, batch after batch in order of arrival, and streams them, a batch's files a micro-batch."""
     spark = edges.sparkSession
     n = edges.count()
+    files = max(1, n // batches // FILE_EDGES)
     for k in range(batches):
         own = (F.col("pos") >= n * k // batches) & (F.col("pos") < n * (k + 1) // batches)
-        edges.where(own).repartition(1).sortWithinPartitions("pos").write.mode("append").parquet(f"{path}/input")
-    stream = spark.readStream.schema("pos long, src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{path}/input")
+        edges.where(own).repartitionByRange(files, "pos").sortWithinPartitions("pos").write.mode("append").parquet(f"{path}/input")
+        if (written := _files(spark, f"{path}/input")) != files * (k + 1):
+            raise RuntimeError(f"{written} files after batch {k} instead of {files * (k + 1)}")
+    stream = spark.readStream.schema("pos long, src long, dst long").option("maxFilesPerTrigger", files).parquet(f"{path}/input")
     state = Replay(spark, path, stack)
     state.run(stream, f"{path}/progress")
     return state.results()
