@@ -330,3 +330,22 @@ def test_replay_writes_a_batch_in_several_files(spark, tmp_path, monkeypatch):
     found = R.replay(frame(spark, edges), str(tmp_path), stack=Stack(TOUCHED, TRIANGLES, DEGREE)).collect()
     assert len(list((tmp_path / "input").glob("*.parquet"))) == 9 and len(list((tmp_path / "edges").glob("batch_id=*"))) == 3
     assert [{r.vid: r[n] for r in found} for n in ("degree", "triangles", "cc_touched")] == [deg, tri, cc]
+
+
+def test_neighbourhoods_are_looked_up_in_buckets_and_not_dealt(spark, monkeypatch):
+    from edgeloom.operators import ends
+
+    monkeypatch.setattr(ends, "MOST_HELD", 9)
+    monkeypatch.setattr(ends, "ELEMENTS", 5)
+    c = G.canonical(frame(spark, CASES[-1]))
+    rows = G.symmetric(c).select("vid", "nbr", (F.col("nbr") * 10).alias("value"))
+    near = defaultdict(list)
+    for r in sorted(rows.collect()):
+        near[r.vid].append(r.nbr)
+    widest = sorted(map(len, near.values()))[-2]
+    found = ends.both(c, rows, widest)
+    want = {(r.u, r.v): (near[r.u], near[r.v]) for r in c.collect() if max(len(near[r.u]), len(near[r.v])) <= widest}
+    assert {(r.u, r.v): (r.a, r.b) for r in found.collect()} == want
+    assert all(r.da == [10 * x for x in r.a] and r.db == [10 * x for x in r.b] for r in found.collect())
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ends.both(c.limit(0), rows.limit(0), widest).count() == 0
