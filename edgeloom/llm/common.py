@@ -331,7 +331,8 @@ def reduce_buckets(emitted: DataFrame, entries: Entries, deal: Deal, chunks: int
     The number of buckets follows the input, so a bucket has bounded size. Where a bundle is one bucket, payloads go there
     at once. Else as many chunks as a bundle has buckets make a unit; a unit's payloads to a bundle meet first, and are dealt on to the
     bundle's buckets with each distinct entry once. So a payload's size depends on the chunks' size and not on the input's, and an
-    entry that every chunk holds costs its bucket one entry a unit.
+    entry that every chunk holds costs its bucket one entry a unit. A negative bucket belongs to no bundle: its payloads
+    are reduced, and never folded.
     """
 
     def by_chunk(group: pa.Table) -> pa.Table:
@@ -360,10 +361,11 @@ def reduce_buckets(emitted: DataFrame, entries: Entries, deal: Deal, chunks: int
         return emitted.groupBy("bucket").applyInArrow(work, REPLIES)
     units = -(-chunks // deal.span)
     emitted = materialise(emitted.withColumn("unit", F.pmod(F.xxhash64("chunk"), F.lit(units)).cast("bigint")), "unit-entries")
+    kept, emitted = emitted.where("bucket < 0").select("chunk", "bucket", "payload"), emitted.where("bucket >= 0")
     of_unit = emitted.groupBy("bucket", "unit")
     replies = of_unit.applyInArrow(fold, EMITTED).groupBy("bucket").applyInArrow(work, REPLIES)
     replies = replies.withColumn("bundle", F.expr(f"bucket div {deal.span}").cast("int"))
-    return of_unit.cogroup(replies.groupBy("bundle", "chunk")).applyInArrow(spread, REPLIES)
+    return of_unit.cogroup(replies.groupBy("bundle", "chunk")).applyInArrow(spread, REPLIES).unionByName(kept.groupBy("bucket").applyInArrow(work, REPLIES))
 
 
 def with_replies(chunks: DataFrame, replies: DataFrame, work: Callable[[Chunk, dict[str, dict[int, bytes]]], pa.Table], schema: str) -> DataFrame:

@@ -11,7 +11,8 @@ A repeat of `window` words holds a whole aligned block of window // 2 words of i
    stay in one class as long as their words are the same (the words themselves, by a dictionary of the bucket). A window
    that begins `o` words before its block repeats where o words to the left and the rest to the right agree, and the
    smallest doc_id of the class tells whether it is earlier elsewhere.
-3. *Merge.* Repeated windows that follow or overlap one another join into maximal exact repeats, which are removed.
+3. *Merge.* Repeated windows that follow or overlap one another join into maximal exact repeats, which are removed. Which
+   windows a chunk asked about travels with its contexts and back, so they are looked for once.
 
 Nothing grows with the square of a group: a chunk sends each distinct context once, with its smallest doc_id, and gets
 one bit a window back; beyond common.BUNDLES buckets a unit of chunks does so for all of them. A block with very many places (WIDE) would gather in one bucket, so its windows are dealt one by
@@ -27,10 +28,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from edgeloom.llm import common as C
 ANCHORS_EACH, CONTEXTS_EACH, WIDE = 2_000_000, 50_000, 2_000
 #: Places of a chunk whose anchors are sought at a time; windows that are compared at a time.
 BLOCK, COMPARED = 1 << 20, 1 << 15
+#: What the last step needs of a chunk goes to one of so many negative buckets; it has more arrays than a payload of contexts.
+KEPT, KEPT_ARRAYS = 1_000_003, 8
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start:long,length:long>>"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
@@ -48,6 +52,40 @@ OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remo
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of the longest word that is hashed with others, eight bytes at a time.
+SHORT = 64
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each word data[offsets[i] : offsets[i + 1]], of its bytes alone."""
+    at, size = offsets[:-1], np.diff(offsets)
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = C.mix64(size)
+    here = np.flatnonzero(size <= SHORT)
+    for done in range(0, SHORT, 8):
+        here = here[size[here] > done]
+        if not len(here):
+            break
+        # bytes beyond the word's end are shifted out
+        unused = (8 * np.maximum(0, done + 8 - size[here])).astype(np.uint64)
+        out[here] = C.mix64(out[here] ^ (words[at[here] + done] << unused))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes(), 7)
+    return out
+
+
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the values data[offsets[i] : offsets[i + 1]], and the distinct ones."""
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
+
+
+def _raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_binary array that begins with its buffers."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(values) + 1)
+    return np.frombuffer(data or b"", np.uint8)[: ends[-1]], ends
 
 
 class _Words:
@@ -66,13 +104,8 @@ class _Words:
         ends[border - 1] = letter[border - 1]
         at = np.flatnonzero(begins)
         sizes = np.flatnonzero(ends) + 1 - at
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[letter])])
-        coded = values.dictionary_encode()
-        self.codes, self.vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
-        names = self.vocabulary.to_pylist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names, repeat(7)), np.uint64, len(names))
-        self.hashes = hashes[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+        self.codes, self.vocabulary = _distinct(raw[letter], np.concatenate([[0], np.cumsum(sizes)]))
+        self.hashes = _hashes(*_raw(self.vocabulary))[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
         self.first = np.searchsorted(at, chunk.starts)
         self.row = np.repeat(np.arange(len(chunk.sizes)), np.diff(self.first))
 
@@ -128,8 +161,9 @@ _ANCHORS = C.Keyed(_combine_anchors, _judge_anchors)
 class _Contexts:
     """The windows of a chunk that hold a hit, which of them repeat within the chunk, and the contexts of their anchors.
 
-    start, row: of each window; locally: does an earlier place within the chunk have its words; context, number: where its
-    verdict will stand. contexts: (bucket, left, codes of the words) in order of bucket, doc: smallest doc_id of each.
+    start, row: of each window; locally: does an earlier place within the chunk have its words; begins, each, use: of each run
+    of windows that is in one context, its first window, their number and the context. contexts: (bucket, left, codes of the
+    words) in order of bucket, doc: smallest doc_id of each.
     """
 
     def __init__(self, words: _Words, replies: dict[int, bytes], window: int, anchors: C.Deal, deal: C.Deal):
@@ -169,20 +203,26 @@ class _Contexts:
         bucket = np.where(wide[first], C.mix64(w1[first]) % np.uint64(buckets), far[anchor[first]] % np.uint64(buckets)).astype(np.int64)
         seen: dict[tuple[int, int, bytes], int] = {}
         begins, ends, lefts = self.start[first], self.start[last] + window, anchor[first] - self.start[first]
-        codes = words.codes
-        use = np.fromiter((seen.setdefault((b, left, codes[i:j].tobytes()), len(seen)) for b, left, i, j in zip(bucket.tolist(), lefts.tolist(), begins.tolist(), ends.tolist(), strict=True)), np.int64, len(first))
+        raw, wide_of = words.codes.tobytes(), words.codes.itemsize
+        use = np.fromiter((seen.setdefault((b, left, raw[i:j]), len(seen)) for b, left, i, j in zip(bucket.tolist(), lefts.tolist(), (begins * wide_of).tolist(), (ends * wide_of).tolist(), strict=True)), np.int64, len(first))
         contexts = list(seen)
         by = sorted(range(len(contexts)), key=[c[0] for c in contexts].__getitem__)
         rank = np.empty(len(contexts), np.int64)
         rank[by] = np.arange(len(contexts))
         self.contexts = [contexts[i] for i in by]
-        self.sizes = np.array([len(c) // codes.itemsize for _, _, c in self.contexts], np.int64)
-        self.context = np.repeat(rank[use] if len(use) else use, last - first + 1)
-        self.number = self.start - np.repeat(begins, last - first + 1)
+        self.sizes = np.array([len(c) // wide_of for _, _, c in self.contexts], np.int64)
+        self.begins, self.each, self.use = begins, last - first + 1, rank[use] if len(use) else use
         self.doc = np.full(len(contexts), np.iinfo(np.int64).max)
-        np.minimum.at(self.doc, self.context, self.ids[self.row])
+        # a run's windows share the place of their anchor, so they are of one document
+        np.minimum.at(self.doc, self.use, self.ids[self.row[first]])
         self.runs = deal.runs(np.array([b for b, _, _ in self.contexts], np.int64))
 
+    def kept(self) -> bytes:
+        """What the last step needs to know of the windows."""
+        runs = [np.array(x, np.uint32) for x in (list(self.runs), [j for _, j in self.runs.values()])]
+        narrow = [x.astype(np.uint32) for x in (np.diff(self.begins, prepend=0), self.each, self.use, self.sizes)]
+        return C.pack_arrays(np.zeros(0, np.uint8), *narrow, np.packbits(self.locally), *runs)
+
     def _repeated(self, words: _Words, window: int, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """Has an earlier place of the chunk (smaller doc_id, or the same row and an earlier start) the window's words?"""
         ids, row = self.ids[self.row], self.row
@@ -212,9 +252,15 @@ class _Contexts:
 
 def _payload(contexts: list[tuple[int, int, bytes]], doc: np.ndarray, vocabulary: pa.Array, deal: C.Deal, bundle: int) -> bytes:
     """contexts: (bucket, left, codes of the words by the vocabulary, four bytes each)."""
-    used, codes = np.unique(np.frombuffer(b"".join(c for _, _, c in contexts), np.int32), return_inverse=True)
+    codes = np.frombuffer(b"".join(c for _, _, c in contexts), np.int32)
+    there, number = np.zeros(len(vocabulary), bool), np.empty(len(vocabulary), np.int32)
+    there[codes] = True
+    used = np.flatnonzero(there)
+    number[used] = np.arange(len(used))
+    codes = number[codes]
     ids, which = np.unique(doc, return_inverse=True)
-    text = np.frombuffer(b"\n".join(vocabulary.take(pa.array(used)).to_pylist()), np.uint8)
+    names = vocabulary.take(pa.array(used))
+    text = np.frombuffer(pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(names)]), names), pa.scalar(b"\n", pa.large_binary()))[0].as_buffer(), np.uint8)
     small = np.uint16 if len(used) < 65536 else np.uint32
     sizes, lefts = (np.array(x, np.uint32) for x in ([len(c) // 4 for _, _, c in contexts], [left for _, left, _ in contexts]))
     return C.pack_arrays(deal.within(np.array([b for b, _, _ in contexts], np.int64), bundle), text, codes.astype(small), sizes, lefts, ids, which.astype(np.uint32))
@@ -225,7 +271,8 @@ def _emit_contexts(window: int, anchors: C.Deal, buckets: C.Deal):
         words = _Words(chunk)
         found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
         out = [(b, _payload(found.contexts[i:j], found.doc[i:j], words.vocabulary, buckets, b)) for b, (i, j) in found.runs.items()]
-        return pa.table(_payloads(chunk.chunk, out))
+        # no bucket of contexts: it comes back as it is
+        return pa.table(_payloads(chunk.chunk, [*out, (-1 - chunk.chunk % KEPT, found.kept())]))
 
     return work
 
@@ -259,7 +306,9 @@ def extended(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nd
 
     rest = window - block
     right, leftward = grow(1, size - left - block, rest), grow(-1, left, rest)
-    verdict = [np.zeros(int(n) - window + 1, np.uint8) for n in size]
+    each = size - window + 1
+    place = np.cumsum(each) - each
+    verdict = np.zeros(int(each.sum()), np.uint8)
     for o in range(rest + 1):
         has = np.flatnonzero((left >= o) & (size - left >= window - o))
         if not len(has):
@@ -269,9 +318,9 @@ def extended(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nd
         k, d = key[order], doc[has][order]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         later = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(k))))
-        for i in has[order[later]].tolist():
-            verdict[i][left[i] - o] = 1
-    return verdict
+        late = has[order[later]]
+        verdict[place[late] + left[late] - o] = 1
+    return np.split(verdict, place[1:])
 
 
 class _Places(C.Entries):
@@ -281,17 +330,18 @@ class _Places(C.Entries):
         self.window = window
 
     @staticmethod
-    def _words(got: list[list[np.ndarray]]) -> tuple[list[np.ndarray], dict[bytes, int]]:
-        """Codes of each payload's words by one dictionary."""
-        seen: dict[bytes, int] = {}
-        codes = []
-        for _, text, own, *_ in got:
-            names = text.tobytes().split(b"\n")
-            codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in names), np.int64, len(names))[own])
-        return codes, seen
+    def _words(got: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.Array]:
+        """Codes of each payload's words by one dictionary, whose values end with a line end."""
+        text = np.frombuffer(b"".join(x[1].tobytes() + b"\n" for x in got), np.uint8)
+        ends = np.flatnonzero(text == 10) + 1
+        codes, names = _distinct(text, np.concatenate([[0], ends]))
+        stops = np.searchsorted(ends, np.cumsum([len(x[1]) + 1 for x in got]), "right")
+        return [codes[i:j].astype(np.int64)[x[2]] for i, j, x in zip([0, *stops[:-1]], stops, got, strict=True)], names
 
     def reduce(self, payloads):
         got = [C.unpack_arrays(p) for p in payloads]
+        if len(got[0]) == KEPT_ARRAYS:
+            return payloads
         codes, _ = self._words(got)
         size, left = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (3, 4))
         doc = np.concatenate([x[5][x[6]] for x in got])
@@ -318,7 +368,7 @@ class _Places(C.Entries):
         np.minimum.at(doc, which, own_doc)
         contexts = list(seen)
         ends = np.cumsum([len(x[3]) for x in got])[:-1]
-        return [contexts[i] for i in order], doc, pa.array(list(words), pa.large_binary()), np.split(own_doc, ends), np.split(which, ends)
+        return [contexts[i] for i in order], doc, pa.array([w[:-1] for w in words.to_pylist()], pa.large_binary()), np.split(own_doc, ends), np.split(which, ends)
 
     def fold(self, payloads, deal, bundle):
         contexts, doc, vocabulary, *_ = self._met(payloads, deal, bundle)
@@ -336,26 +386,32 @@ class _Places(C.Entries):
         return [C.pack_arrays(np.packbits(np.concatenate([np.ones_like(verdict[k]) if d > doc[k] else verdict[k] for d, k in zip(own.tolist(), at.tolist(), strict=True)]))) for own, at in zip(own_doc, which, strict=True)]
 
 
-def _finish(window: int, anchors: C.Deal, buckets: C.Deal):
+def _finish(window: int, *_: C.Deal):
+    """The last step, from what _Contexts.kept() left and the verdicts on its contexts; it looks for no windows again."""
+
     def work(chunk: C.Chunk, replies: dict[str, dict[int, bytes]]) -> pa.Table:
-        words = _Words(chunk)
-        found = _Contexts(words, replies.get("anchor", {}), window, anchors, buckets)
-        each = found.sizes - window + 1
-        place = np.cumsum(each) - each
-        verdict = np.zeros(int(each.sum()), bool)
-        for b, data in replies.get("context", {}).items():
-            i, j = found.runs[b]
-            n = int(each[i:j].sum())
-            verdict[place[i] : place[i] + n] = np.unpackbits(C.unpack_arrays(data)[0], count=n).astype(bool)
-        gone = found.start[found.locally | verdict[place[found.context] + found.number]] if len(found.start) else found.start
-        edge = np.zeros(len(words.hashes) + 1, np.int64)
+        got = replies["context"]
+        _, step, each, use, sizes, locally, bundles, stops = C.unpack_arrays(got[-1 - chunk.chunk % KEPT])
+        begins, each, use = np.cumsum(step, dtype=np.int64), each.astype(np.int64), use.astype(np.int64)
+        windows = sizes.astype(np.int64) - window + 1
+        place = np.cumsum(windows) - windows
+        verdict = np.zeros(int(windows.sum()), bool)
+        for b, i, j in zip(bundles.tolist(), [0, *stops.tolist()][:-1], stops.tolist(), strict=True):
+            n = int(windows[i:j].sum())
+            verdict[place[i] : place[i] + n] = np.unpackbits(C.unpack_arrays(got[b])[0], count=n).astype(bool)
+        # a window's number within its run
+        number = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        again = np.unpackbits(locally, count=len(number)).astype(bool) | verdict[np.repeat(place[use], each) + number]
+        gone = (np.repeat(begins, each) + number)[again]
+        split = [text.split() for text in chunk.texts()]
+        first = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
+        edge = np.zeros(int(first[-1]) + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
         removed = np.cumsum(edge[:-1]) > 0
         rows = []
-        for i, (doc, text) in enumerate(zip(chunk.doc_ids(), chunk.texts(), strict=True)):
-            ws = text.split()
-            mask = removed[words.first[i] : words.first[i + 1]]
+        for i, (doc, ws) in enumerate(zip(chunk.doc_ids(), split, strict=True)):
+            mask = removed[first[i] : first[i + 1]]
             kept = b" ".join(compress(ws, ~mask) if mask.any() else ws)
             step = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
             rows.append((doc, len(ws), int(mask.sum()), kept.decode(), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "length": int(b - a)} for a, b in step.reshape(-1, 2)]))
@@ -379,8 +435,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     hits = C.reduce_buckets(chunks.mapInArrow(_emit_anchors(window // 2, anchors), C.EMITTED), _ANCHORS, anchors, n)
     hits = C.materialise(hits.withColumn("kind", F.lit("anchor")), "anchor-hits")
     earlier = C.reduce_buckets(C.with_replies(chunks, hits, _emit_contexts(window, anchors, buckets), C.EMITTED), _Places(window), buckets, n)
-    replies = hits.unionByName(earlier.withColumn("kind", F.lit("context")))
-    return C.with_replies(chunks, replies, _finish(window, anchors, buckets), OUT)
+    return C.with_replies(chunks, earlier.withColumn("kind", F.lit("context")), _finish(window), OUT)
 
 
 def oracle(window: int = 20) -> str:

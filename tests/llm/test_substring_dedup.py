@@ -120,3 +120,21 @@ def test_borders_of_blocks_chunks_and_wide_anchors(spark, monkeypatch):
             for r in module._finish(7, DEAL, DEAL)(chunk_of(p, k), {"anchor": hits[k], "context": back[k]}).to_pylist():
                 got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
         assert got == want
+
+
+def test_words_are_hashed_together_by_their_bytes_alone():
+    words = [b"a", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 64, b"x" * 65, b"x" * 3000, "ä".encode(), b"a\0", b"\0"]
+    hashed = lambda ws: module._hashes(np.frombuffer(b"".join(ws), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in ws])])).tolist()
+    assert len(set(hashed(words))) == len(words)
+    assert hashed(words[::-1]) == hashed(words)[::-1]
+    assert [h for w in words for h in hashed([w])] == hashed(words)
+
+
+def test_windows_are_looked_for_once(monkeypatch):
+    texts = awkward(3)
+    sent = module._emit_contexts(7, DEAL, DEAL)(chunk_of(texts), {"anchor": all_hits(module._Words(chunk_of(texts)))}).to_pylist()
+    back = {r["bucket"]: module._Places(7).reduce([r["payload"]])[0] for r in sent}
+    monkeypatch.delattr(module, "_Contexts")
+    monkeypatch.delattr(module, "_Words")
+    rows = module._finish(7, DEAL, DEAL)(chunk_of(texts), {"context": back}).to_pylist()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute(texts, 7)
