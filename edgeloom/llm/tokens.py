@@ -47,6 +47,9 @@ def _is_word(p: str) -> bool:
     return p.isalpha() and (p.isascii() or max(p) < "\u0250")
 
 
+#: Code points of the byte-level alphabet by byte, and which code points of two bytes _is_word() takes for letters.
+_CODES = np.array([ord(_ALPHABET[b]) for b in range(256)], "<u4")
+_LETTERS = np.array([_is_word(chr(c)) for c in range(0x280)])
 #: Kinds of bytes.
 OTHER, SPACE, LETTER, DIGIT, SIGN, QUOTE = range(6)
 
@@ -97,6 +100,11 @@ def keys_of(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def hashed(keys: np.ndarray) -> np.ndarray:
+    h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 class Pieces:
     """A table from keys to places of their ids: open addressing, all keys of a group at once."""
 
@@ -106,9 +114,7 @@ class Pieces:
         self.entry = np.zeros(1 << bits, np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (hashed(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's entry, -1 where there is none."""
@@ -167,8 +173,10 @@ class Encoder:
 
     def _store(self, ids: list[bytes]) -> np.ndarray:
         """Entries for the ids of new pieces."""
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return self._put(np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+
+    def _put(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same, of the ids side by side and their number for each piece."""
         for name, need in (("at", self.known + len(n)), ("n", self.known + len(n)), ("arena", self.used + len(flat))):
             old = getattr(self, name)
             if need > len(old):
@@ -220,6 +228,39 @@ class Encoder:
             out += self._parted(self.divided_batch([joined], add_special_tokens=False)[0].ids, self.line_end, False)
         return out
 
+    def _learn_words(self, joined: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """_encode_words() of the bytes of words, a line end after each; returns their entries."""
+        ends = np.cumsum(size + 1)
+        flat, counts = [], []
+        for i in range(0, len(size), TOGETHER):
+            own = _CODES[joined[ends[i] - size[i] - 1 : ends[min(i + TOGETHER, len(size)) - 1] - 1]].tobytes().decode("utf-32-le")
+            ids = np.array(self.divided_batch([own.replace("\u010a", " \u010a ") + " \u010a"], add_special_tokens=False)[0].ids, "<u4")
+            mark = ids == self.line_end
+            flat.append(ids[~mark])
+            counts.append(np.diff(np.flatnonzero(mark), prepend=-1) - 1)
+        return self._put(np.concatenate(flat), np.concatenate(counts))
+
+    def _learn_at(self, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encodes new pieces raw[at[i] : at[i] + size[i]]; returns their entries. Words stay arrays until they are handed over."""
+        ends = np.cumsum(size + 1)
+        starts = ends - size - 1
+        joined = raw[np.arange(ends[-1]) - np.repeat(starts - at, size + 1)]
+        joined[ends - 1] = 10
+        letter = _KINDS[joined] == LETTER
+        lead = np.flatnonzero((joined >= 0xC2) & (joined <= 0xC9))
+        lead = lead[_LETTERS[((joined[lead] & 31).astype(np.int64) << 6) | (joined[lead + 1] & 63)]]
+        letter[lead] = letter[lead + 1] = True
+        spaced = joined[starts] == 32
+        # as _is_word() has it, but for a space before and the line end
+        word = (np.add.reduceat(~letter, starts, dtype=np.int64) == 1 + spaced) & (size > spaced) & (self.divided is not None)
+        out = np.empty(len(at), np.int32)
+        if word.any():
+            out[word] = self._learn_words(joined[np.repeat(word, size + 1)], size[word])
+        rest = np.flatnonzero(~word)
+        if len(rest):
+            out[rest] = self._learn([joined[a:b].tobytes() for a, b in zip(starts[rest].tolist(), (ends[rest] - 1).tolist(), strict=True)])
+        return out
+
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """Encodes new pieces; returns their entries."""
         texts = [p.decode() for p in pieces]
@@ -228,7 +269,7 @@ class Encoder:
         other = iter(self._encode([t for t, w in zip(texts, word, strict=True) if not w]))
         return self._store([next(words) if w else next(other) for w in word])
 
-    def _entries(self, raw: bytes, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _entries(self, raw: bytes, padded: np.ndarray, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The entries of pieces; new ones are learned."""
         out = np.full(len(at), -1, np.int32)
         short = np.flatnonzero(size <= SHORT)
@@ -236,11 +277,12 @@ class Encoder:
         miss = short[found < 0]
         out[short] = found
         if len(miss):
-            miss = miss[np.lexsort(keys[miss].T)]
+            # equal keys stand together; if others of the same hash part them, a piece is learned twice
+            miss = miss[np.argsort(hashed(keys[miss]))]
             first = np.ones(len(miss), bool)
             first[1:] = (keys[miss[1:]] != keys[miss[:-1]]).any(axis=1)
             new = miss[first]
-            made = self._learn([raw[a:b] for a, b in zip(at[new].tolist(), (at[new] + size[new]).tolist(), strict=True)])
+            made = self._learn_at(padded, at[new], size[new])
             self.pieces.add(keys[new], made)
             out[miss] = made[np.cumsum(first) - 1]
         far = np.flatnonzero(size > SHORT)
@@ -262,7 +304,7 @@ class Encoder:
             if self.known > CACHE:
                 self._forget()
             own, width = at[i : i + BLOCK], size[i : i + BLOCK]
-            entry = self._entries(raw, keys_of(padded, own, width), own, width)
+            entry = self._entries(raw, padded, keys_of(padded, own, width), own, width)
             n = self.n[entry]
             ends = np.cumsum(n)
             flat.append(self.arena[np.repeat(self.at[entry] - ends + n, n) + np.arange(ends[-1])].tobytes())

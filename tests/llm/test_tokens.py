@@ -149,3 +149,12 @@ def test_windows_have_the_shares_that_are_asked_for(spark, plain):
     early = full[: len(full) // 2]
     assert all(abs(w["a"] - 192) <= 128 for w in early) and abs(sum(w["a"] for w in early) / len(early) - 192) < 10
     assert full[-1]["a"] == 0
+
+
+def test_words_stay_arrays_until_they_are_encoded(plain, monkeypatch):
+    encoder = Encoder(open(tokenizer_path(), encoding="utf-8").read())
+    apart, learn = [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: apart.extend(pieces) or learn(self, pieces))
+    group = ["Größe and ñandú ǆ naïve ª wordɏ", "a × b ÷ c 12 ключ wordɐ é", "x", " y z\nq. w's"] + [" ".join(prose(k, 200)) for k in range(3)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.stream(group)] == [e.ids for e in plain.encode_batch(group, add_special_tokens=False)]
+    assert apart and not [p for p in apart if tokens._is_word(p.decode().removeprefix(" ")) and len(p) <= tokens.SHORT]
