@@ -15,8 +15,9 @@ import pyarrow as pa
 from edgeloom.sources.shared import arrow_place
 
 #: Closing edges of a bucket (16 bytes each and 8 of the table), and pairs that are made at once.
-MOST_HELD, PAIRS = 8_000_000, 1 << 20
+MOST_HELD, PAIRS = 8_000_000, 1 << 18
 FOUND = "p long, q long, r long, done_pos long"
+SIDES = "u long, v long, n long, s long"
 #: The bucket that this worker holds: its folder and its tables.
 _held: dict[str, tuple] = {}
 
@@ -52,8 +53,9 @@ def bucket(path: str) -> tuple:
     return _held[path]
 
 
-def close(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, ts, ps), a list of ascending targets and their edges' positions -> triangles that the bucket's edges close."""
+def _closed(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(s, ts, ps), a list of ascending targets and their edges' positions -> for the pairs i < j of elements that the bucket's
+    edges close, some at a time: i, j, each element's vertex, target and position, and the closing edge's position."""
     ids, small, large, keys, pos, there, bits = bucket(path)
     if not len(ids):
         return
@@ -65,6 +67,7 @@ def close(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         known = ids[code] == t
         owner = np.repeat(np.arange(len(s)), sizes)[known]
         code, t, places = code[known], t[known], places[known]
+        vertex = s[owner]
         # the end of each element's list, among the elements that are left
         end = np.searchsorted(owner, owner, "right")
         first = np.flatnonzero(small[code])
@@ -84,8 +87,41 @@ def close(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             hit = keys[k] == key
             k, i, j = k[hit], i[hit], j[hit]
             if len(k):
-                own, x, y = s[owner[i]], t[i], t[j]
-                done = np.maximum(np.maximum(places[i], places[j]), pos[k])
-                columns = np.minimum(own, x), np.maximum(x, np.minimum(own, y)), np.maximum(own, y), done
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p", "q", "r", "done_pos"])
+                yield i, j, vertex, t, places, pos[k]
             at = stop
+
+
+def close(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, ts, ps) -> triangles that the bucket's edges close."""
+    for i, j, s, t, places, pos in _closed(path, batches):
+        own, x, y = s[i], t[i], t[j]
+        done = np.maximum(np.maximum(places[i], places[j]), pos)
+        columns = np.minimum(own, x), np.maximum(x, np.minimum(own, y)), np.maximum(own, y), done
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p", "q", "r", "done_pos"])
+
+
+def sides(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, ts, ps) -> common neighbours of edges, in part: their number and the sum of their ids.
+
+    An edge of a list, of which many triangles are found at once, is one row for them; a closing edge is one row a triangle.
+    """
+    for i, j, s, t, *_ in _closed(path, batches):
+        x, y = t[i], t[j]
+        u, v, n, total = [np.minimum(x, y)], [np.maximum(x, y)], [np.ones(len(i), np.int64)], [s[i]]
+        low, top = int(i[0]), int(j.max()) + 1
+        if max(abs(int(y.min())), abs(int(y.max())), abs(int(x.min())), abs(int(x.max()))) < 2**63 // (2 * len(i)):
+            each, sums = np.zeros((2, top - low), np.int64)
+            for at, other in ((i - low, y), (j - low, x)):
+                np.add.at(each, at, 1)
+                np.add.at(sums, at, other)
+            at = np.flatnonzero(each)
+            own, to = s[at + low], t[at + low]
+            rows = [(own, to, each[at], sums[at])]
+        else:  # ids so large that sums may be beyond 64 bits: Spark adds them, and tells
+            rows = [(s[i], x, n[0], y), (s[i], y, n[0], x)]
+        for own, to, k, total_ in rows:
+            u.append(np.minimum(own, to))
+            v.append(np.maximum(own, to))
+            n.append(k)
+            total.append(total_)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v, n, total)], ["u", "v", "n", "s"])
