@@ -133,7 +133,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fil
 
         for batch in batches:
             texts = (x.as_py() or "" for x in batch.column(1))
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.stream(texts), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), encoder.stream(texts, keep=True), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                 held.append((doc, ids))
                 size += len(ids)

@@ -325,8 +325,9 @@ class Encoder:
         stops = (before[np.searchsorted(at, ends)] * 4).tolist()
         return [next(apart) if w else flat[a:b] for w, a, b in zip(whole, [0, *stops[:-1]], stops, strict=True)]
 
-    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """ids() of many texts, in groups of about GROUP characters."""
+    def stream(self, texts: Iterable[str], keep: bool = False) -> Iterator[bytes]:
+        """ids() of many texts, in groups of about GROUP characters. keep: the worker's next task finds the pieces again; the
+        table stays as small as it is within a task, but the worker holds it (some 80 MB) as long as it lives."""
         held, size = [], 0
         for t in texts:
             held.append(t)
@@ -335,7 +336,8 @@ class Encoder:
                 yield from self.ids(held)
                 held, size = [], 0
         yield from self.ids(held)
-        self._forget()  # a task's pieces are of little use to the next one, and workers live on
+        if not keep:
+            self._forget()  # workers live on
         tidy()
 
 

@@ -158,3 +158,12 @@ def test_words_stay_arrays_until_they_are_encoded(plain, monkeypatch):
     group = ["Größe and ñandú ǆ naïve ª wordɏ", "a × b ÷ c 12 ключ wordɐ é", "x", " y z\nq. w's"] + [" ".join(prose(k, 200)) for k in range(3)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.stream(group)] == [e.ids for e in plain.encode_batch(group, add_special_tokens=False)]
     assert apart and not [p for p in apart if tokens._is_word(p.decode().removeprefix(" ")) and len(p) <= tokens.SHORT]
+
+
+def test_the_next_task_finds_pieces_again(plain):
+    encoder = Encoder(open(tokenizer_path(), encoding="utf-8").read())
+    group = [" ".join(prose(k, 200)) for k in range(3)]
+    for keep in (True, True, False):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.stream(group, keep=keep)] == [e.ids for e in plain.encode_batch(group, add_special_tokens=False)]
+        known, first = encoder.known, locals().get("known") or encoder.known
+        assert known == (first if keep else 0)
